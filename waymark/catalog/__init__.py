@@ -9,12 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.catalog import routes
+from waymark.catalog import anomalies, routes, tracking
 from waymark.session import prepare
 from waymark.sources.fixtures import portable
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (routes,)
+AREAS = (routes, tracking, anomalies)
 
 
 def _ready(query: Query) -> Query:

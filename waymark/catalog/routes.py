@@ -64,7 +64,8 @@ def _deduplicated(spark, sf):
 
 def _median_fill(spark, sf):
     rows = cleaning.with_coordinates(cleaning.deduplicate(load(spark, sf, "positions")))
-    filled = cleaning.fill_medians(rows.withColumn("hour", F.hour("recorded_at")))
+    rows = rows.withColumn("hour", F.hour("recorded_at"))
+    filled = cleaning.fill_gaps(rows, cleaning.day_medians(rows))
     return filled.select("id", *[F.round(c, 6).alias(c) for c in cleaning.SENSORS])
 
 

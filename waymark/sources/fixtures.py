@@ -132,6 +132,11 @@ FORMULAS: dict[str, tuple[str, list[tuple[str, str]], str]] = {
         ],
         "event_type = 'signup'",
     ),
+    "resolutions": (
+        "events",
+        [("id", "event_id"), ("alert_id", "event_id"), ("resolved", "TRUE"), ("changed_at", "CAST(ts AS TIMESTAMP)")],
+        f"value > {_d('100')}",
+    ),
     "zones": (
         "supplier",
         [
