@@ -31,12 +31,12 @@ QUERIES = {
     "vehicle_last_position": _by_vehicle,
     "unknown_vehicles": _unknown_vehicles,
     "device_list": lambda spark, sf: T.device_list(load(spark, sf, "devices")),
-    "device_detail": lambda spark, sf: T.device_detail(load(spark, sf, "devices"), imei="imei-3"),
+    "device_detail": lambda spark, sf: T.device_detail(load(spark, sf, "devices")),
     "latest_positions": lambda spark, sf: T.latest_positions(load(spark, sf, "positions")),
     "latest_positions_report": lambda spark, sf: T.latest_positions_report(load(spark, sf, "positions")),
-    "last_position": lambda spark, sf: T.last_position(load(spark, sf, "positions"), 3),
+    "last_position": lambda spark, sf: T.last_position(load(spark, sf, "positions")),
     "position_history": lambda spark, sf: T.history(load(spark, sf, "positions"), START, END),
-    "device_history": lambda spark, sf: T.ordered_history(T.history(load(spark, sf, "positions"), START, END, 4)),
+    "device_history": lambda spark, sf: T.ordered_history(T.history(load(spark, sf, "positions"), START, END)),
     "device_alerts": lambda spark, sf: T.alerts(load(spark, sf, "alerts")),
     "unresolved_alerts": lambda spark, sf: T.alerts(load(spark, sf, "alerts"), unresolved=True),
     "unresolved_alert_counts": _unresolved_totals,
@@ -74,7 +74,7 @@ CHECKS = {
     ),
     "device_detail": oracle(
         "SELECT * REPLACE (strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen, "
-        "strftime(activated_at, '%Y-%m-%d %H:%M:%S.%f') AS activated_at) FROM devices WHERE device_imei = 'imei-3'",
+        "strftime(activated_at, '%Y-%m-%d %H:%M:%S.%f') AS activated_at) FROM devices",
         "devices",
     ),
     "latest_positions": portable_sql(oracle(f"SELECT * FROM positions QUALIFY {_LATEST}", "positions"), "recorded_at"),
@@ -87,13 +87,13 @@ CHECKS = {
         "recorded_at",
     ),
     "last_position": portable_sql(
-        oracle(f"SELECT {_SENSORS} FROM positions WHERE device_id = 3 QUALIFY {_LATEST}", "positions"), "recorded_at"
+        oracle(f"SELECT {_SENSORS} FROM positions QUALIFY {_LATEST}", "positions"), "recorded_at"
     ),
     "position_history": portable_sql(
         oracle(f"SELECT {_SENSORS} FROM positions WHERE {_HISTORY}", "positions"), "recorded_at"
     ),
     "device_history": portable_sql(
-        oracle(f"SELECT {_SENSORS} FROM positions WHERE device_id = 4 AND {_HISTORY}", "positions"), "recorded_at"
+        oracle(f"SELECT {_SENSORS} FROM positions WHERE {_HISTORY}", "positions"), "recorded_at"
     ),
     "device_alerts": portable_sql(
         oracle(
