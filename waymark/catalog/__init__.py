@@ -9,12 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.catalog import anomalies, heatmap, routes, spatial, tracking
+from waymark.catalog import anomalies, heatmap, routes, spatial, tracking, zones
 from waymark.session import prepare
 from waymark.sources.fixtures import portable
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (routes, tracking, anomalies, heatmap, spatial)
+AREAS = (routes, tracking, anomalies, heatmap, spatial, zones)
 
 
 def _ready(query: Query) -> Query:

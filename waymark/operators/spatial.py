@@ -117,25 +117,26 @@ def centroids(shapes: DataFrame) -> DataFrame:
     """Centre of each shape's area: outlines count as positive area, holes as negative, however they turn."""
     edges = shape_edge_rows(shapes)
     # relative to one corner of the shape, or the products of coordinates would cancel badly
-    corner = edges.groupBy("id").agg(F.min("x1").alias("x0"), F.min("y1").alias("y0"))
+    corner = edges.groupBy("id").agg(
+        F.min("x1").alias("x0"), F.min("y1").alias("y0"), F.avg("x1").alias("mid_x"), F.avg("y1").alias("mid_y")
+    )
     ax, ay = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
     bx, by = F.col("x2") - F.col("x0"), F.col("y2") - F.col("y0")
     cross = ax * by - bx * ay
+    ids = ["id", "x0", "y0", "mid_x", "mid_y"]
     rings = (
         edges.join(corner, "id")
-        .select("id", "part", "ring", "x0", "y0", cross.alias("a"), ((ax + bx) * cross).alias("x"),
-                ((ay + by) * cross).alias("y"))
-        .groupBy("id", "part", "ring", "x0", "y0")
+        .select(*ids, "part", "ring", cross.alias("a"), ((ax + bx) * cross).alias("x"), ((ay + by) * cross).alias("y"))
+        .groupBy(*ids, "part", "ring")
         .agg(F.sum("a").alias("a"), F.sum("x").alias("x"), F.sum("y").alias("y"))
     )
     sign = F.signum("a") * F.when(F.col("ring") == 0, 1.0).otherwise(-1.0)
-    totals = rings.groupBy("id", "x0", "y0").agg(
-        *[F.sum(sign * F.col(c)).alias(c) for c in ("a", "x", "y")]
-    )
-    return totals.where(F.col("a") != 0.0).select(
+    totals = rings.groupBy(*ids).agg(*[F.sum(sign * F.col(c)).alias(c) for c in ("a", "x", "y")])
+    # a shape without area falls back to the mean of its vertices
+    return totals.select(
         "id",
-        (F.col("y0") + F.col("y") / (F.col("a") * 3.0)).alias("lat"),
-        (F.col("x0") + F.col("x") / (F.col("a") * 3.0)).alias("lon"),
+        F.coalesce(F.col("y0") + F.try_divide("y", F.col("a") * 3.0), "mid_y").alias("lat"),
+        F.coalesce(F.col("x0") + F.try_divide("x", F.col("a") * 3.0), "mid_x").alias("lon"),
     )
 
 

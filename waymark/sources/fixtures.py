@@ -241,7 +241,9 @@ def oracle(body: str, *names: str) -> str:
         ctes.append(f"{name} AS (\n{text}\n)")
     head = "WITH " + ",\n".join(ctes)
     body = body.strip()
-    if body[:5].upper() == "WITH ":
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head[5:]},\n{body[15:]}"
+    if body.startswith("WITH "):
         return f"{head},\n{body[5:]}"
     return f"{head}\n{body}"
 
