@@ -16,23 +16,3 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     # not least(1, a): least() skips NULL, which would turn a missing point into half the globe
     a = F.when(a > 1.0, F.lit(1.0)).otherwise(a)
     return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
-
-
-def wkb_point(wkb: Column) -> tuple[Column, Column]:
-    """(latitude, longitude) of a little-endian WKB point, with or without an SRID."""
-    text = F.hex(wkb)
-    # byte order (1 byte), type (4 bytes; the flag 0x20 in its last byte marks an SRID of 4 bytes)
-    start = F.when(F.substring(text, 9, 2) == "20", F.lit(19)).otherwise(F.lit(11))
-    return _little_endian_double(text, start + 16), _little_endian_double(text, start)
-
-
-def _little_endian_double(text: Column, start: Column) -> Column:
-    """IEEE 754 double from 16 hex digits, lowest byte first (zero and normal numbers)."""
-    pairs = [F.substr(text, start + F.lit(2 * i), F.lit(2)) for i in range(7, -1, -1)]
-    digits = F.concat(*pairs)
-    head = F.conv(F.substr(digits, F.lit(1), F.lit(3)), 16, 10).cast("bigint")
-    fraction = F.conv(F.substr(digits, F.lit(4), F.lit(13)), 16, 10).cast("double")
-    sign = F.when(head >= 2048, F.lit(-1.0)).otherwise(F.lit(1.0))
-    exponent = (head % 2048).cast("double")
-    value = sign * (F.lit(1.0) + fraction / F.lit(float(2**52))) * F.pow(F.lit(2.0), exponent - 1023.0)
-    return F.when(exponent == 0.0, F.lit(0.0)).otherwise(value)
