@@ -187,30 +187,50 @@ def hex_cells_of_shapes(zones: DataFrame, resolution: int = S.HEX_RESOLUTION) ->
     return filled.unionByName(centroids(zones).select(q.alias("q"), r.alias("r"))).distinct()
 
 
+def _unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
+    phi, lam = F.radians(lat), F.radians(lon)
+    return F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi)
+
+
 def zone_arrays(zones: DataFrame, per_row: int = S.ZONES_PER_ROW) -> DataFrame:
-    """Located zones per device in arrays of at most `per_row`: (device_id, zone_block, zones)."""
+    """Located zones per device in arrays of at most `per_row`, by id: (device_id, zone_block, zones)."""
     ranked = Window.partitionBy("device_id").orderBy("cluster_id")
     known = zones.where(F.col("centroid_lat").isNotNull() & F.col("centroid_lng").isNotNull())
-    zone = F.struct("cluster_id", "centroid_lat", "centroid_lng", "label")
+    x, y, z = _unit_vector(F.col("centroid_lat"), F.col("centroid_lng"))
+    zone = F.struct("cluster_id", "label", "centroid_lat", "centroid_lng", x.alias("x"), y.alias("y"), z.alias("z"))
     return (
         known.withColumn("zone_block", F.floor((F.row_number().over(ranked) - 1) / F.lit(per_row)))
         .groupBy("device_id", "zone_block")
-        .agg(F.collect_list(zone).alias("zones"))
+        .agg(F.array_sort(F.collect_list(zone)).alias("zones"))
     )
 
 
-def nearest_in(zones: Column, lat: Column, lon: Column) -> Column:
-    """Nearest zone of an array as (distance, cluster_id, label); ties go to the lowest id."""
-    return F.array_min(
-        F.transform(
-            zones,
-            lambda z: F.struct(
-                haversine_m(lat, lon, z.centroid_lat, z.centroid_lng).alias("distance"),
-                z.cluster_id.alias("cluster_id"),
-                z.label.alias("label"),
-            ),
-        )
+def with_nearest(df: DataFrame, alias: str) -> DataFrame:
+    """Add the nearest of `zones` as a struct (distance, cluster_id, label); ties go to the lowest id.
+
+    Zones are compared by squared chord, which orders like the distance and needs no trigonometry per zone;
+    the great-circle distance is computed for the winner only.
+    """
+    x, y, z = _unit_vector(F.col("latitude"), F.col("longitude"))
+
+    def chord(zone: Column) -> Column:
+        dx, dy, dz = zone.x - F.col("_x"), zone.y - F.col("_y"), zone.z - F.col("_z")
+        return dx * dx + dy * dy + dz * dz
+
+    chords = df.withColumns({"_x": x, "_y": y, "_z": z}).withColumn("_chords", F.transform("zones", chord))
+    # a point without a place has no nearest zone; it is given the first one, at no distance
+    position = F.coalesce(F.array_position("_chords", F.array_min("_chords")), F.lit(1))
+    winner = F.get("zones", position.cast("int") - 1)
+    found = chords.withColumn("_winner", winner)
+    near = F.struct(
+        haversine_m(
+            F.col("latitude"), F.col("longitude"), F.col("_winner.centroid_lat"), F.col("_winner.centroid_lng")
+        ).alias("distance"),
+        F.col("_winner.cluster_id").alias("cluster_id"),
+        F.col("_winner.label").alias("label"),
     )
+    known = F.col("_winner").isNotNull()
+    return found.withColumn(alias, F.when(known, near)).drop("_x", "_y", "_z", "_chords", "_winner", "zones")
 
 
 def nearest_zone(points: DataFrame, zones: DataFrame, key: str = "id", per_row: int = S.ZONES_PER_ROW) -> DataFrame:
@@ -224,17 +244,14 @@ def nearest_zone(points: DataFrame, zones: DataFrame, key: str = "id", per_row:
     busy = blocks.where("zone_block > 0").select("device_id").distinct()
     single = blocks.join(busy, "device_id", "left_anti").drop("zone_block")
     many = blocks.join(busy, "device_id", "left_semi").drop("zone_block")
-    near = nearest_in(F.col("zones"), F.col("latitude"), F.col("longitude"))
 
-    usual = (
-        points.join(busy, "device_id", "left_anti")
-        .join(single, "device_id", "left")
-        .select(*points.columns, near.alias("_best"))
-    )
+    usual = with_nearest(
+        points.join(busy, "device_id", "left_anti").join(single, "device_id", "left"), "_best"
+    ).select(*points.columns, "_best")
     merged = (
-        points.join(many, "device_id")
+        with_nearest(points.join(many, "device_id"), "_near")
         .groupBy(key)
-        .agg(F.min(near).alias("_best"), F.any_value(F.struct(*points.columns)).alias("_point"))
+        .agg(F.min("_near").alias("_best"), F.any_value(F.struct(*points.columns)).alias("_point"))
         .select("_point.*", "_best")
     )
     distance = F.col("_best.distance")
