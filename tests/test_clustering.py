@@ -79,9 +79,9 @@ def test_across_the_date_line(spark):
 
 
 def test_border_point_joins_the_first_cluster(spark):
-    # two groups of eight, 290 m apart; the point between reaches the edge of both
-    west, east = np.linspace(-8, 0, 8), 290 + np.linspace(0, 8, 8)
-    x = np.concatenate([[145.0], east, west])
+    # two groups of eight, 296 m apart; the point between reaches two points of each
+    west, east = np.linspace(-8, 0, 8), 296 + np.linspace(0, 8, 8)
+    x = np.concatenate([[148.0], east, west])
     labels = compare(spark, np.zeros(len(x)), x / 111_194.9)
     assert labels[0] == 0 and labels[1] == 0 and labels[-1] == 1
 
