@@ -217,6 +217,16 @@ def test_anomalous_places_are_left_out(spark):
     assert sorted((r["device_id"], r["latitude"]) for r in got.collect()) == [(1, -17.1), (2, -17.0)]
 
 
+def test_stops_at_rounding_edges(spark):
+    """Points that share a place at 5 decimals but not at 4 both stay; a flagged first point hands over."""
+    rows = [(0, 0.000049), (1, 0.000051), (2, 0.00102), (3, 0.00104)]
+    point = [(lat, -63.0, 1.0, DAY + dt.timedelta(seconds=s)) for s, lat in rows]
+    segments = spark.createDataFrame([(1, DAY.date(), 0, 0, point)], TABLES["route_segments"])
+    flagged = spark.createDataFrame([(1, 1, 0.00102, -63.0, 0.9, True, DAY, None)], TABLES["anomalies"])
+    got = zones.stop_points(segments, flagged, AS_OF, 30)
+    assert sorted(values(got, "latitude")) == [0.000049, 0.000051, 0.00104]
+
+
 @pytest.mark.parametrize(
     "label, distance, zone, score, anomaly, risk",
     [

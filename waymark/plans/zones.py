@@ -34,9 +34,9 @@ def slow_points(points: DataFrame, max_speed: float = S.SLOW_SPEED_KMH) -> DataF
     return points.where(F.coalesce("speed", F.lit(0.0)) <= max_speed)
 
 
-def one_per_place_and_hour(points: DataFrame) -> DataFrame:
-    """First point per place (4 decimals), day and hour, with its own coordinates."""
-    place = [F.round("latitude", 4).alias("_lat4"), F.round("longitude", 4).alias("_lng4")]
+def one_per_place_and_hour(points: DataFrame, *digits: int) -> DataFrame:
+    """First point per place, day and hour, with its own coordinates; a place is given by all the roundings."""
+    place = [F.round(c, d).alias(f"_{c}{d}") for c in ("latitude", "longitude") for d in digits]
     kept = F.min_by(F.struct("latitude", "longitude"), "recorded_at").alias("_point")
     return (
         points.groupBy("device_id", "date", "hour", *place)
@@ -48,11 +48,17 @@ def one_per_place_and_hour(points: DataFrame) -> DataFrame:
 def stop_points(
     segments: DataFrame, anomalies: DataFrame, as_of: datetime | str, days: int = S.TRAINING_DAYS
 ) -> DataFrame:
-    """Points the zones are built from: slow, not anomalous, one per place, day and hour."""
+    """Points the zones are built from: slow, not anomalous, one per place, day and hour.
+
+    Anomalies are excluded by place at 5 decimals, stops are thinned by place at 4. Points are first reduced
+    to one per day, hour and place at both: the outcome is the same, and the thousands of rows of a parked
+    vehicle do not meet the join.
+    """
     days = days or S.TRAINING_DAYS
     points = slow_points(explode_routes(stored_routes(segments, as_of, days)))
     points = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
-    return one_per_place_and_hour(without_anomalies(points, anomalies, as_of, days))
+    reduced = one_per_place_and_hour(points, 5, 4)
+    return one_per_place_and_hour(without_anomalies(reduced, anomalies, as_of, days), 4)
 
 
 def enough_points(points: DataFrame, least: int) -> DataFrame:
