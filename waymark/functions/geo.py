@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,6 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
     half_lat = F.sin(F.radians(lat2 - lat1) / 2.0)
     half_lon = F.sin(F.radians(lon2 - lon1) / 2.0)
     a = half_lat * half_lat + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * half_lon * half_lon
-    # not least(1, a): least() skips NULL, which would turn a missing point into half the globe
-    a = F.when(a > 1.0, F.lit(1.0)).otherwise(a)
-    return F.lit(2.0 * EARTH_RADIUS_M) * F.asin(F.sqrt(a))
+    # Rounding may lift `a` above 1, where the arc sine is NaN: half the globe. least(1, a) would not do, it
+    # skips NULL and would turn a missing point into that distance.
+    return F.lit(2.0 * EARTH_RADIUS_M) * F.nanvl(F.asin(F.sqrt(a)), F.lit(math.pi / 2.0))

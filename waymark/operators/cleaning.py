@@ -26,6 +26,8 @@ def deduplicate(positions: DataFrame) -> DataFrame:
     rest = [c for c in positions.columns if c not in ("device_id", "recorded_at")]
     kept = (
         positions.withColumn("date", F.to_date("recorded_at"))
+        # joins further on would add this filter to some branches only, which would then not share the shuffle
+        .where(F.col("device_id").isNotNull() & F.col("date").isNotNull())
         .groupBy(*DAY, "recorded_at")
         .agg(F.min_by(F.struct(*rest), "id").alias("_row"))
     )

@@ -26,6 +26,8 @@ def exact_quantile(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_bucket", F.floor(F.col("_v") / F.lit(bucket_width)))
+        # the join below asks for this; said here, both uses of the counts stay the same and are computed once
+        .where(F.col("_bucket").isNotNull())
         # one layout for the totals, the join and the window below
         .repartition(*[F.col(k) for k in keys], F.col("_bucket"))
     )
