@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3, median taken after
-one warm-up), BENCH_COPIES (default 1; copies of the events under new users for growth runs, see README).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 2, median taken after
+one warm-up). For larger data see bench_growth.py.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ HEADLINE = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", str(os.cpu_count() or 8))
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     wanted = sys.argv[1:] or HEADLINE
     spark = session.build(
         "bench",

@@ -9,7 +9,7 @@ from waymark.operators import cleaning
 from waymark.operators.ranking import with_previous
 from waymark.plans import routes
 from waymark.sources.fixtures import AS_OF, load, oracle, portable_sql
-from waymark.sources.scans import last_days, on_days, recent_positions
+from waymark.sources.scans import on_days, recent_positions
 
 HAVERSINE = (
     "2 * CAST(6371000 AS DOUBLE) * asin(sqrt(CASE WHEN {a} > 1 THEN CAST(1 AS DOUBLE) ELSE {a} END))"

@@ -6,8 +6,6 @@ from the same input rows. Decimal literals are cast, or Spark would compute in D
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -278,7 +276,3 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if condition:
         table = table.where(condition)
     return table.selectExpr(*[f"{text} AS {column}" for column, text in columns])
-
-
-def loader(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    return lambda name: load(spark, sf_dir, name)
