@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exact_dedup, packing, token_index
-from waymark.llm.common import table, work_dir
+from waymark.llm import exact_dedup, language, packing, token_index, topk, toxicity
+from waymark.llm.common import held_out, table, work_dir
 from waymark.session import prepare
 
 
@@ -15,6 +15,15 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
+    model = toxicity.learn(documents, labels, work_dir(spark, "toxicity"))
+    scored = toxicity.score(documents, model)
+    predicted = (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    return scored.select("doc_id", held_out("doc_id", 4, 2).alias("held_out"), "score", predicted)
+
+
 def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_dir(spark, "token-index")
     documents = table(spark, sf_dir, "documents")
@@ -27,11 +36,39 @@ def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").where(F.col("vec_id").isNotNull() & topk.usable())
+    vectors = embeddings.select("vec_id", topk.integers().alias("ints"))
+    return topk.search(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP8 = """
+WITH v AS (
+  SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS ints FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.ints, c.ints) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score
+FROM s WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 5
+"""
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.deduplicate(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language.learn(documents.where(~held_out("doc_id", 3, 1)), work_dir(spark, "language"))
+    found = language.classify(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
+
+
 OP9 = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -41,10 +78,13 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op6_toxicity": op6_toxicity,
     "op7_token_index": op7_token_index,
+    "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language": op10_language,
 }
-CHECKS = {"op9_exact_dedup": OP9}
+CHECKS = {"op8_topk": OP8, "op9_exact_dedup": OP9}
 
 
 def queries() -> dict:
