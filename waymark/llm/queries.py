@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import exact_dedup, language, packing, token_index, topk, toxicity
+from waymark.llm import dart_minhash, exact_dedup, language, mixing, packing, token_index, topk, toxicity
 from waymark.llm.common import held_out, table, work_dir
 from waymark.session import prepare
 
@@ -15,6 +15,108 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def with_domain(documents: DataFrame) -> DataFrame:
+    """Add the domain of a source: four, by the number at the end of its name, and one of all others."""
+    number = F.regexp_extract("source", "([0-9]+)$", 1)
+    named = F.when(number != "", F.concat(F.lit("domain"), (F.substring(number, -2, 2).cast("int") % 4).cast("string")))
+    return documents.withColumn("mix_domain", F.coalesce(named, F.lit("other")))
+
+
+MIX_LEVELS = ("mix_domain", "lang", "source")
+
+
+def mix_weights() -> list:
+    """Fixed parameters of the mix: weights of the domains, of the languages within each, and of the sources within these."""
+    domain, lang = F.col("mix_0"), F.col("mix_1")
+    domains = F.when(domain == "domain0", 2).when(domain == "domain1", 4).when(domain == "domain2", 3).otherwise(1)
+    languages = F.when(lang == "en", 4).when(lang.isin("de", "fr"), 3).otherwise(2)
+    return [domains, languages, F.lit(1)]
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = with_domain(table(spark, sf_dir, "documents"))
+    drawn = mixing.draw(documents, MIX_LEVELS, mix_weights(), share=0.6)
+    return drawn.select(
+        "doc_id", F.col("mix_domain").alias("domain"), "lang", "source", F.col(mixing.EPOCH).alias("epoch"),
+        F.col(mixing.TOKENS).alias("tokens"), F.col(mixing.TAKEN).alias("taken"),
+    )
+
+
+OP2 = """
+WITH d AS (
+  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+         CASE WHEN regexp_extract(source, '([0-9]+)$', 1) <> ''
+              THEN 'domain' || CAST(CAST(right(regexp_extract(source, '([0-9]+)$', 1), 2) AS INTEGER) % 4 AS VARCHAR)
+              ELSE 'other' END AS domain,
+         CAST((strlen(coalesce(text, '')) + 3) // 4 + 1 AS BIGINT) AS tokens
+  FROM documents
+),
+leaf AS (SELECT domain, l, s, CAST(sum(tokens) AS HUGEINT) AS supply, CAST(3 * sum(tokens) AS HUGEINT) AS most FROM d GROUP BY ALL),
+n1 AS (
+  SELECT domain, sum(most) AS most,
+         CAST(CASE domain WHEN 'domain0' THEN 2 WHEN 'domain1' THEN 4 WHEN 'domain2' THEN 3 ELSE 1 END AS HUGEINT) AS weight,
+         (SELECT CAST(floor(sum(supply) * CAST(0.6 AS DOUBLE)) AS HUGEINT) FROM leaf) AS budget
+  FROM leaf GROUP BY domain
+),
+f1 AS (
+  SELECT *, most * (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0))
+            <= greatest(budget - coalesce(sum(most) OVER b, 0), 0) * weight AS is_full
+  FROM n1 WINDOW b AS (ORDER BY most / CAST(weight AS DOUBLE), domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+q1 AS (
+  SELECT domain, CASE WHEN is_full THEN most ELSE
+      (budget - coalesce(sum(most) FILTER (is_full) OVER (), 0)) * weight // (sum(weight) FILTER (NOT is_full) OVER ()) END AS budget
+  FROM f1
+),
+n2 AS (
+  SELECT domain, l, sum(most) AS most,
+         CAST(CASE l WHEN 'en' THEN 4 WHEN 'de' THEN 3 WHEN 'fr' THEN 3 ELSE 2 END AS HUGEINT) AS weight, any_value(q1.budget) AS budget
+  FROM leaf JOIN q1 USING (domain) GROUP BY domain, l
+),
+f2 AS (
+  SELECT *, most * (sum(weight) OVER (PARTITION BY domain) - coalesce(sum(weight) OVER b, 0))
+            <= greatest(budget - coalesce(sum(most) OVER b, 0), 0) * weight AS is_full
+  FROM n2 WINDOW b AS (PARTITION BY domain ORDER BY most / CAST(weight AS DOUBLE), domain, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+q2 AS (
+  SELECT domain, l, CASE WHEN is_full THEN most ELSE
+      (budget - coalesce(sum(most) FILTER (is_full) OVER p, 0)) * weight // (sum(weight) FILTER (NOT is_full) OVER p) END AS budget
+  FROM f2 WINDOW p AS (PARTITION BY domain)
+),
+n3 AS (SELECT domain, l, s, supply, most, CAST(1 AS HUGEINT) AS weight, q2.budget FROM leaf JOIN q2 USING (domain, l)),
+f3 AS (
+  SELECT *, most * (sum(weight) OVER (PARTITION BY domain, l) - coalesce(sum(weight) OVER b, 0))
+            <= greatest(budget - coalesce(sum(most) OVER b, 0), 0) * weight AS is_full
+  FROM n3 WINDOW b AS (PARTITION BY domain, l ORDER BY most / CAST(weight AS DOUBLE), domain, l, s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+q3 AS (
+  SELECT domain, l, s, supply, CASE WHEN is_full THEN most ELSE
+      (budget - coalesce(sum(most) FILTER (is_full) OVER p, 0)) * weight // (sum(weight) FILTER (NOT is_full) OVER p) END AS quota
+  FROM f3 WINDOW p AS (PARTITION BY domain, l)
+),
+keyed AS (
+  SELECT d.*, quota // supply AS full_passes, quota % supply AS part,
+         md5('17|' || CAST(quota // supply AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM d JOIN q3 USING (domain, l, s)
+),
+last AS (
+  SELECT *, part - coalesce(sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY key, doc_id
+                                              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining
+  FROM keyed
+)
+SELECT doc_id, domain, lang, source, CAST(epoch AS INTEGER) AS epoch, tokens, tokens AS taken
+FROM (SELECT *, unnest(range(CAST(full_passes AS BIGINT))) AS epoch FROM keyed WHERE full_passes > 0)
+UNION ALL
+SELECT doc_id, domain, lang, source, CAST(full_passes AS INTEGER), tokens, CAST(least(tokens, remaining) AS BIGINT)
+FROM last WHERE remaining > 0
+"""
+
+
+def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
@@ -78,13 +180,15 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_mixing": op2_mixing,
+    "op3_dart_minhash": op3_dart_minhash,
     "op6_toxicity": op6_toxicity,
     "op7_token_index": op7_token_index,
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
 }
-CHECKS = {"op8_topk": OP8, "op9_exact_dedup": OP9}
+CHECKS = {"op2_mixing": OP2, "op8_topk": OP8, "op9_exact_dedup": OP9}
 
 
 def queries() -> dict:
