@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import dart_minhash, exact_dedup, language, mixing, packing, token_index, topk, toxicity
+from waymark.llm import dart_minhash, exact_dedup, language, license_scan, mixing, packing, surrogates, token_index, topk, toxicity
 from waymark.llm.common import held_out, table, work_dir
 from waymark.session import prepare
 
@@ -117,6 +117,19 @@ def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
 
 
+#: Key of the registered query. A real corpus needs a secret one.
+SURROGATE_KEY = b"example key"
+
+
+def op4_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.anonymise(documents, SURROGATE_KEY, work_dir(spark, "surrogates"))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"), work_dir(spark, "license-scan"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").where(~held_out("doc_id", 4, 2))
@@ -182,6 +195,8 @@ QUERIES = {
     "op1_packing": op1_packing,
     "op2_mixing": op2_mixing,
     "op3_dart_minhash": op3_dart_minhash,
+    "op4_surrogates": op4_surrogates,
+    "op5_license_scan": op5_license_scan,
     "op6_toxicity": op6_toxicity,
     "op7_token_index": op7_token_index,
     "op8_topk": op8_topk,
