@@ -128,8 +128,9 @@ def classes(
     known = hits.select("digest", "stands")
     first = stage(fresh.where("copies > 1").join(hits, "digest", "left_anti").select("digest", "stands"), folder, "first")
     known = stage(again.union(known).distinct(), folder, "known")
-    held_rows = stage(snapshot.documents.join(known.select("digest"), "digest"), folder, "held_rows")
-    new_digests = hits.select("digest").union(first.select("digest"))
+    # by merging at every size: these digests grow with the corpus, and so does what would be broadcast
+    held_rows = stage(snapshot.documents.join(known.select("digest").hint("merge"), "digest"), folder, "held_rows")
+    new_digests = hits.select("digest").union(first.select("digest")).hint("merge")
     new_rows = stage(incoming.join(new_digests, "digest"), folder, "new_rows")
     texts = stage(_standing(held_rows, known).union(_standing(new_rows, first)), folder, "texts")
     clashes = _clashes(held_rows, texts).union(_clashes(new_rows, texts)).distinct()
