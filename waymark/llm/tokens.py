@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from struct import pack
 
 import numpy as np
 from tokenizers import Tokenizer
@@ -13,12 +14,26 @@ SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 #: WORDS: tokenizers that drop white space. BYTES: byte-level ones, where one space opens the next word
 #: and of several the last does. WHOLE: any other tokenizer.
 WORDS, BYTES, WHOLE = "words", "bytes", "whole"
+#: A word of Latin letters that a mark, white space or the end follows: every tokenizer with a cut ends a word there.
+_LATIN = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+"
+_ENDED = f"{_LATIN}(?![^.,;:!?{SPACES}])"
 CUTS = {
-    WORDS: re.compile(f"[^{SPACES}]+"),
-    BYTES: re.compile(f" ?[^{SPACES}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
+    WORDS: re.compile(f"{_ENDED}|[^{SPACES}]+"),
+    BYTES: re.compile(f" ?(?:{_ENDED}|[^{SPACES}]+)|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"),
 }
+_PLAIN = re.compile(f" ?{_LATIN}")
 #: Chunks in each of the cache's two generations, and the longest chunk that it holds.
-CACHE, LONGEST = 150_000, 64
+CACHE, LONGEST = 300_000, 64
+
+
+def _byte_letters() -> dict[int, str]:
+    """The public alphabet of byte-level tokenizers: printable bytes stand for themselves, others for code points from 256."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = (byte for byte in range(256) if byte not in printable)
+    return {byte: chr(256 + n) for n, byte in enumerate(others)}
+
+
+_ALPHABET = _byte_letters()
 
 
 class Encoder(dict):
@@ -27,16 +42,27 @@ class Encoder(dict):
     def __init__(self, path: str, cut: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cut = CUTS.get(cut)
+        self.model = self.tokenizer.model
+        self.cut, self.lower = CUTS.get(cut), cut == WORDS
         self.older: dict[str, bytes] = {}
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        """Ids of one word of Latin letters, straight from the tokenizer's model."""
+        letters = word.lower() if self.lower else word
+        if not letters.isascii():
+            letters = letters.encode().decode("latin-1").translate(_ALPHABET)
+        elif letters[0] == " ":
+            letters = _ALPHABET[32] + letters[1:]
+        ids = [token.id for token in self.model.tokenize(letters)]
+        return pack(f"<{len(ids)}I", *ids)
+
     def __missing__(self, chunk: str) -> bytes:
         found = self.older.get(chunk)
         if found is None:
-            found = self.ids(chunk)
+            found = self.word(chunk) if _PLAIN.fullmatch(chunk) else self.ids(chunk)
         if len(chunk) <= LONGEST:
             if len(self) >= CACHE:
                 self.older = dict(self)
