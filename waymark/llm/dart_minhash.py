@@ -10,7 +10,8 @@ Joins. Texts with equal sets of shingles collapse first. The others meet in buck
 bring two texts of similarity 0.8 together with a probability of 0.999. No bucket is expanded into all its pairs.
 Every member is checked against one member, the one that shares the most buckets; links make components. Buckets that
 still hold several components are looked at once more: the members outside the largest one against all members of other
-components. So each pair of a bucket is either checked or already in one class. A check compares whole sets of shingles.
+components, but for pairs that are proved to be dissimilar by what both share with the centre. So each pair of a bucket is checked,
+proved or already in one class. A check compares whole sets of shingles.
 
 Hot groups: counts and centres are aggregates that sum before they shuffle, and the joins that carry rows are between
 stored tables, whose hot keys Spark splits.
@@ -40,6 +41,8 @@ BANDS, ROWS, SIMILARITY = 24, 6, 0.8
 CELLS = 1 << 21
 #: Distribution of the darts in a cell: Poisson with mean one.
 _DARTS = np.cumsum([math.exp(-1) / math.factorial(n) for n in range(12)])
+#: Bits of the map of a text's shingles that its centre lacks: a power of two.
+BITS = 1024
 _LATE = np.uint64(2**64 - 1)
 
 
@@ -122,32 +125,45 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             values, owner = shingles(list(part["text"]))
             ends = np.cumsum(np.bincount(owner, minlength=len(part)))
             small = (values >> np.uint64(32)).astype("<u4")
-            yield pd.DataFrame({
-                "doc_id": part["doc_id"].to_numpy(),
-                "members": [small[end - count : end].tobytes() for end, count in zip(ends, np.diff(ends, prepend=0), strict=True)],
-            })
+            each = np.split(small, ends[:-1])
+            yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "members": [np.unique(own).tobytes() for own in each]})
 
 
-def _similar(least: float):
+def _outline(extra: np.ndarray) -> tuple[list[int], int]:
+    """A bit map of these values, and how many of them share a bit with another."""
+    bits = np.zeros(BITS, bool)
+    bits[extra >> np.uint32(32 - BITS.bit_length() + 1)] = True
+    return np.packbits(bits).view(np.int64).tolist(), len(extra) - int(bits.sum())
+
+
+def _compared(least: float, outlines: bool):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for left, right in zip(batch["left"], batch["right"], strict=True):
-                a, b = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
-                common = 0
-                if least * max(len(a), len(b)) <= min(len(a), len(b)):
-                    common = np.intersect1d(a, b).size
-                keep.append(common >= least * (len(a) + len(b) - common))
-            yield batch.loc[keep, ["a", "b"]]
+            rows = []
+            for a, b, left, right in zip(batch["a"], batch["b"], batch["left"], batch["right"], strict=True):
+                left, right = np.frombuffer(left, "<u4"), np.frombuffer(right, "<u4")
+                both = np.intersect1d(left, right, assume_unique=True)
+                row = (a, b, len(both), len(both) >= least * (len(left) + len(right) - len(both)))
+                if outlines:
+                    for own in (left, right):
+                        row += _outline(np.setdiff1d(own, both, assume_unique=True))
+                rows.append(row)
+            yield pd.DataFrame(rows, columns=["a", "b", "common", "alike", "bits_a", "lost_a", "bits_b", "lost_b"][: 8 if outlines else 4])
 
     return run
 
 
-def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs whose similarity is at least `least`."""
+def _checked(pairs: DataFrame, sets: DataFrame, least: float, outlines: bool = False) -> DataFrame:
+    """The pairs with the number of common shingles, and whether their similarity is at least `least`.
+
+    With `outlines`, also bit maps of the shingles of each that the other lacks.
+    """
     left = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("left"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("right"))
-    return pairs.join(left, "a").join(right, "b").mapInPandas(_similar(least), "a long, b long")
+    schema = "a long, b long, common long, alike boolean"
+    if outlines:
+        schema += ", bits_a array<long>, lost_a long, bits_b array<long>, lost_b long"
+    return pairs.join(left, "a").join(right, "b").mapInPandas(_compared(least, outlines), schema)
 
 
 def _ordered(a: str, b: str) -> list:
@@ -167,7 +183,7 @@ def classes(docs: DataFrame, folder: str, bands: int = BANDS, rows: int = ROWS,
 
     # the head's own row alone; equal rows under one id have equal bands
     first = sketches.join(heads.select(F.col("head").alias("doc_id"), *own), ["doc_id", *own])
-    keys = first.select("doc_id", F.explode("bands").alias("bucket")).distinct()
+    keys = first.select("doc_id", "shingles", F.explode("bands").alias("bucket")).distinct()
     keys = stage(keys, folder, "keys")
     sizes = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = stage(keys.join(stage(sizes, folder, "sizes"), "bucket"), folder, "members")
@@ -183,20 +199,38 @@ def classes(docs: DataFrame, folder: str, bands: int = BANDS, rows: int = ROWS,
     wanted = stage(members.select("doc_id").distinct(), folder, "wanted")
     sets = texts.join(wanted.hint("merge"), "doc_id").mapInPandas(_sets, "doc_id long, members binary")
     sets = stage(sets.dropDuplicates(["doc_id"]), folder, "sets")
-    links = stage(_checked(star, sets, least), folder, "links")
+    star = stage(_checked(star, sets, least, outlines=True), folder, "compared")
+    links = star.where("alike").select("a", "b")
     nodes = wanted.withColumnRenamed("doc_id", "node")
     roots = stage(connected_components(nodes, links, []), folder, "roots")
 
     # buckets with several components: those outside the largest against all of another component
-    placed = stage(members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id").select("bucket", "doc_id", "root"), folder, "placed")
+    placed = members.join(roots.withColumnRenamed("node", "doc_id"), "doc_id")
+    placed = stage(placed.select("bucket", "doc_id", "shingles", "root"), folder, "placed")
     parts = placed.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = parts.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("parts"))
     mixed_ = stage(largest.where("parts > 1"), folder, "mixed")
-    inside = stage(placed.join(mixed_.select("bucket", "main"), "bucket"), folder, "inside")
-    outside = inside.where("root <> main").select("bucket", F.col("doc_id").alias("other"), F.col("root").alias("its"))
-    again = inside.join(outside, "bucket").where("root <> its AND (root = main OR doc_id < other)")
+    inside = placed.join(mixed_.select("bucket", "main"), "bucket").join(centres, "bucket")
+    inside = inside.select("*", *_ordered("doc_id", "centre")).join(star, ["a", "b"], "left")
+    first = F.col("doc_id") == F.col("a")
+    inside = inside.select(
+        "bucket", "doc_id", "shingles", "root", "main", F.coalesce("common", "shingles").alias("common"),
+        F.when(first, F.col("bits_a")).otherwise(F.col("bits_b")).alias("bits"),
+        F.coalesce(F.when(first, F.col("lost_a")).otherwise(F.col("lost_b")), F.lit(0)).alias("lost"),
+    )
+    inside = stage(inside, folder, "inside")
+    outside = inside.where("root <> main").select(
+        "bucket", F.col("doc_id").alias("other"), F.col("root").alias("its"), F.col("shingles").alias("its_shingles"),
+        F.col("common").alias("its_common"), F.col("bits").alias("its_bits"), F.col("lost").alias("its_lost"),
+    )
+    # What two texts have in common is part of the centre, at most the less that either shares with it, or not, at most
+    # what their maps of other shingles allow. Where that is too little the pair is proved to be dissimilar.
+    shared = sum((F.bit_count(F.col("bits")[i].bitwiseAND(F.col("its_bits")[i])) for i in range(BITS // 64)), F.lit(0))
+    most = F.least("common", "its_common") + F.coalesce(shared, F.lit(0)) + F.least("lost", "its_lost")
+    able = most >= least / (1 + least) * (F.col("shingles") + F.col("its_shingles")) - 1e-6
+    again = inside.join(outside, "bucket").where(able).where("root <> its AND (root = main OR doc_id < other)")
     again = again.select(*_ordered("doc_id", "other")).distinct().join(star, ["a", "b"], "left_anti")
-    more = stage(_checked(stage(again, folder, "again"), sets, least), folder, "more")
+    more = stage(_checked(stage(again, folder, "again"), sets, least).where("alike").select("a", "b"), folder, "more")
     if not more.isEmpty():
         roots = stage(connected_components(nodes, links.union(more), []), folder, "all_roots")
 
