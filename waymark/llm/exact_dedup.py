@@ -167,7 +167,10 @@ def halves(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def apply(docs: DataFrame, found: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """The documents that stay, with all their columns: the row with the greatest doc_id of each class."""
+    """The documents that stay, with all their columns: the row with the greatest doc_id of each class.
+
+    Rows are told apart by doc_id and digest, so several texts under one id need a strong digest here.
+    """
     rows = docs.withColumn("_digest", digest(whole_text()))
     gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_its")).distinct()
     same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_its"))

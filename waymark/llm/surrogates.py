@@ -150,7 +150,7 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
         return "".join(str(stream.below(10)) for _ in value)
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in value)
-        return "".join("0123456789abcdef"[stream.below(16)] if hexadecimal and c.isalnum() else _letter(stream, c) for c in value)
+        return "".join("abcdef"[stream.below(6)] if hexadecimal and c.isalpha() else _letter(stream, c) for c in value)
     names = NAMES["cyrillic" if re.search("[а-яё]", value) else "latin"]
     pool = names["last"] if kind == "last" else names[kind[-1]]
     parts = [pool[stream.below(len(pool))]]

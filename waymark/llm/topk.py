@@ -59,7 +59,7 @@ def search_block(
     live, survivors, read = np.arange(len(queries)), [None] * len(queries), 0
     for depth in (*depths, 1.0) if count > 4 * k else (1.0,):
         rows = min(count, max(k, int(np.ceil(depth * count))))
-        read += 2 * rows * width
+        read = 2 * rows * width
         if rows == count:
             for query in live:
                 survivors[query] = np.flatnonzero(~own[:, query])
