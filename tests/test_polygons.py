@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from waymark.functions import hexgrid
-from waymark.functions.polygons import contains, with_shape
+from waymark.functions.polygons import contains, ring_edges, with_shape
 from waymark.operators.spatial import (
     centroids,
     check_fences,
@@ -136,3 +136,9 @@ def test_contains_on_one_row(spark, shapes):
     shape = with_shape(shapes.where("id = 2"))
     row = shape.select(contains(F.col("edges"), F.lit(-17.89), F.lit(-63.19)).alias("in")).first()
     assert row["in"] is True
+
+
+def test_empty_rings_have_no_edges(spark):
+    rings = [([],), ([[0.0, 0.0]],), ([[0.0, 0.0], [0.1, 0.0], [0.0, 0.0]],), (square(0.0, 0.0, 1.0),)]
+    got = spark.createDataFrame(rings, "ring array<array<double>>").select(F.size(ring_edges(F.col("ring"))).alias("n"))
+    assert sorted(r["n"] for r in got.collect()) == [0, 0, 2, 4]

@@ -267,6 +267,16 @@ def test_risk_filter_survives_missing_metadata(spark):
     assert values(got, "id") == [1]
 
 
+def test_risk_filter_has_no_limit_and_reports_are_newest_first(spark):
+    rows = spark.range(6000).selectExpr(
+        "id", "1L AS device_id", "1.0D AS latitude", "1.0D AS longitude", "0.9D AS anomaly_score", "true AS is_anomaly",
+        "timestamp'2024-01-05 00:00:00' + make_interval(0,0,0,0,0,0,id) AS detected_at", "'{\"risk_level\":\"high\"}' AS metadata",
+    )
+    now = "2024-01-06T00:00:00+00:00"
+    assert anomalies.anomaly_report(rows, now, risk="high").count() == 6000
+    assert values(anomalies.anomaly_report(rows, now, limit=3), "id") == [5999, 5998, 5997]
+
+
 def test_zone_heatmap_of_zero_densities(spark):
     rows = [(1, 0, 1.0, 1.0, 0.0, 5.0, 3, None, DAY, DAY), (1, 1, 1.0, 1.0, None, 5.0, 3, "main", DAY, DAY)]
     got = zones.zone_heatmap(spark.createDataFrame(rows, TABLES["zones"])).orderBy("cluster_id").collect()

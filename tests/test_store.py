@@ -30,6 +30,19 @@ def test_route_upsert_keeps_untouched_rows(spark, tmp_path):
     assert got == {(1, 5): 11, (2, 5): 20, (1, 6): 30}
 
 
+def test_upserts_read_touched_days_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "routes")
+    store.save_days(routes(spark, [(1, day, 10) for day in range(1, 20)]), path, "daily_routes")
+    fresh = routes(spark, [(1, 5, 11), (1, 7, 11)])
+    for listed in (1000, 1):
+        monkeypatch.setattr(store, "LISTED_DAYS", listed)
+        touched = store.of_days(spark.read.parquet(path), fresh)
+        plan = touched._jdf.queryExecution().toString()
+        assert "2024-01-05" in plan.split("PartitionFilters: [")[1].split("]")[0].replace("19727", "2024-01-05")
+        assert sorted(r["date"].day for r in touched.collect()) == [5, 7]
+    assert store.of_days(spark.read.parquet(path), fresh.limit(0)).count() == 0
+
+
 def scored(spark, rows):
     return spark.createDataFrame(
         [(i, d, 1.0, 1.0, 0.5, False, DAY + dt.timedelta(hours=h), None) for i, d, h in rows], TABLES["anomalies"]

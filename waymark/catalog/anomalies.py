@@ -45,7 +45,7 @@ def _recent_routes(spark, sf):
 QUERIES = {
     "anomaly_report": _report(),
     "anomaly_report_only_anomalies": _report(only_anomalies=True),
-    "anomaly_report_high_risk": _report(risk="high", limit=5000),
+    "anomaly_report_high_risk": _report(risk="high"),
     "anomaly_report_counts": _counts,
     "vehicle_anomalies": _vehicle_report,
     "device_anomalies": lambda spark, sf: A.device_anomalies(load(spark, sf, "anomalies")),
@@ -89,7 +89,7 @@ CHECKS = {
         "detected_at",
     ),
     "anomaly_report_high_risk": portable_sql(
-        oracle(f"WITH {_ROWS} SELECT * FROM rows_ WHERE risk_level = 'high' QUALIFY {_NEWEST} <= 2000", "anomalies"),
+        oracle(f"WITH {_ROWS} SELECT * FROM rows_ WHERE risk_level = 'high'", "anomalies"),
         "detected_at",
     ),
     "anomaly_report_counts": oracle(

@@ -23,8 +23,8 @@ def read_parts(geojson: Column) -> Column:
 
 
 def ring_edges(ring: Column) -> Column:
-    """Edges of one closed ring."""
-    count = F.size(ring) - 1
+    """Edges of one closed ring; none for an empty one."""
+    count = F.greatest(F.size(ring) - 1, F.lit(0))
     return F.zip_with(
         F.slice(ring, F.lit(1), count),
         F.slice(ring, F.lit(2), count),

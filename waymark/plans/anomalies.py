@@ -42,9 +42,11 @@ def anomaly_report(
     risk: str | None = None,
     limit: int = S.ANOMALY_LIMIT,
 ) -> DataFrame:
-    """Newest scored points per device, at most `limit` (bounded by 2000) of them."""
+    """Scored points per device, newest first: at most `limit` (bounded by 2000), or all of one risk level."""
     rows = anomaly_rows(anomalies, as_of, hours, only_anomalies, risk)
-    return top_k(rows, ["device_id"], _newest(), min(limit, S.ANOMALY_LIMIT_MAX), ["id"]).drop("rank")
+    if risk is None:
+        rows = top_k(rows, ["device_id"], _newest(), min(limit, S.ANOMALY_LIMIT_MAX), ["id"]).drop("rank")
+    return rows.orderBy("device_id", *_newest())
 
 
 def report_counts(report: DataFrame) -> DataFrame:
@@ -55,9 +57,10 @@ def report_counts(report: DataFrame) -> DataFrame:
 
 
 def device_anomalies(anomalies: DataFrame, limit: int = S.DEVICE_ANOMALY_LIMIT) -> DataFrame:
-    """Newest scored points per device, whatever their age."""
+    """Newest scored points per device, whatever their age, newest first."""
     columns = ["id", "device_id", "latitude", "longitude", "anomaly_score", "is_anomaly", "detected_at", "metadata"]
-    return top_k(anomalies.select(*columns), ["device_id"], _newest(), limit, ["id"]).drop("rank")
+    rows = top_k(anomalies.select(*columns), ["device_id"], _newest(), limit, ["id"]).drop("rank")
+    return rows.orderBy("device_id", *_newest())
 
 
 def heat_points(

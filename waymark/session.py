@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -16,10 +18,19 @@ def build(app: str = "waymark", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return prepare(builder.getOrCreate())
+    return ship(prepare(builder.getOrCreate()))
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, which need not have it installed."""
+    package = Path(__file__).resolve().parent
+    packed = shutil.make_archive(f"{tempfile.mkdtemp(prefix='waymark-')}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(packed)
+    return spark
 
 
 def prepare(spark: SparkSession) -> SparkSession:

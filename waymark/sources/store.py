@@ -17,6 +17,9 @@ from waymark.functions.scalars import since
 from waymark.schemas import TABLES
 from waymark.session import shared_dir
 
+#: Dates that a plan lists one by one.
+LISTED_DAYS = 1000
+
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A stored table with its declared schema (plus extra columns some sinks add); empty when not there yet."""
@@ -52,6 +55,19 @@ def _drop_days(spark: SparkSession, path: str, days: DataFrame) -> None:
         folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def of_days(stored: DataFrame, days: DataFrame) -> DataFrame:
+    """The stored rows of the dates in `days`; other partitions are not read.
+
+    The dates go into the plan as a list, up to `LISTED_DAYS` of them; beyond that their span does, and a join.
+    """
+    dates = days.select("date").where("date IS NOT NULL").distinct()
+    listed = [row["date"] for row in dates.limit(LISTED_DAYS + 1).collect()]
+    if len(listed) <= LISTED_DAYS:
+        return stored.where(F.col("date").isin(listed)) if listed else stored.limit(0)
+    first, last = dates.agg(F.min("date"), F.max("date")).first()
+    return stored.where(F.col("date").between(first, last)).join(dates, "date", "left_semi")
+
+
 def replace_keys(existing: DataFrame, fresh: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`fresh`, and the existing rows whose keys it does not have."""
     kept = existing.join(fresh.select(*keys).distinct(), list(keys), "left_anti")
@@ -66,7 +82,7 @@ def save_days(fresh: DataFrame, path: str, name: str, order: Sequence[str] = ("d
     spark = fresh.sparkSession
     fresh = staged(fresh)
     stored = read_table(spark, path, name)
-    touched = stored.join(F.broadcast(fresh.select("date").distinct()), "date", "left_semi")
+    touched = of_days(stored, fresh)
     _write_days(staged(replace_keys(touched, fresh, ["device_id", "date"])), path, order)
 
 

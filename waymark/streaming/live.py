@@ -115,7 +115,8 @@ def route_stream(
         writer = dated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
         writer.partitionBy("date", "batch_id").parquet(positions_path)
         touched = dated.select("device_id", "date").distinct()
-        stored = spark.read.parquet(positions_path).drop("batch_id").join(touched, ["device_id", "date"], "left_semi")
+        stored = store.of_days(spark.read.parquet(positions_path).drop("batch_id"), touched)
+        stored = stored.join(touched, ["device_id", "date"], "left_semi")
         points = routes.route_points(stored.drop("date"))
         store.save_routes(routes.summarise_routes(points), routes.route_segments(points), summary_path, segments_path)
 
