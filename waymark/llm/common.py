@@ -46,4 +46,4 @@ def sampled(rows: DataFrame, key: str, strata: str, bound: int) -> DataFrame:
     counts = rows.groupBy(strata).agg(F.count(F.lit(1)).alias("_n"))
     share = F.lit(float(bound)) / F.col("_n")
     point = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return rows.join(counts, strata).where(point < share).drop("_n")
+    return rows.join(F.broadcast(counts), strata).where(point < share).drop("_n")  # one row for each of few strata
