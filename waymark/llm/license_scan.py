@@ -149,6 +149,7 @@ def train(rows: DataFrame) -> tuple[LogisticRegressionModel, float]:
     held = F.pmod(F.xxhash64("line"), F.lit(4)) == 0
     rows = grams(rows, "line").withColumn("label", label).withColumn("held", held).coalesce(4).persist()
     counts = rows.where("NOT held").groupBy("family").count()
+    counts = F.broadcast(counts)  # one row per family; each iteration then keeps the few partitions of the rows
     weighted = rows.where("NOT held").join(counts, "family").withColumn("share", 100 / F.col("count"))
     fit = LogisticRegression(maxIter=80, regParam=0.003, elasticNetParam=0.3, weightCol="share").fit(weighted)
     best = F.array_max(vector_to_array("probability"))
