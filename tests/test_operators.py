@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from waymark.operators.components import connected_components
 from waymark.operators.quantiles import exact_quantile
 from waymark.operators.ranking import first_per_key, top_k, with_previous
+from waymark.operators.spatial import nearest_zone
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -113,3 +114,40 @@ def test_times_are_utc(spark):
     when = dt.datetime(2024, 1, 5, 23, 30, tzinfo=dt.timezone.utc)
     df = spark.createDataFrame([(when,)], "t timestamp")
     assert str(df.select(F.to_date("t").alias("d")).first()["d"]) == "2024-01-05"
+
+
+@pytest.mark.parametrize("per_row", [2, 512])
+def test_nearest_zone_keeps_every_point(spark, per_row):
+    """Equal and NULL ids, missing places, ties, poles and the date line; any split of the zones gives the same."""
+    rng = np.random.default_rng(5)
+    zones = [(1, i, "z", float(rng.uniform(-1, 1)), float(rng.uniform(-1, 1))) for i in range(60)]
+    zones += [(1, 60, "east", 0.0, 179.99), (1, 61, "north", 89.99, 10.0), (1, 62, "twin", 0.0, 179.99)]
+    zones += [(2, 7, "only", 5.0, 5.0), (3, 1, "lost", None, 5.0)]
+    points = [(i % 3 or None, 1, float(rng.uniform(-1.5, 1.5)), float(rng.uniform(-1.5, 1.5))) for i in range(400)]
+    points += [(1, 1, 0.0, -179.99), (1, 1, 89.99, -170.0), (1, 1, None, None), (None, 2, None, 1.0)]
+    points += [(5, 2, 0.0, 0.0)] * 3 + [(6, 3, 0.0, 0.0), (7, None, 0.0, 0.0), (8, 2, float("nan"), 0.0)]
+    got = nearest_zone(
+        spark.createDataFrame(points, "id bigint, device_id bigint, latitude double, longitude double"),
+        spark.createDataFrame(
+            zones, "device_id bigint, cluster_id int, label string, centroid_lat double, centroid_lng double"
+        ),
+        per_row=per_row,
+    ).collect()
+    assert len(got) == len(points)
+
+    def metres(a, b, c, d):
+        a, b, c, d = map(np.radians, (a, b, c, d))
+        h = np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2
+        return 2 * 6_371_000.0 * np.arcsin(np.sqrt(h))
+
+    for row in got:
+        mine = [z for z in zones if z[0] == row["device_id"] and z[3] is not None]
+        assert row["has_clusters"] == bool(mine)
+        if not mine:
+            continue
+        if row["latitude"] is None or row["longitude"] is None or np.isnan(row["latitude"]):
+            assert row["nearest_cluster_id"] == mine[0][1]
+            continue
+        far = [(round(metres(row["latitude"], row["longitude"], z[3], z[4]), 3), z[1]) for z in mine]
+        assert row["nearest_cluster_id"] == min(far)[1]
+        assert abs(row["min_distance"] - min(far)[0]) <= 0.06

@@ -196,3 +196,18 @@ def test_shared_folder_is_demanded_on_clusters(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake())
+
+
+def test_repeated_training_leaves_one_forest_per_model(spark, sf_dir, tmp_path):
+    """A second run with the same `as_of` on other data replaces models and scores; other days' models stay."""
+    positions, devices = load(spark, sf_dir, "positions"), load(spark, sf_dir, "devices")
+    target = refresh.Store(str(tmp_path / "store"))
+    earlier = "2024-01-25T00:00:00+00:00"
+    for as_of, rows in ((earlier, positions), (AS_OF, positions), (AS_OF, positions.where("id % 10 < 9"))):
+        refresh.refresh(rows, devices, target, as_of, trees=10)
+    models, forests = spark.read.parquet(target.path("models")), spark.read.parquet(target.path("forests"))
+    assert models.groupBy("id").count().where("count > 1").count() == 0
+    assert {r["count"] for r in forests.groupBy("model_id").count().collect()} == {10}
+    assert models.select("trained_to").distinct().count() == 2
+    _, trees = scoring.current(models, forests, scoring.ROUTE_MODEL)
+    assert "PartitionFilters: [isnotnull(trained_to" in trees._jdf.queryExecution().toString()

@@ -9,12 +9,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waymark.catalog import anomalies, heatmap, routes, scoring, spatial, streams, tracking, zones
+from waymark.catalog import anomalies, given_trees, heatmap, routes, scoring, spatial, streams, tracking, zones
 from waymark.session import prepare
 from waymark.sources.fixtures import portable
 
 Query = Callable[[SparkSession, str], DataFrame]
-AREAS = (routes, tracking, anomalies, heatmap, spatial, zones, scoring, streams)
+AREAS = (routes, tracking, anomalies, heatmap, spatial, zones, scoring, given_trees, streams)
 
 
 def _ready(query: Query) -> Query:

@@ -1,7 +1,8 @@
 """Anomaly models and scores.
 
-Trees are random, so queries that apply a forest have no check SQL; tests check their properties. The
-real-time rule is checked with a label derived from the data.
+Trained trees are random, so queries that return their scores have no check SQL: tests check their properties, and
+`given_trees` checks the same plans with trees given by a formula. The real-time rule is checked with a label derived
+from the data.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ def _route_models(spark, sf):
 
 def _trained(spark, sf):
     models, _ = _route_models(spark, sf)
-    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples", F.round("threshold", 6).alias("threshold"))
+    bounded = F.col("threshold").between(-1.0, 0.0).alias("threshold_within")
+    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples", bounded)
 
 
 def _tree_sizes(spark, sf):
     _, forests = _route_models(spark, sf)
     inner = F.size(F.filter("feature", lambda f: f >= 0))
     return forests.groupBy("device_id").agg(
-        F.count(F.lit(1)).alias("trees"), F.max("sample_size").alias("sample_size"), F.sum(inner).alias("splits")
+        F.count(F.lit(1)).alias("trees"), F.max("sample_size").alias("sample_size"), F.bool_and(inner > 0).alias("all_split")
     )
 
 
@@ -92,8 +94,14 @@ def _quantile(spark, sf):
     return result.withColumn("threshold", F.round("threshold", 9))
 
 
+def points_scored(summary):
+    """What does not depend on random trees: the points, and that the anomalies are some of them."""
+    within = F.col("anomalies").between(F.lit(0), F.col("points_scored")).alias("anomalies_within")
+    return summary.select("device_id", "points_scored", within)
+
+
 def _summary(spark, sf):
-    return scoring_summary(_scored(spark, sf))
+    return points_scored(scoring_summary(_scored(spark, sf)))
 
 
 QUERIES = {
@@ -146,6 +154,27 @@ CHECKS = {
         GROUP BY device_id HAVING count(*) >= 50""",
         "positions",
     ),
+    "route_models": oracle(
+        f"""WITH {_TRAINING}
+        SELECT device_id, 'IsolationForest' AS model_type, '2024-01-11' AS trained_from, '2024-01-31' AS trained_to,
+          count(*) AS n_samples, TRUE AS threshold_within
+        FROM training GROUP BY device_id HAVING count(*) >= 50""",
+        "positions",
+    ),
+    "route_forest_sizes": oracle(
+        f"""WITH {_TRAINING}
+        SELECT device_id, 200 AS trees, least(count(*), 256) AS sample_size, TRUE AS all_split
+        FROM training GROUP BY device_id HAVING count(*) >= 50""",
+        "positions",
+    ),
+    "batch_score_summary": oracle(
+        f"""WITH {_TRAINING},
+        trained AS (SELECT device_id FROM training GROUP BY device_id HAVING count(*) >= 50)
+        SELECT device_id, count(*) AS points_scored, TRUE AS anomalies_within FROM positions SEMI JOIN trained USING (device_id)
+        WHERE recorded_at >= TIMESTAMP '2024-01-30 00:00:00' AND latitude IS NOT NULL AND longitude IS NOT NULL
+        GROUP BY device_id""",
+        "positions",
+    ),
     "additive_score": oracle(
         f"""WITH nearest AS (
           SELECT p.id, z.label AS zone_label,

@@ -11,7 +11,9 @@ from waymark.catalog import heatmap as heatmap_queries
 from waymark.catalog import scoring as scoring_queries
 from waymark.catalog import tracking as tracking_queries
 from waymark.catalog import routes as route_queries
+from waymark.catalog import zones as zone_queries
 from waymark.catalog.heatmap import SOURCES
+from waymark.catalog.routes import clean_ctes
 from waymark.catalog.scoring import segments
 from waymark.operators.spatial import nearest_zone
 from waymark.plans import heatmap as H
@@ -142,7 +144,8 @@ def _heatmap_json(spark, sf):
 
 def _nightly(spark, sf):
     target = refresh.Store(_folder(spark, "nightly"))
-    return refresh.refresh(load(spark, sf, "positions"), load(spark, sf, "devices"), target, AS_OF)
+    summary = refresh.refresh(load(spark, sf, "positions"), load(spark, sf, "devices"), target, AS_OF)
+    return scoring_queries.points_scored(summary)
 
 
 def _nightly_zones(spark, sf):
@@ -172,6 +175,13 @@ _RULE = scoring_queries.CHECKS["additive_score"].replace(
     "p.speed IS NOT NULL AS known", "TRUE AS known, p.recorded_at AS detected_at"
 ).replace("SELECT id, min_distance, CAST", "SELECT id, detected_at, min_distance, CAST")
 
+
+def active_sql(devices: str) -> str:
+    """The CTE `active`: positions before the day of the job, of active devices."""
+    return f"""active AS (SELECT * FROM positions
+      WHERE device_id IN (SELECT id FROM {devices} WHERE status = 'active'))"""
+
+
 CHECKS = {
     "stream_dedupe": portable_sql(
         oracle("SELECT DISTINCT device_id, recorded_at FROM positions", "positions"), "recorded_at"
@@ -208,4 +218,27 @@ CHECKS = {
         "zones",
     ),
     "heatmap_json": heatmap_queries.CHECKS["fleet_heatmap"],
+    "nightly_refresh": oracle(
+        f"""WITH {active_sql("devices")}, {clean_ctes("active")},
+        route_days AS (SELECT *, count(*) OVER (PARTITION BY device_id, date) AS n FROM clean),
+        trained AS (SELECT device_id FROM route_days WHERE n >= 5 AND date >= DATE '2024-01-11'
+          AND date < DATE '2024-01-31' GROUP BY device_id HAVING count(*) >= 50)
+        SELECT device_id, count(*) AS points_scored, TRUE AS anomalies_within FROM active SEMI JOIN trained USING (device_id)
+        WHERE recorded_at >= TIMESTAMP '2024-01-30 00:00:00' AND latitude IS NOT NULL AND longitude IS NOT NULL
+        GROUP BY device_id""",
+        "positions",
+        "devices",
+    ),
+    # no scores are stored before the zones are built, so no stop is left out as anomalous
+    "nightly_zone_totals": oracle(
+        f"""WITH RECURSIVE {active_sql("devices")},
+        anomalies AS (SELECT CAST(NULL AS BIGINT) AS device_id, CAST(NULL AS DOUBLE) AS latitude,
+          CAST(NULL AS DOUBLE) AS longitude, FALSE AS is_anomaly, TIMESTAMP '2024-01-01 00:00:00' AS detected_at),
+        {zone_queries.clusters_sql("active")[1].removeprefix("RECURSIVE ")},
+        found AS (SELECT device_id, cluster FROM clustered WHERE cluster >= 0 GROUP BY ALL)
+        SELECT device_id, count(*) AS total_clusters, least(count(*), 2) AS main_clusters
+        FROM found GROUP BY device_id""",
+        "positions",
+        "devices",
+    ),
 }

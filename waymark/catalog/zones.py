@@ -61,7 +61,13 @@ QUERIES = {
     "zone_heatmap": lambda spark, sf: Z.zone_heatmap(load(spark, sf, "zones")),
 }
 
-_STOPS = f"""{clean_ctes('positions')},
+def clusters_sql(source: str = "positions") -> tuple[str, str]:
+    """CTEs up to `stops`, and up to `clustered`, over a table of positions."""
+    stops_sql = _STOPS.replace("{clean}", clean_ctes(source))
+    return stops_sql, _CLUSTERS.replace("{stops}", stops_sql)
+
+
+_STOPS = """{clean},
 route_days AS (SELECT *, count(*) OVER (PARTITION BY device_id, date) AS n FROM clean),
 flagged AS (SELECT DISTINCT device_id, round(latitude, 5) AS lat5, round(longitude, 5) AS lng5 FROM anomalies
   WHERE is_anomaly AND detected_at >= TIMESTAMP '2024-01-11 00:00:00' AND latitude IS NOT NULL),
@@ -73,7 +79,7 @@ stops AS (SELECT device_id, date, hour, recorded_at, latitude, longitude
     ORDER BY recorded_at) = 1)"""
 
 # textbook form: all pairs within a device, labels spread over core pairs until they settle
-_CLUSTERS = f"""RECURSIVE {_STOPS},
+_CLUSTERS = f"""RECURSIVE {{stops}},
 usable AS (SELECT * FROM stops QUALIFY count(*) OVER (PARTITION BY device_id) >= 16),
 near AS MATERIALIZED (SELECT a.device_id, a.recorded_at AS p, b.recorded_at AS q FROM usable a JOIN usable b
   ON a.device_id = b.device_id AND abs(a.latitude - b.latitude) < 0.002
@@ -95,10 +101,12 @@ clustered AS (SELECT u.*, coalesce(n.cluster, b.cluster, -1) AS cluster FROM usa
   LEFT JOIN numbered n ON n.device_id = u.device_id AND n.p = u.recorded_at
   LEFT JOIN border b ON b.device_id = u.device_id AND b.p = u.recorded_at)"""
 
+STOPS_SQL, CLUSTERS_SQL = clusters_sql()
+
 CHECKS = {
     "stop_points": portable_sql(
         oracle(
-            f"""WITH {_STOPS} SELECT * REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude)
+            f"""WITH {STOPS_SQL} SELECT * REPLACE (round(latitude, 6) AS latitude, round(longitude, 6) AS longitude)
             FROM stops""",
             "positions",
             "anomalies",
@@ -107,11 +115,11 @@ CHECKS = {
         "recorded_at",
     ),
     "stop_clusters": portable_sql(
-        oracle(f"WITH {_CLUSTERS} SELECT device_id, recorded_at, cluster FROM clustered", "positions", "anomalies"),
+        oracle(f"WITH {CLUSTERS_SQL} SELECT device_id, recorded_at, cluster FROM clustered", "positions", "anomalies"),
         "recorded_at",
     ),
     "frequent_zones": oracle(
-        f"""WITH {_CLUSTERS},
+        f"""WITH {CLUSTERS_SQL},
         centers AS (SELECT device_id, cluster AS cluster_id, avg(latitude) AS centroid_lat,
           avg(longitude) AS centroid_lng, count(*) AS point_count, count(DISTINCT date) AS frequent_days
           FROM clustered WHERE cluster >= 0 GROUP BY device_id, cluster),
@@ -128,7 +136,7 @@ CHECKS = {
         "anomalies",
     ),
     "clustering_status": oracle(
-        f"""WITH {_CLUSTERS}
+        f"""WITH {CLUSTERS_SQL}
         SELECT s.device_id, s.stop_points, coalesce(c.n_clusters, 0) AS n_clusters, coalesce(c.n_noise, 0) AS n_noise,
           CASE WHEN s.stop_points < 16 THEN 'insufficient_data' ELSE 'ok' END AS status
         FROM (SELECT device_id, count(*) AS stop_points FROM stops GROUP BY device_id) s

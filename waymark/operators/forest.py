@@ -145,13 +145,22 @@ def scaled(features: Sequence[str]) -> list[Column]:
 def grow_trees(
     points: DataFrame, stats: DataFrame, features: Sequence[str], key: str, trees: int = S.TREES, seed: int = S.SEED
 ) -> DataFrame:
-    """Trees of every device in `stats`, from a hash-ranked pool of as many rows as the trees sample."""
+    """Trees of every device in `stats`, from a hash-ranked pool of as many rows as the trees sample.
+
+    The pool is a uniform sample of all rows of the device, and a tree's sample is a uniform one of the pool, so every
+    row is as likely as any other to be in a tree. The count of rows is known: hashes that are too high to be in
+    the pool (twice its expected share) go before anything is shuffled or sorted.
+    """
     columns = [f"z{i}" for i in range(len(features))]
     draw = F.xxhash64(F.lit(seed), "device_id", key).alias("draw")
-    ranked = points.join(stats, "device_id").select(
-        "device_id", draw, F.col(key).alias("key"), *scaled(features)
+    size = trees * S.TREE_SAMPLE
+    share = F.least(F.lit(1.0), F.lit(2.0 * size) / F.col("n_samples"))
+    ranked = (
+        points.join(stats, "device_id")
+        .where(draw.cast("double") <= (share - 0.5) * F.lit(2.0**64))
+        .select("device_id", draw, F.col(key).alias("key"), *scaled(features))
     )
-    pool = top_k(ranked, ["device_id"], [F.col("draw"), F.col("key")], trees * S.TREE_SAMPLE, ["key"])
+    pool = top_k(ranked, ["device_id"], [F.col("draw"), F.col("key")], size, ["key"])
 
     def grow(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         device = int(group[0])

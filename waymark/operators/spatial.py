@@ -7,6 +7,8 @@ and Spark chooses by actual size whether to broadcast the shapes or shuffle (and
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ from waymark.functions.polygons import boundary_distance_m, contains, read_parts
 LEVELS = (0.02, 0.32, 5.12, 81.92)
 CELLS_PER_AXIS = 8
 CELL = ["_level", "_row", "_col"]
+#: The cell of rows without a place.
+NO_CELL = -(2**62)
 
 
 def _index(value: Column, side: float | Column) -> Column:
@@ -233,29 +237,73 @@ def with_nearest(df: DataFrame, alias: str) -> DataFrame:
     return found.withColumn(alias, F.when(known, near)).drop("_x", "_y", "_z", "_chords", "_winner", "zones")
 
 
-def nearest_zone(points: DataFrame, zones: DataFrame, key: str = "id", per_row: int = S.ZONES_PER_ROW) -> DataFrame:
-    """Zone context of every point: the nearest zone of its device.
+def _zone_cell(df: DataFrame) -> DataFrame:
+    """Add the grid cell (`_row`, `_col`) of each place; all rows without a place share one cell of their own."""
+
+    def index(degrees: Column) -> Column:
+        return F.floor(degrees / F.lit(S.ZONE_CELL_DEGREES)).cast("bigint")
 
-    Zones come as one array row per device, and the minimum is taken within the joined row: nothing is
-    multiplied and nothing is grouped. Only devices with more zones than one array holds meet several
-    rows per point, whose minima are then merged by point.
+    lat, lon = F.col("latitude"), F.col("longitude")
+    usable = (F.abs(lat) < 1e9) & (F.abs(lon) < 1e9)
+    nowhere = F.lit(NO_CELL).cast("bigint")
+    return df.withColumns(
+        {name: F.when(usable, index(value)).otherwise(nowhere) for name, value in (("_row", lat), ("_col", lon))}
+    )
+
+
+def cell_zones(places: DataFrame, zones: DataFrame, per_row: int = S.ZONES_PER_ROW) -> DataFrame:
+    """Per device and occupied cell, the zones that are nearest to some place in the cell: (..., zones).
+
+    A place lies within one cell side (as an angle) of the centre of its cell. So the nearest zone of any place
+    there is at most two sides farther from the centre than the zone nearest to the centre; all others are
+    left out. Cells, not places, meet all zones of their device, in arrays of at most `per_row`.
     """
-    blocks = zone_arrays(zones, per_row)
-    busy = blocks.where("zone_block > 0").select("device_id").distinct()
-    single = blocks.join(busy, "device_id", "left_anti").drop("zone_block")
-    many = blocks.join(busy, "device_id", "left_semi").drop("zone_block")
-
-    usual = with_nearest(
-        points.join(busy, "device_id", "left_anti").join(single, "device_id", "left"), "_best"
-    ).select(*points.columns, "_best")
+    cells = _zone_cell(places).select("device_id", "_row", "_col").distinct()
+    side = F.lit(S.ZONE_CELL_DEGREES)
+    x, y, z = _unit_vector((F.col("_row") + 0.5) * side, (F.col("_col") + 0.5) * side)
+
+    def angle(zone: Column) -> Column:
+        dx, dy, dz = zone.x - F.col("_x"), zone.y - F.col("_y"), zone.z - F.col("_z")
+        return 2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(dx * dx + dy * dy + dz * dz) / 2.0))
+
+    # a little more than two sides, for rounding
+    margin = F.lit(2.0 * math.radians(S.ZONE_CELL_DEGREES) + 1e-7)
+    nowhere = F.col("_row") == F.lit(NO_CELL)
+    measured = F.transform("zones", lambda zone: F.struct(angle(zone).alias("angle"), zone.alias("zone")))
+    met = (
+        cells.join(zone_arrays(zones, per_row), "device_id")
+        .withColumns({"_x": x, "_y": y, "_z": z})
+        .withColumn("_measured", measured)
+        .withColumn("_least", F.array_min(F.transform("_measured", lambda m: m.angle)))
+    )
+    close = F.filter("_measured", lambda m: m.angle <= F.col("_least") + margin)
+    # without a place, only the zone of the lowest id is wanted
+    kept = F.when(nowhere, F.slice("_measured", 1, 1)).otherwise(close)
     merged = (
-        with_nearest(points.join(many, "device_id"), "_near")
-        .groupBy(key)
-        .agg(F.min("_near").alias("_best"), F.any_value(F.struct(*points.columns)).alias("_point"))
-        .select("_point.*", "_best")
+        met.select("device_id", "_row", "_col", "_least", kept.alias("_kept"))
+        .groupBy("device_id", "_row", "_col")
+        .agg(F.min("_least").alias("_least"), F.flatten(F.collect_list("_kept")).alias("_kept"))
+    )
+    wanted = F.filter("_kept", lambda m: nowhere | (m.angle <= F.col("_least") + margin))
+    ordered = F.array_sort(F.transform(wanted, lambda m: m.zone))
+    return merged.select(
+        "device_id", "_row", "_col", F.when(nowhere, F.slice(ordered, 1, 1)).otherwise(ordered).alias("zones")
     )
+
+
+def nearest_zone(
+    points: DataFrame, zones: DataFrame, per_row: int = S.ZONES_PER_ROW, places: DataFrame | None = None
+) -> DataFrame:
+    """Zone context of every point: the nearest zone of its device.
+
+    One plan for any number of zones: a point meets the few zones that `cell_zones` lists for its cell, in one array
+    row, so points are neither multiplied nor grouped and need no key. `places` may name a cheaper source of the
+    points' (device_id, latitude, longitude), where the points are the outcome of long work.
+    """
+    listed = cell_zones(points if places is None else places, zones, per_row)
+    found = with_nearest(_zone_cell(points).join(listed, ["device_id", "_row", "_col"], "left"), "_best")
     distance = F.col("_best.distance")
-    return usual.unionByName(merged).select(
+    return found.select(
         *points.columns,
         F.col("_best").isNotNull().alias("has_clusters"),
         F.round(distance, 1).alias("min_distance"),

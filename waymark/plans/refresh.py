@@ -42,8 +42,8 @@ def train(
     spark = devices.sparkSession
     segments = store.read_table(spark, target.path("route_segments"), "route_segments")
     models, forests = scoring.train_route_models(segments, as_of, devices, days, trees)
-    store.append(forests, target.path("forests"))
-    store.append(models, target.path("models"))
+    store.save_models(forests, target.path("forests"), "model_id")
+    store.save_models(models, target.path("models"), "id")
 
 
 def infer(

@@ -37,7 +37,7 @@ def route_features(
 def _register(
     trained: tuple[DataFrame, DataFrame], kind: str, as_of: datetime | str, first_day
 ) -> tuple[DataFrame, DataFrame]:
-    """Add id, kind, period and time to models, and the model id to their trees."""
+    """Add id, kind, period and time to models, and the model id and training day to their trees."""
     models, forests = trained
     created = as_timestamp(as_of)
     today = F.to_date(created)
@@ -55,7 +55,7 @@ def _register(
         "deviations",
         "threshold",
     )
-    return models, forests.withColumn("model_id", identity)
+    return models, forests.withColumns({"model_id": identity, "trained_to": today})
 
 
 def train_route_models(
@@ -91,10 +91,10 @@ def training_status(devices: DataFrame, rows: DataFrame, least: int = S.MIN_TRAI
 
 
 def current(models: DataFrame, forests: DataFrame, kind: str) -> tuple[DataFrame, DataFrame]:
-    """Newest model of a kind per device, and its trees."""
+    """Newest model of a kind per device, and its trees; trees are stored by training day, so other days are pruned."""
     newest = latest_models(models, kind)
-    wanted = newest.select("device_id", F.col("id").alias("model_id"))
-    return newest, forests.join(wanted, ["device_id", "model_id"], "left_semi")
+    wanted = newest.select("device_id", F.col("id").alias("model_id"), "trained_to")
+    return newest, forests.join(wanted, ["device_id", "model_id", "trained_to"], "left_semi")
 
 
 def score_points(points: DataFrame, models: DataFrame, forests: DataFrame) -> DataFrame:
@@ -198,7 +198,7 @@ def score_live(points: DataFrame, zones: DataFrame, models: DataFrame, forests:
         F.lit(None).cast("int").alias("label"),
         F.lit(None).cast("bigint").alias("model_id"),
     )
-    return additive_score(nearest_zone(labels.unionByName(without), zones))
+    return additive_score(nearest_zone(labels.unionByName(without), zones, places=located))
 
 
 def as_anomaly_rows(scored: DataFrame) -> DataFrame:

@@ -21,13 +21,21 @@ from waymark.session import shared_dir
 LISTED_DAYS = 1000
 
 
-def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """A stored table with its declared schema (plus extra columns some sinks add); empty when not there yet."""
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at `path`, or None when nothing has been written there."""
     try:
         return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+    return None
+
+
+def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A stored table with its declared schema (plus extra columns some sinks add); empty when not there yet."""
+    stored = _stored(spark, path)
+    if stored is not None:
+        return stored
     schema = TABLES[name]
     if name == "anomalies":
         schema += ", date date"
@@ -96,6 +104,24 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+def save_models(fresh: DataFrame, path: str, identity: str) -> None:
+    """Add models (or their trees) to the stored history, partitioned by training day.
+
+    Rows of the same models are replaced: a repeated run with the same `as_of` leaves one model and one forest.
+    """
+    spark = fresh.sparkSession
+    fresh = staged(fresh)
+    stored = _stored(spark, path)
+    if stored is not None:
+        days = fresh.select(F.col("trained_to").alias("date"))
+        stored = of_days(stored.withColumn("date", F.col("trained_to")), days)
+        kept = stored.join(fresh.select(identity).distinct(), identity, "left_anti")
+        fresh = staged(kept.select(*fresh.columns).unionByName(fresh))
+    laid_out = fresh.repartitionByRange("trained_to", "device_id").sortWithinPartitions("trained_to", "device_id")
+    writer = laid_out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("trained_to").parquet(path)
+
+
 def replace_window(
     existing: DataFrame, fresh: DataFrame, processed: DataFrame, as_of: datetime | str, hours: int
 ) -> DataFrame:
