@@ -111,3 +111,15 @@ def test_newest_model_wins(trained):
     newest, trees = scoring.current(*both, scoring.ROUTE_MODEL)
     assert {str(r["trained_to"]) for r in newest.collect()} == {"2024-01-31"}
     assert trees.count() == 3 * TREES
+
+
+def test_trees_of_a_large_device_see_full_samples_of_all_rows(spark):
+    """Most rows go before the shuffle; the pool is still the rows of the lowest hashes, for every device."""
+    rows = spark.range(40_000).selectExpr(
+        "id", "if(id < 300, 2, 1) as device_id", "cast(id % 1009 as double) as a", "cast(id % 577 as double) as b"
+    )
+    stats = forest.feature_stats(rows, ["a", "b"])
+    trees = forest.grow_trees(rows, stats, ["a", "b"], "id", trees=3).toPandas()
+    assert sorted(trees["device_id"]) == [1, 1, 1, 2, 2, 2] and set(trees["sample_size"]) == {256}
+    cuts = [c for f, c in zip(trees["feature"], trees["threshold"]) for k, c in zip(f, c) if k >= 0]
+    assert min(cuts) < -1.0 and max(cuts) > 1.0
