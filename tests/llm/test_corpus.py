@@ -239,6 +239,36 @@ def test_surrogates_keep_format_and_identity():
     assert last.group(2) == last.group(3) and last.group(1) in surrogates.NAMES["latin"]["f"]
 
 
+@pytest.mark.parametrize(
+    "text, private",
+    [
+        ("+1 (017) 555-7713 161.17.88.162", ["555-7713", "161.17.88.162"]), ("ping 10.0.0.1 now", ["10.0.0.1"]), ("dns 8.8.8.8 here", ["8.8.8.8"]),
+        ("pay 41 11 11 11 11 11 11 11 now", ["41 11 11 11 11 11 11 11"]), ("pay 05 11 11 11 11 11 11 11 now", ["05 11 11 11 11 11 11 11"]),
+        ("tel +33 6 12 34 56 78.", ["6 12 34 56 78"]), ("tel +49 30 1234 56.", ["30 1234 56"]), ("tel +47 123 45 678.", ["123 45 678"]),
+        ("tel +49 (0)30 123456.", ["(0)30 123456"]), ("tel 01 23 45 67 89.", ["01 23 45 67 89"]), ("tel +1 (017) 555-7713 12 left", ["(017) 555-7713"]),
+        ("Mr McDonald came.", ["McDonald"]), ("Mr O'Neil came.", ["O'Neil"]), ("Mr O’Neil came.", ["O’Neil"]), ("MR JOHN SMITH.", ["JOHN", "SMITH"]),
+        ("Dr Martin Luther King.", ["Martin", "Luther", "King"]), ("Herr Ludwig van Beethoven.", ["Ludwig", "Beethoven"]), ("Mr Łukasz Żak.", ["Łukasz", "Żak"]),
+        ("Mr d'Artagnan came.", ["Artagnan"]), ("Prof. Dr. Schmidt.", ["Schmidt"]), ("Mr J. R. Smith.", ["Smith"]), ("Mme\u00a0Élodie Şahin.", ["Élodie", "Şahin"]),
+        ("Herr Mu\u0308ller kam.", ["Mu\u0308ller"]), ("Mr Παπαδόπουλος.", ["Παπαδόπουλος"]), ("Mrs Anne-Marie Lloyd-Jones.", ["Anne-Marie", "Lloyd-Jones"]),
+    ],
+)
+def test_private_data_is_found_whole(text, private):
+    spans = [(start, end) for start, end, *_ in surrogates.detect(text)]
+    for value in private:
+        at = text.index(value)
+        assert any(start <= at and at + len(value) <= end for start, end in spans), spans
+    assert len(spans) == len(private)
+    changed, _ = surrogates.replace(text, b"k", {})
+    assert not any(value in changed for value in private)
+
+
+def test_no_entity_reaches_further_than_it_should():
+    text = "tel +1 (017) 555-7713 12 left"
+    assert [text[start:end] for start, end, *_ in surrogates.detect(text)] == ["+1 (017) 555-7713"]
+    assert surrogates.detect("Mr and Mrs were 12 or 3.4, at 10:20 on 2024-01-02; Dr is a title") == []
+    assert surrogates.detect("Mr O'Neil")[0][3] == surrogates.detect("Mr O’Neil")[0][3]
+
+
 def test_surrogates_stay_distinct(spark, odd, folder):
     names = [f"Herr {a}{b}er kam." for a in ("Al", "Be", "Co", "Du", "Em", "Fa") for b in "bdfgklmnprst"]
     docs = spark.createDataFrame(rows(names + [None, "", TEXT, TEXT]), SCHEMA)

@@ -3,7 +3,9 @@
 Detected: e-mail addresses, telephone numbers, IPv4 addresses, long numbers such as cards (13 to 19 digits), secrets
 (values given to token, password, key and the like, and long hexadecimal strings) and names after a title. What is
 detected becomes an entity, its type and normalised value, so the same number written in two ways, or a surname after two
-titles, is one entity and gets one surrogate everywhere.
+titles, is one entity and gets one surrogate everywhere. A later pattern is tried again in what earlier ones left free, so
+a number that would reach into an address is still found. Names have up to four parts, which begin with a capital of any
+script and may hold apostrophes, hyphens and further capitals; initials and small words such as "von" stay.
 
 A surrogate follows from a keyed hash (HMAC-SHA256) of type, value and attempt. It keeps the format: digits stay digits
 of the same script, letters letters of the same case, separators stay; country codes, top-level domains and valid check
@@ -22,8 +24,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -54,10 +57,32 @@ NAMES = {
         "last": "Азаров Беляев Власов Громов Дорохов Ершов Жуков Зимин".split(),
     },
 }
+
+
+def _ranges(codes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """(first, last) of each run of neighbouring numbers."""
+    for _, run in itertools.groupby(enumerate(codes), lambda pair: pair[1] - pair[0]):
+        own = [code for _, code in run]
+        yield own[0], own[-1]
+
+
 _GENDER = {title.lower(): gender for gender, titles in TITLES.items() for title in titles}
 _TITLES = "|".join(sorted(_GENDER, key=len, reverse=True))
-_PART = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][a-zß-öø-ÿа-яё]+)?"
-#: In order: a later pattern does not look inside what an earlier one found.
+#: Capitals and letters of any script that has them; letters may be followed by combining marks.
+_CAPITAL = "".join(
+    chr(low) if low == high else f"{chr(low)}-{chr(high)}" for low, high in _ranges(c for c in range(0x110000) if chr(c).isupper() or chr(c).istitle())
+)
+_LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
+_BETWEEN = r"[^\S\r\n]+"
+#: Small words inside names, and ones that are joined to the next part.
+_SMALL = rf"(?:(?:von|vom|zu|zur|zum|van|der|den|de|del|della|da|das|do|dos|di|du|la|las|le|los|ter|ten|bin|ibn|al|el|y|и){_BETWEEN}){{0,3}}"
+_JOINED = r"(?:(?:[dl]|al|el)['’ʼ\-])?"
+_PART = rf"(?!(?i:{_TITLES})\b){_JOINED}[{_CAPITAL}](?:{_LETTER}+(?:['’ʼ‐‑\-]{_LETTER}+)*|(?:['’ʼ‐‑\-]{_LETTER}+)+)"
+_INITIALS = rf"(?:[{_CAPITAL}]\.(?:{_BETWEEN}|-)?){{0,3}}"
+_SOLE = rf"{_INITIALS}{_SMALL}{_PART}"
+_TITLED = rf"\b(?:(?i:{_TITLES})\b\.?{_BETWEEN})+"
+_GROUP = r"\+\d{1,3}[ .\-]?"
+#: In order: a later pattern looks only into what the earlier ones left free.
 PATTERNS = {
     "email": re.compile(r"[\w.%+\-]{1,64}@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)+"),
     "secret": re.compile(
@@ -65,39 +90,64 @@ PATTERNS = {
     ),
     "hex": re.compile(r"\b(?=[0-9a-fA-F]*\d)(?:[0-9a-f]{32,}|[0-9A-F]{32,})\b"),
     "ip": re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\w)"),
-    "phone": re.compile(r"(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{2,4}\)|\d{2,4})|\(\d{3}\)|\d{3}-)(?:[ .\-]?\d{3,4}){1,3}(?!\w)"),
+    # groups of two digits after a country code, groups of three or four, mixed groups, five pairs with a leading zero
+    "phone": re.compile(
+        rf"(?<![\w+])(?:{_GROUP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .\-]?\d{{3,4}})?(?:[ .\-]\d\d){{2,6}}(?![ .\-]?\d|\w)"
+        rf"|(?:{_GROUP}(?:\(\d{{2,4}}\)|\d{{2,4}})|\(\d{{3}}\)|\d{{3}}-)(?:[ .\-]?\d{{3,4}}){{1,3}}(?!\w)"
+        rf"|{_GROUP}(?:\(\d{{1,4}}\)|\d{{1,4}})(?:[ .\-]?\d{{2,4}}){{2,6}}(?!\w)"
+        r"|0\d(?:[ .\-]\d\d){4}(?![ .\-]?\d|\w))"
+    ),
     "number": re.compile(r"(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w)"),
-    "name": re.compile(rf"\b((?i:{_TITLES}))\.?[ \t]+({_PART}(?:[ \t]+{_PART})?)"),
+    "name": re.compile(rf"({_TITLED})({_SOLE}(?:{_BETWEEN}{_SOLE}){{0,3}})"),
 }
-_HINT = re.compile(rf"@|\d{{3}}|(?i:\b(?:{_TITLES})\b)|[=:]")
+#: What every match of a pattern holds, a cheap look at the whole text.
+_PAIR = re.compile(r"\d[ .\-]?\d")
+NEEDS = {
+    "email": re.compile("@"), "secret": re.compile("[=:]"), "hex": re.compile("[0-9a-fA-F]{32}"), "ip": re.compile(r"\d\.\d"),
+    "phone": _PAIR, "number": _PAIR,
+}
+#: A group of digits that goes on a telephone number of less than `SHORT` digits with a country code.
+_MORE, SHORT = re.compile(r"[ .\-]\d{2,4}(?!\w)"), 10
+_NAME = re.compile(rf"{_PART}")
 
 
 def _value(kind: str, text: str) -> str:
     if kind in ("phone", "number"):
         return "".join(str(int(c)) for c in text if c.isdecimal())
-    return text.lower()
+    return re.sub("[’ʼ]", "'", re.sub("[‐‑]", "-", text.lower())) if kind.startswith(("first", "last")) else text.lower()
+
+
+def _parts(kind: str, match: re.Match, stop: int) -> list[tuple[int, int, str]]:
+    """(start, end, type) of the entities of a match."""
+    start, end = match.span(1 if kind == "secret" else 0)
+    if kind == "phone" and match.group().startswith("+"):
+        while sum(map(str.isdecimal, match.string[start:end])) < SHORT and (more := _MORE.match(match.string, end, stop)):
+            end = more.end()
+    if kind != "name":
+        return [(start, end, "secret" if kind == "hex" else kind)]
+    genders = [_GENDER[title.rstrip(".").lower()] for title in match.group(1).split()]
+    gender = next((gender for gender in genders if gender != "n"), "n")
+    spans = [m.span() for m in _NAME.finditer(match.string, *match.span(2))]
+    kinds = [f"first_{gender}"] * (len(spans) - 1) + ["last"]
+    return [(*span, own) for span, own in zip(spans, kinds, strict=True)]
 
 
 def detect(text: str) -> list[tuple[int, int, str, str]]:
     """(start, end, type, value) of each entity, in order and without overlap. Names give one entity for each part."""
-    if not _HINT.search(text):
-        return []
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    free = [(0, len(text))]
     for kind, pattern in PATTERNS.items():
-        if kind == "email" and "@" not in text:
+        if kind in NEEDS and not NEEDS[kind].search(text):
             continue
-        for match in pattern.finditer(text):
-            parts = [match.span(1 if kind == "secret" else 0)]
-            kinds = ["secret" if kind == "hex" else kind]
-            if kind == "name":
-                gender = _GENDER[match.group(1).lower()]
-                parts = [(match.start(2) + m.start(), match.start(2) + m.end()) for m in re.finditer(r"\S+", match.group(2))]
-                kinds = [f"first_{gender}"] * (len(parts) - 1) + ["last"]
-            if any(start < end_ and start_ < end for start, end in parts for start_, end_ in taken):
-                continue
-            taken += parts
-            found += [(start, end, own, _value(own, text[start:end])) for (start, end), own in zip(parts, kinds, strict=True)]
+        left = []
+        for at, stop in free:
+            while match := pattern.search(text, at, stop):
+                for start, end, own in _parts(kind, match, stop):
+                    found.append((start, end, own, _value(own, text[start:end])))
+                    left.append((at, start))
+                    at = end
+            left.append((at, stop))
+        free = [(start, stop) for start, stop in left if start < stop]
     return sorted(found)
 
 
