@@ -317,6 +317,27 @@ def test_toxicity_on_given_labels(spark, sf_dir, odd, none, folder):
     assert toxicity.reject(odd, toxicity.Model({}, None, None, 0.0)).columns == odd.columns
 
 
+def test_scores_do_not_shift_with_the_number_of_labels(spark, folder):
+    """A word that four of five toxic texts have and one of ten others: nearly half of its texts are toxic."""
+    filler = "river stone cloud table green window paper".split()
+
+    def table(count):
+        rng = np.random.default_rng(count)
+        marks = [int(i % 10 == 0) for i in range(count)]
+        has = [rng.random() < (0.8 if mark else 0.1) for mark in marks]
+        texts = [" ".join([*rng.choice(filler, 12), *(["vilest"] * own), *rng.choice(filler, 3)]) for own in has]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        return docs, spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+
+    scores = []
+    for count in (1500, 15_000):
+        model = toxicity.learn(*table(count), f"{folder}/{count}", toxic=600, clean=1350)
+        assert abs(model.share - 0.1) < 0.01
+        probes = [" ".join([*filler[i:], *filler[:i], *filler[:5], "vilest", *filler[i:][:3]]) for i in range(7)]
+        scores.append(model.score(probes, toxicity.Lexicon(model.entries)).mean())
+    assert abs(scores[0] - scores[1]) < 0.15 and all(0.3 < score < 0.62 for score in scores), scores
+
+
 def test_language_on_given_labels(spark, sf_dir, odd, none, folder):
     big = sf_dir.replace("sf0.001", "sf0.01")
     got = queries.op10_language(spark, big).join(spark.read.parquet(f"{big}/documents.parquet").select("doc_id", "lang"), "doc_id")

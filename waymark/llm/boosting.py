@@ -33,16 +33,19 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def fit(rows: np.ndarray, labels: np.ndarray, trees: int = 80, depth: int = 3, rate: float = 0.15, ridge: float = 2.0) -> Trees:
-    """Second-order boosting of the logistic loss on binned features."""
+def fit(
+    rows: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, trees: int = 80, depth: int = 3, rate: float = 0.15, ridge: float = 2.0
+) -> Trees:
+    """Second-order boosting of the logistic loss on binned features; without weights each row counts as one."""
+    weights = np.ones(len(rows)) if weights is None else weights
     cuts = [np.unique(np.quantile(column, np.linspace(0, 1, BINS + 1)[1:-1])) for column in rows.T]
     binned = np.stack([np.searchsorted(cut, column, side="left") for cut, column in zip(cuts, rows.T, strict=True)], axis=1)
-    share = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
+    share = np.clip(np.average(labels, weights=weights), 1e-3, 1 - 1e-3)
     model = Trees(depth, float(np.log(share / (1 - share))))
     margin = np.full(len(rows), model.base)
     for _ in range(trees):
         chance = _sigmoid(margin)
-        slope, bend = labels - chance, chance * (1 - chance)
+        slope, bend = weights * (labels - chance), weights * chance * (1 - chance)
         features, limits = np.zeros(2**depth - 1, np.int64), np.full(2**depth - 1, np.inf)
         node = np.zeros(len(rows), np.int64)
         for level in range(depth):
@@ -89,16 +92,17 @@ class Isotonic:
         return np.interp(margins, self.points, self.values)
 
 
-def calibrate(margins: np.ndarray, labels: np.ndarray, prior: float = 1.0) -> Isotonic:
+def calibrate(margins: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, prior: float = 1.0) -> Isotonic:
     """Pool adjacent violators. Every step is drawn a little towards the mean of all labels."""
+    weights = np.ones(len(margins)) if weights is None else weights
     order = np.argsort(margins, kind="stable")
-    blocks: list[list[float]] = []  # labels, rows, sum of margins
-    for margin, label in zip(margins[order], labels[order], strict=True):
-        blocks.append([float(label), 1.0, float(margin)])
+    blocks: list[list[float]] = []  # weighted labels, weight, weighted sum of margins
+    for margin, label, weight in zip(margins[order], labels[order], weights[order], strict=True):
+        blocks.append([float(weight * label), float(weight), float(weight * margin)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             label_, rows_, margin_ = blocks.pop()
             blocks[-1] = [blocks[-1][0] + label_, blocks[-1][1] + rows_, blocks[-1][2] + margin_]
-    mean = float(labels.mean())
+    mean = float(np.average(labels, weights=weights))
     points = np.array([margin / rows for _, rows, margin in blocks])
     values = np.array([(label + prior * mean) / (rows + prior) for label, rows, _ in blocks])
     return Isotonic(points, np.maximum.accumulate(values))

@@ -7,11 +7,13 @@ that occur in clearly more toxic than other labelled texts.
 
 Lexicon, trees and calibration are fitted on a bounded sample of labelled rows, at most about `TOXIC` toxic and `CLEAN`
 other documents, chosen by a hash among all labelled rows; four fifths grow the trees, the last fifth calibrates. The
-sample's feature table (some 20 numbers per row) is all that reaches the driver. Scoring is one pass over the texts.
+sample's feature table (some 20 numbers per row) is all that reaches the driver. A row of the sample weighs as many
+labelled rows of its class as it stands for, by exact counts of all labels, so that scores keep to the share of toxic
+labels however few of a class are drawn; the mean weight is one. Scoring is one pass over the texts.
 
 Cases: null text counts as empty, and an empty text has a score like any other. Long texts are read whole. Repeated
 rows score alike; several labels of one id count as toxic if one is. Null labels teach nothing. With no toxic or no
-clean label the score is the share of toxic labels, 0 without labels. `score` and `reject` pass other columns through.
+clean label among the documents the score is the share of toxic ones, 0 without labels. `score` and `reject` pass other columns through.
 """
 
 from __future__ import annotations
@@ -125,13 +127,17 @@ def _entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["entry", "seen", "toxic"])
 
 
-def _lexicon(sample: DataFrame, share: float) -> dict[str, float]:
-    """Entries whose documents are toxic far more often than by chance, with the logarithm of their odds."""
+def _lexicon(sample: DataFrame, share: float, weights: tuple[float, float]) -> dict[str, float]:
+    """Entries whose documents are toxic far more often than by chance, with the logarithm of their odds.
+
+    `weights` are those of a clean and of a toxic row. `SEEN` counts rows as they are.
+    """
     counted = sample.mapInPandas(_entries, "entry string, seen long, toxic long").groupBy("entry")
     counted = counted.agg(F.sum("seen").alias("seen"), F.sum("toxic").alias("toxic"))
-    expected = F.col("seen") * F.lit(share)
-    strength = (F.col("toxic") - expected) / F.sqrt(expected * F.lit(1 - share) + 1)
-    odds = (F.col("toxic") + 0.5) * (1 - share) / ((F.col("seen") - F.col("toxic") + 0.5) * share)
+    clean, toxic = (F.col("seen") - F.col("toxic")) * F.lit(weights[0]), F.col("toxic") * F.lit(weights[1])
+    expected = (clean + toxic) * F.lit(share)
+    strength = (toxic - expected) / F.sqrt(expected * F.lit(1 - share) + 1)
+    odds = (toxic + 0.5 * weights[1]) * (1 - share) / ((clean + 0.5 * weights[0]) * share)
     strong = counted.where(F.col("toxic") >= SEEN).select("entry", strength.alias("strength"), F.log(odds).alias("weight"))
     rows = strong.where((F.col("strength") >= STRENGTH) & (F.col("weight") >= 1.5))
     return {row["entry"]: row["weight"] for row in rows.orderBy(F.desc("strength"), "entry").limit(LEXICON).collect()}
@@ -139,19 +145,24 @@ def _lexicon(sample: DataFrame, share: float) -> dict[str, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, folder: str, toxic: int = TOXIC, clean: int = CLEAN) -> Model:
     """Fit on `docs` that have a label; `labels` has doc_id and toxic, and only rows one may learn from."""
-    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL")
+    known = known.groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     bounded = sampled(known.where("toxic = 1"), "doc_id", "toxic", toxic).unionByName(
-        sampled(known.where("toxic <> 1"), "doc_id", "toxic", clean)
+        sampled(known.where("toxic = 0"), "doc_id", "toxic", clean)
     )
+    labelled, drawn = ({row["toxic"]: row["count"] for row in rows.groupBy("toxic").count().collect()} for rows in (known, bounded))
     texts = docs.select("doc_id", whole_text().alias("text"))
     # the sample has a fixed bound, about 9,000 rows of an id and a flag
-    sample = texts.join(F.broadcast(bounded), "doc_id").withColumn("toxic", (F.col("toxic") == 1).cast("int"))
+    sample = texts.join(F.broadcast(bounded), "doc_id")
     sample = stage(sample.dropDuplicates(["doc_id"]), folder, "sample").repartition(16, "doc_id")
-    row = sample.agg(F.count(F.lit(1)).alias("rows"), F.avg("toxic").alias("share")).first()
-    share = float(row["share"] or 0.0)
-    if not 0 < share < 1:
+    found = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
+    stands = {mark: n * labelled[mark] / drawn[mark] for mark, n in found.items()}  # labelled rows that the class stands for
+    share = stands.get(1, 0.0) / max(1.0, sum(stands.values()))
+    if len(found) < 2:
         return Model({}, None, None, share)
-    entries = _lexicon(sample, share)
+    mean = sum(stands.values()) / sum(found.values())
+    weights = tuple(stands[mark] / found[mark] / mean for mark in (0, 1))
+    entries = _lexicon(sample, share, weights)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(entries)
@@ -164,9 +175,10 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str, toxic: int = TOXIC, c
     last = np.arange(len(rows)) % 5 == 4
     if len(np.unique(marks[last])) < 2 or len(np.unique(marks[~last])) < 2:
         last = np.zeros(len(rows), bool)
-    trees = boosting.fit(rows[~last], marks[~last])
+    heavy = np.where(marks == 1, weights[1], weights[0])
+    trees = boosting.fit(rows[~last], marks[~last], heavy[~last])
     held = last if last.any() else ~last
-    return Model(entries, trees, boosting.calibrate(trees.margin(rows[held]), marks[held]), share)
+    return Model(entries, trees, boosting.calibrate(trees.margin(rows[held]), marks[held], heavy[held]), share)
 
 
 def _texts(batch: pa.RecordBatch) -> list[str]:
