@@ -350,6 +350,16 @@ def test_language_on_given_labels(spark, sf_dir, odd, none, folder):
     assert [r.lang_pred for r in found] == ["x", "x", "und", "und", "und", "x"] and found[0].score == 1 and found[1].score == 0
 
 
+def test_more_languages_than_bits_of_a_word(spark, folder):
+    """Seventy languages, each with letters of its own; the rarer ones have fewer texts."""
+    own = [chr(0x4E00 + 10 * i) + chr(0x4E01 + 10 * i) + chr(0x4E02 + 10 * i) for i in range(70)]
+    texts = [(own[i] * 3, f"l{i:02}") for i in range(70) for _ in range(2 if i < 35 else 1)]
+    taught = spark.createDataFrame([(n, text, lang) for n, (text, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    model = language.learn(taught, folder)
+    found = language.classify(spark.createDataFrame(rows([text * 2 for text in own]), SCHEMA), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in found] == [f"l{i:02}" for i in range(70)] and len(model.languages) == 70
+
+
 def test_chunks_lose_no_grams(monkeypatch):
     texts = ["abc def ghij", "", "klm nop qrs tuv"]
     whole = [np.sort(np.concatenate([v[o == i] for v, o in language.grams(texts)])) for i in range(3)]

@@ -2,13 +2,13 @@
 
 Learning counts the letter n-grams (three and four code points, with word borders) of labelled texts per language and
 keeps those that make up at least `RATE` of a language's n-grams, and at least `PART` of the rate they have in the
-language where they are most frequent. One table of bit masks holds all languages: bit l of the three places of an
-n-gram is set if language l has it. The conjunction of the three masks gives every language that has an n-gram at
+language where they are most frequent. One table of bit masks, as many 64-bit words wide as the languages need, holds all
+languages: bit l of the three places of an n-gram is set if language l has it. The conjunction of the three masks gives every language that has an n-gram at
 once. A text's masks are counted per language; the counts are corrected for the share of n-grams that the filter
 shows by mistake, (hits - n * error) / (1 - error), and the highest decides.
 
 The filter is fitted on at most about `BOUND` texts of each language, chosen by a hash; counts of languages cover all
-learning rows. Its size is bounded by 1 / `RATE` n-grams for each of at most 63 languages.
+learning rows. Its size is bounded by 1 / `RATE` n-grams for each language.
 
 Cases: null texts and texts without a letter are `und` with score 0. A text whose n-grams nobody has gets the most
 frequent language and score 0; ties go to the more frequent language, then by name. Without learning rows all texts are
@@ -31,7 +31,7 @@ from pyspark.sql.window import Window
 
 from waymark.llm.common import sampled, stage, whole_text
 
-BOUND, RATE, PART, LANGUAGES = 2000, 5e-5, 0.05, 63
+BOUND, RATE, PART, WORD = 2000, 5e-5, 0.05, 64
 SIZES, PROBES, NONE = (3, 4), 3, "und"
 #: Code points of texts that are hashed at a time.
 CHUNK = 1 << 20
@@ -88,14 +88,18 @@ def _hashed(codes: list[np.ndarray], owners: list[tuple[int, int, int]]) -> tupl
     return np.concatenate(found or [np.zeros(0, np.uint64)]), np.concatenate(whose or [np.zeros(0, np.int64)])
 
 
+def _bit(masks: np.ndarray, language: int) -> np.ndarray:
+    return (masks[:, language // WORD] >> np.uint64(language % WORD)) & np.uint64(1)
+
+
 @dataclass
 class Model:
     languages: list[str]  # the most frequent first
-    masks: np.ndarray
+    masks: np.ndarray  # one row per place, 64 languages to a word
     errors: np.ndarray  # per language: share of other n-grams that its bits show by mistake
 
     def hits(self, values: np.ndarray) -> np.ndarray:
-        found = np.full(len(values), np.uint64(2**64 - 1))
+        found = np.full((len(values), self.masks.shape[1]), np.uint64(2**64 - 1))
         for probe in range(PROBES):
             found &= self.masks[(_mixed(values, probe) % np.uint64(len(self.masks))).astype(np.int64)]
         return found
@@ -108,7 +112,7 @@ class Model:
             found = self.hits(values)
             total += np.bincount(owner, minlength=len(texts))
             for language in range(len(self.languages)):
-                bit = (found >> np.uint64(language)) & np.uint64(1)
+                bit = _bit(found, language)
                 counts[:, language] += np.bincount(owner, weights=bit, minlength=len(texts))
         corrected = np.maximum((counts - total[:, None] * self.errors) / (1 - self.errors), 0)
         best, whole = corrected.argmax(axis=1), corrected.sum(axis=1)
@@ -121,10 +125,10 @@ class Model:
 def learn(rows: DataFrame, folder: str, bound: int = BOUND, rate: float = RATE) -> Model:
     """Fit on rows with `doc_id`, `text` and `lang`; those without language teach nothing."""
     rows = rows.where("lang IS NOT NULL").select("doc_id", "lang", whole_text().alias("text"))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()
     languages = [row["lang"] for row in frequent]
     if not languages:
-        return Model([], np.zeros(1, np.uint64), np.zeros(0))
+        return Model([], np.zeros((1, 1), np.uint64), np.zeros(0))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -133,7 +137,7 @@ def learn(rows: DataFrame, folder: str, bound: int = BOUND, rate: float = RATE)
                     kinds, often = np.unique(values, return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": kinds.view(np.int64), "often": often})
 
-    sample = sampled(rows.where(F.col("lang").isin(languages)), "doc_id", "lang", bound)
+    sample = sampled(rows, "doc_id", "lang", bound)
     counted = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, often long")
     counted = stage(counted.groupBy("lang", "gram").agg(F.sum("often").alias("often")), folder, "grams")
     wholes = counted.groupBy("lang").agg(F.sum("often").alias("whole"))
@@ -142,12 +146,13 @@ def learn(rows: DataFrame, folder: str, bound: int = BOUND, rate: float = RATE)
     kept = rated.withColumn("highest", highest).where(F.col("rate") >= PART * F.col("highest")).toPandas()
 
     values = kept["gram"].to_numpy(np.int64).view(np.uint64)
-    bits = kept["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.uint64)
-    masks = np.zeros(1 << max(10, math.ceil(math.log2(8 * max(1, kept["gram"].nunique())))), np.uint64)
+    owner = kept["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(np.int64)
+    slots = 1 << max(10, math.ceil(math.log2(8 * max(1, kept["gram"].nunique()))))
+    masks = np.zeros((slots, -(-len(languages) // WORD)), np.uint64)
     for probe in range(PROBES):
-        places = (_mixed(values, probe) % np.uint64(len(masks))).astype(np.int64)
-        np.bitwise_or.at(masks, places, np.uint64(1) << bits)
-    filled = [np.mean((masks >> np.uint64(i)) & np.uint64(1)) for i in range(len(languages))]
+        places = (_mixed(values, probe) % np.uint64(slots)).astype(np.int64)
+        np.bitwise_or.at(masks, (places, owner // WORD), np.uint64(1) << (owner % WORD).astype(np.uint64))
+    filled = [np.mean(_bit(masks, i)) for i in range(len(languages))]
     return Model(languages, masks, np.array(filled) ** PROBES)
 
 
