@@ -293,6 +293,18 @@ def test_licences(spark, odd, folder):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_short_and_wrapped_licences(spark, folder):
+    texts = [
+        ("proprietary", "some words\nAll rights reserved.\nother words"), ("mit", "MIT License"), ("mit", "words\n\nLicense: MIT\n\nwords"),
+        ("apache", "Apache License 2.0"), ("gpl", "intro\n\nThis work is licensed under the GNU General\nPublic License, version 3.\n\nend"),
+        ("gpl", "# This work is licensed\n# under the GNU\n# General Public License, version 3."), ("unknown", "Blorbo License"),
+        ("unknown", "License: Blorbo"), ("unknown", "Licensed under the Blorbo\nLicense, Version 2.0"), ("proprietary", "All rights\nreserved."),
+        ("none", "all of\nthe rights"),
+    ]
+    got = license_scan.scan(spark.createDataFrame(rows([text for _, text in texts]), SCHEMA), folder).orderBy("doc_id").collect()
+    assert [r.license for r in got] == [wanted for wanted, _ in texts] and got[0].cue_lines == 1
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 4))

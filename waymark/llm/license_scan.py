@@ -5,10 +5,13 @@ A sparse multinomial logistic regression over hashed word n-grams (one to three
 about licences that do not exist, with names from the corpus; these are the class `unknown`. A quarter of the rows, by a
 hash, is kept from training: there the least probability is found at which 99 % of the accepted rows are right, and
 whatever scores below it is `unknown`. A prediction must then be confirmed by a template of its family, of whose word
-pairs the paragraph holds at least `CONFIRMED`; else it is `unknown` as well.
+pairs the paragraph holds at least `CONFIRMED`; else it is `unknown` as well. A piece of text that is word for word one of
+the statements, such as "MIT License" alone in a line, has that family with probability 1.
 
-Paragraphs are the lines of the whole text. Only those with a cue word are scored: all statements trained on have one,
-so lines without are outside of what the classifier knows, and count as no licence. What is trained on is bounded: the
+Scored are single lines, windows of two and three neighbouring lines of a paragraph, and whole paragraphs of up to
+`LONGEST` lines, as statements may be wrapped; lines without a letter or digit part paragraphs. Only pieces with a cue
+word are scored: all statements trained on have one, so others are outside of what the classifier knows, and count as no
+licence. What is trained on is bounded: the
 templates are fixed, and `FOREIGN` corpus words lend their names.
 
 Cases: null and empty texts have no licence. Very long lines are scored whole. Of several licences in one document all
@@ -34,6 +37,9 @@ TEMPLATES = {
         "Distributed under the terms of the Apache License 2.0",
         "you may not use this file except in compliance with the License",
         "SPDX-License-Identifier: Apache-2.0",
+        "Apache License 2.0",
+        "Apache License, Version 2.0",
+        "License: Apache-2.0",
     ),
     "mit": (
         "Released under the MIT License",
@@ -41,28 +47,39 @@ TEMPLATES = {
         "This project is available under the terms of the MIT license",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
         "SPDX-License-Identifier: MIT",
+        "MIT License",
+        "License: MIT",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
         "Licensed under the GNU General Public License, version 2",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "GNU General Public License",
+        "License: GPL-3.0",
     ),
     "lgpl": (
         "Licensed under the GNU Lesser General Public License, version 2.1",
         "under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
         "SPDX-License-Identifier: LGPL-2.1-only",
+        "GNU Lesser General Public License",
+        "License: LGPL-2.1",
     ),
     "bsd": (
         "Licensed under the BSD 3-Clause License",
         "Released under the BSD 2-Clause License",
         "Redistribution and use in source and binary forms, with or without modification, are permitted",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "BSD 3-Clause License",
+        "BSD License",
+        "License: BSD",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License, version 2.0",
         "SPDX-License-Identifier: MPL-2.0",
+        "Mozilla Public License 2.0",
+        "License: MPL-2.0",
     ),
     "cc-by": (
         "Licensed under CC BY 4.0",
@@ -83,17 +100,21 @@ TEMPLATES = {
     "proprietary": (
         "Copyright. All rights reserved. No part may be reproduced without written permission",
         "This document is proprietary and confidential. All rights reserved",
+        "All rights reserved",
     ),
 }
 #: Forms for licences that do not exist; the names come from the corpus.
 FORMS = (
     "Licensed under the {} License, Version 2.0", "Released under the {} License", "Licensed under {} 4.0",
     "This work is licensed under the {} Public License, version 3", "the {} license of the license {}",
-    "Copyright {} and others", "permission {} copyright {}", "SPDX-License-Identifier: {}",
+    "Copyright {} and others", "permission {} copyright {}", "SPDX-License-Identifier: {}", "{} License", "License: {}",
 )
 UNKNOWN, NONE = "unknown", "none"
 FAMILIES = (*sorted(TEMPLATES), UNKNOWN)
-CUE = "(?i)licen[sc]|copyright|spdx|permission is|public domain|redistribution|rights reserved|creative commons"
+#: Between the words of a cue a line may end, and the next one begin with signs of a comment.
+CUE = r"(?i)licen[sc]|copyright|spdx|permission\W+is|public\W+domain|redistribution|rights\W+reserved|creative\W+commons"
+#: Lines of windows, and of the longest paragraph that is scored whole. Statements of fewer words lose none in training.
+WINDOWS, LONGEST, SHORT = (2, 3), 12, 4
 FOREIGN, FEATURES, CONFIRMED, RIGHT = 400, 1 << 14, 0.6, 0.99
 
 
@@ -116,9 +137,21 @@ def grams(rows: DataFrame, text: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """The lines with a cue word of each document."""
-    cued = docs.where(F.col("text").rlike(CUE)).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    return cued.where(F.col("line").rlike(CUE))
+    """The pieces with a cue word of each document and how many lines each has: lines, windows and short paragraphs."""
+    cued = docs.where(F.col("text").rlike(CUE)).select("doc_id", F.explode(F.split("text", r"\n(?:[^\p{L}\p{N}\n]*\n)+")).alias("part"))
+    cued = cued.where(F.col("part").rlike(CUE)).select("doc_id", F.split("part", "\n").alias("all"))
+
+    def windows(size: int) -> Column:
+        starts = F.when(F.size("all") >= size, F.sequence(F.lit(1), F.size("all") - (size - 1)))
+        made = F.transform(starts, lambda at: F.struct(F.lit(size).alias("lines"), F.array_join(F.slice("all", at, size), " ").alias("line")))
+        return F.coalesce(made, F.array().cast("array<struct<lines:int,line:string>>"))
+
+    whole = F.array(F.struct(F.size("all").alias("lines"), F.array_join("all", " ").alias("line")))
+    between = F.size("all").between(max(WINDOWS) + 1, LONGEST)
+    pieces = F.concat(
+        *map(windows, (1, *WINDOWS)), F.when(between, whole).otherwise(F.array().cast("array<struct<lines:int,line:string>>"))
+    )
+    return cued.select("doc_id", F.inline(F.filter(pieces, lambda piece: piece["line"].rlike(CUE))))
 
 
 def training_rows(docs: DataFrame, foreign: int = FOREIGN) -> DataFrame:
@@ -127,7 +160,7 @@ def training_rows(docs: DataFrame, foreign: int = FOREIGN) -> DataFrame:
     known = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, line string")
     known = known.withColumn("parts", F.split("line", " "))
     place = F.explode(F.sequence(F.lit(1), F.size("parts")))
-    shorter = known.withColumn("at", place).select(
+    shorter = known.where(F.size("parts") >= SHORT).withColumn("at", place).select(
         "family", F.array_join(F.filter("parts", lambda _, i: i + 1 != F.col("at")), " ").alias("line")
     )
     names = docs.where("text IS NOT NULL AND text <> ''").select("text", F.xxhash64("text").alias("h"))
@@ -178,8 +211,16 @@ def classify(lines: DataFrame, model: LogisticRegressionModel, least: float) ->
     templates = F.broadcast(_templates(lines.sparkSession).withColumnRenamed("family", "guess"))  # one row per family
     scored = scored.join(templates, "guess", "left").withColumn("confirmed", F.coalesce(F.array_max(held), F.lit(0.0)))
     sure = (F.col("probability") >= least) & (F.col("confirmed") >= CONFIRMED)
-    family = F.when(sure, F.col("guess")).otherwise(UNKNOWN)
-    return scored.select(*lines.columns, family.alias("family"), "probability", "confirmed")
+    # short forms are too few words for the classifier: a piece that is a whole statement needs none
+    said = lines.sparkSession.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "exact string, statement string")
+    said = F.broadcast(said.select("exact", F.array_join(words(F.col("statement")), " ").alias("said")))  # fixed size
+    scored = scored.withColumn("said", F.array_join("words", " ")).join(said, "said", "left")
+    family = F.coalesce("exact", F.when(sure, F.col("guess")), F.lit(UNKNOWN))
+    is_exact = F.col("exact").isNotNull()
+    return scored.select(
+        *lines.columns, family.alias("family"), F.when(is_exact, 1.0).otherwise(F.col("probability")).alias("probability"),
+        F.when(is_exact, 1.0).otherwise(F.col("confirmed")).alias("confirmed"),
+    )
 
 
 def scan(docs: DataFrame, folder: str) -> DataFrame:
@@ -190,7 +231,7 @@ def scan(docs: DataFrame, folder: str) -> DataFrame:
     found = classify(lines, model, least)
     known = F.when(F.col("family") != UNKNOWN, F.struct((-F.col("probability")).alias("p"), "family"))
     per_doc = found.groupBy(F.col("doc_id").alias("_doc")).agg(
-        F.min(known).alias("best"), F.count(F.lit(1)).alias("cue_lines"),
+        F.min(known).alias("best"), F.count(F.when(F.col("lines") == 1, 1)).alias("cue_lines"),
         F.array_sort(F.collect_set(F.when(F.col("family") != UNKNOWN, F.col("family")))).alias("families"),
     )
     per_doc = stage(per_doc, folder, "per_doc")
