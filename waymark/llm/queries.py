@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import dart_minhash, exact_dedup, language, license_scan, mixing, packing, surrogates, token_index, topk, toxicity
+from waymark.llm import (
+    dart_minhash, divergence, exact_dedup, language, license_scan, mixing, negatives, packing, surrogates, token_index, topk, toxicity,
+)
 from waymark.llm.common import held_out, table, work_dir
 from waymark.session import prepare
 
@@ -184,6 +186,80 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), work_dir(spark, "divergence"))
+
+
+OP12 = r"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+),
+w AS (SELECT lang, source, doc, unnest(words) AS term FROM d),
+t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT doc) AS docs FROM w GROUP BY ALL),
+kept AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING sum(docs) >= 3),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM kept GROUP BY ALL),
+g AS (
+  SELECT d.lang, d.source, coalesce(any_value(l.v), 0) AS v,
+         coalesce((SELECT sum(t.n) FROM t JOIN kept USING (lang, term) WHERE t.lang = d.lang AND t.source = d.source), 0) AS total
+  FROM d LEFT JOIN l USING (lang) GROUP BY d.lang, d.source
+),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(t.n, 0) + 1)) // (g.total + g.v) AS HUGEINT) AS p,
+         CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 1)) // (l.total + l.v) AS HUGEINT) AS q
+  FROM g JOIN kept k USING (lang) JOIN l USING (lang) LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term
+),
+pair AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(pair.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST((p - q) * (p - q) // q AS BIGINT) FROM p WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, CAST(row_number() OVER o AS INTEGER) AS rank FROM found
+WINDOW o AS (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))
+QUALIFY part = 'pair' OR row_number() OVER o <= 200
+"""
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(embeddings.withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP13 = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS ints
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+s AS (
+  SELECT a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, CAST(list_inner_product(a.ints, c.ints) AS BIGINT) AS score
+  FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0
+),
+p AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, n.vec_id AS negative_id,
+       positive_score, n.score AS negative_score
+FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same
+WHERE 30 * positive_score <= 100 * n.score AND 100 * n.score <= 90 * positive_score
+WINDOW w AS (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER w <= 10
+"""
+
+
 OP9 = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents)
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
@@ -202,8 +278,10 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_hard_negatives": op13_hard_negatives,
 }
-CHECKS = {"op2_mixing": OP2, "op8_topk": OP8, "op9_exact_dedup": OP9}
+CHECKS = {"op2_mixing": OP2, "op8_topk": OP8, "op9_exact_dedup": OP9, "op12_source_divergence": OP12, "op13_hard_negatives": OP13}
 
 
 def queries() -> dict:
