@@ -61,15 +61,50 @@ def test_result_does_not_depend_on_layout(points, trained):
 
 
 def test_small_chunks_give_the_same_scores(points, trained):
-    models, forests = trained
-    rows = forest.filled(points, FEATURES).join(models.select("device_id", "means", "deviations"), "device_id")
-    rows = rows.select("device_id", "id", *forest.scaled(FEATURES))
-    whole = forest.forest_scores(rows, forests, FEATURES, "id").toPandas()
-    cut = forest.forest_scores(rows, forests, FEATURES, "id", chunk=100).toPandas()
     order = ["device_id", "id"]
-    pd.testing.assert_frame_equal(
-        whole.sort_values(order).reset_index(drop=True), cut.sort_values(order).reset_index(drop=True)
+    whole, cut = (
+        forest.apply(points, *trained, FEATURES, "id", ["a"], chunk=chunk).toPandas().sort_values(order).reset_index(drop=True)
+        for chunk in (50_000, 100)
     )
+    pd.testing.assert_frame_equal(whole, cut)
+
+
+def test_unscored_points_are_kept_when_asked_for(points, trained):
+    kept = forest.apply(points, *trained, FEATURES, "id", [], keep_unscored=True).toPandas()
+    assert len(kept) == points.count() and set(kept.loc[kept["decision"].isna(), "device_id"]) == {3}
+
+
+def test_threshold_is_the_quantile_of_the_forest_scores(points, trained):
+    """The exact quantile over the scores of trained trees, against NumPy on the same trees."""
+    models, forests = (df.toPandas() for df in trained)
+    rows = points.toPandas()
+    for _, model in models.iterrows():
+        trees = forests[forests["device_id"] == model["device_id"]].sort_values("tree")
+        own = rows.loc[rows["device_id"] == model["device_id"], list(FEATURES)].to_numpy()
+        z = (own - np.array(model["means"])) / np.array(model["deviations"])
+        depth = forest.mean_depth(z, *[np.stack(trees[name].to_numpy()) for name in ("feature", "threshold", "path")])
+        scores = -np.power(2.0, -depth / forest.mean_path(trees["sample_size"].iloc[0]))
+        assert model["threshold"] == pytest.approx(np.quantile(scores, 0.05), abs=1e-12)
+
+
+def exchanges_above(plan, mark: str) -> int:
+    """Shuffles on the way from the scan of the column `mark` to the root; broadcasts do not count."""
+    text = plan.toString()
+    if mark not in text:
+        return 0
+    name = plan.nodeName()
+    children = plan.children()
+    below = max((exchanges_above(children.apply(i), mark) for i in range(children.size())), default=0)
+    if name == "AdaptiveSparkPlan":
+        below = exchanges_above(plan.initialPlan(), mark)
+    return below + (name == "Exchange")
+
+
+def test_points_are_shuffled_once_to_be_scored(spark, points, trained, tmp_path):
+    points.write.parquet(f"file://{tmp_path}/to_be_scored")
+    stored = spark.read.parquet(f"file://{tmp_path}/to_be_scored")
+    scored = forest.apply(stored, *trained, FEATURES, "id", ["a"], chunk=100)
+    assert exchanges_above(scored._jdf.queryExecution().executedPlan(), "flat#") == 1
 
 
 def test_constant_features_never_split(trained):
@@ -79,14 +114,14 @@ def test_constant_features_never_split(trained):
 
 def test_trees_are_sound():
     rng = np.random.default_rng(0)
-    grown = forest.grow_forest(rng.normal(size=(1000, 3)), 10, (42, 1))
+    grown = forest.grow_forest(rng.normal(size=(10, 256, 3)), [(42, tree) for tree in range(10)])
     assert grown["feature"].shape == (10, 511)
     depth = forest.mean_depth(rng.normal(size=(50, 3)), grown["feature"], grown["threshold"], grown["path"])
     assert (depth > 1).all() and (depth < 20).all()
 
 
 def test_identical_rows_make_a_leaf():
-    grown = forest.grow_forest(np.ones((300, 2)), 3, (42, 1))
+    grown = forest.grow_forest(np.ones((3, 256, 2)), [(42, 1), (42, 2), (42, 3)])
     assert (grown["feature"] == -1).all()
     np.testing.assert_allclose(grown["path"][:, 0], forest.mean_path(np.array([256]))[0])
 
@@ -113,13 +148,68 @@ def test_newest_model_wins(trained):
     assert trees.count() == 3 * TREES
 
 
-def test_trees_of_a_large_device_see_full_samples_of_all_rows(spark):
-    """Most rows go before the shuffle; the pool is still the rows of the lowest hashes, for every device."""
-    rows = spark.range(40_000).selectExpr(
+def large(spark, count):
+    return spark.range(count).selectExpr(
         "id", "if(id < 300, 2, 1) as device_id", "cast(id % 1009 as double) as a", "cast(id % 577 as double) as b"
     )
+
+
+def brute_force_samples(rows, count, trees, seed, wider):
+    """Rows (as places) of every tree of one device, from the hashes of all its rows with all trees."""
+    share = min(1.0, wider * 256 / count)
+
+    def uniform(*parts):
+        hashes = rows.select(F.xxhash64(*parts).alias("h")).toPandas()["h"].to_numpy()
+        return (hashes.astype(float) + 2.0**63 + 0.5) / 2.0**64
+
+    base = [F.lit(seed), F.lit(wider), F.col("device_id"), F.col("id")]
+    with np.errstate(divide="ignore"):
+        first = np.zeros(count) if share == 1 else np.floor(np.log(uniform(*base)) / np.log1p(-share))
+    for tree in range(trees):
+        number = F.lit(tree)
+        inside = (first == tree) | ((first < tree) & (uniform(*base, number) < share))
+        draw = rows.select(F.xxhash64(F.lit(seed), F.lit("rank"), "device_id", "id", number).alias("h")).toPandas()["h"].to_numpy()
+        places = np.flatnonzero(inside)
+        yield places[np.argsort(draw[places], kind="stable")][: min(256, count)]
+
+
+def test_trees_equal_a_brute_force_draw(spark):
+    rows = large(spark, 60_000)
+    stats = forest.feature_stats(rows, ["a", "b"])
+    trees = forest.grow_trees(rows, stats, ["a", "b"], "id", trees=4).toPandas()
+    assert sorted(zip(trees["device_id"], trees["tree"])) == [(d, t) for d in (1, 2) for t in range(4)]
+    assert set(trees["sample_size"]) == {256}
+    for device in (1, 2):
+        own = rows.where(F.col("device_id") == device).orderBy("id")
+        values = own.toPandas()[["a", "b"]].to_numpy()
+        z = (values - values.mean(axis=0)) / values.std(axis=0)
+        for tree, places in enumerate(brute_force_samples(own, len(values), 4, 42, 1.5)):
+            wanted = forest.grow_forest(z[places][None], [(42, device, tree)])
+            got = trees[(trees["device_id"] == device) & (trees["tree"] == tree)].iloc[0]
+            assert list(got["feature"]) == list(wanted["feature"][0])
+            np.testing.assert_allclose(got["threshold"], wanted["threshold"][0], atol=1e-9)
+            np.testing.assert_allclose(got["path"], wanted["path"][0])
+
+
+def test_trees_draw_from_all_rows_of_a_large_device(spark):
+    """From a pool of trees x 256 rows, 200 trees would show at most 63 % as many rows as they draw."""
+    rows = spark.range(400_000).selectExpr("id", "1L as device_id")
+    counts = rows.groupBy("device_id").agg(F.count("id").alias("n_samples"))
+    ranked = forest.tree_samples(rows, counts, "id", 200, 42).toPandas()
+    assert len(ranked) < 200 * 256 * 1.6
+    kept = ranked.sort_values(["tree", "draw"]).groupby("tree").head(256)
+    assert len(kept) == 200 * 256
+    assert kept["id"].nunique() == pytest.approx(400_000 * (1 - np.exp(-200 * 256 / 400_000)), rel=0.01)
+    # every part of the rows is drawn alike, and two trees share no more rows than by chance
+    parts = np.bincount(kept["id"] // 40_000)
+    assert parts.min() > 0.93 * kept["id"].size / 10 and parts.max() < 1.07 * kept["id"].size / 10
+    of_trees = [set(own) for _, own in kept.groupby("tree")["id"]]
+    assert np.mean([len(one & two) for one, two in zip(of_trees, of_trees[1:], strict=False)]) < 0.4
+
+
+def test_short_trees_are_drawn_again(spark):
+    rows = large(spark, 5_000)
     stats = forest.feature_stats(rows, ["a", "b"])
-    trees = forest.grow_trees(rows, stats, ["a", "b"], "id", trees=3).toPandas()
-    assert sorted(trees["device_id"]) == [1, 1, 1, 2, 2, 2] and set(trees["sample_size"]) == {256}
-    cuts = [c for f, c in zip(trees["feature"], trees["threshold"]) for k, c in zip(f, c) if k >= 0]
-    assert min(cuts) < -1.0 and max(cuts) > 1.0
+    trees = forest.grow_trees(rows, stats, ["a", "b"], "id", trees=25, wider=0.9).toPandas()
+    assert sorted(zip(trees["device_id"], trees["tree"])) == [(d, t) for d in (1, 2) for t in range(25)]
+    assert set(trees["sample_size"]) == {256}

@@ -1,7 +1,7 @@
 """Anomaly models and scores.
 
-Trained trees are random, so queries that return their scores have no check SQL: tests check their properties, and
-`given_trees` checks the same plans with trees given by a formula. The real-time rule is checked with a label derived
+Trained trees are random, so queries that return their scores have no check SQL (a second query returns the columns that
+SQL can give): tests check their properties, and `given_trees` checks the same plans with trees given by a formula. The real-time rule is checked with a label derived
 from the data.
 """
 
@@ -29,15 +29,19 @@ def _route_models(spark, sf):
 
 def _trained(spark, sf):
     models, _ = _route_models(spark, sf)
-    bounded = F.col("threshold").between(-1.0, 0.0).alias("threshold_within")
-    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples", bounded)
+    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples", "means", "deviations", "threshold")
+
+
+def _registry(models):
+    """What of a model does not depend on random trees."""
+    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples")
 
 
 def _tree_sizes(spark, sf):
     _, forests = _route_models(spark, sf)
     inner = F.size(F.filter("feature", lambda f: f >= 0))
     return forests.groupBy("device_id").agg(
-        F.count(F.lit(1)).alias("trees"), F.max("sample_size").alias("sample_size"), F.bool_and(inner > 0).alias("all_split")
+        F.count(F.lit(1)).alias("trees"), F.max("sample_size").alias("sample_size"), F.sum(inner).alias("splits")
     )
 
 
@@ -48,7 +52,7 @@ def _scored(spark, sf):
 
 def _sensor_models(spark, sf):
     models, _ = scoring.train_sensor_models(load(spark, sf, "positions"), AS_OF)
-    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples")
+    return models.select("device_id", "model_type", "trained_from", "trained_to", "n_samples", "means", "deviations", "threshold")
 
 
 def _sensor_scores(spark, sf):
@@ -95,13 +99,12 @@ def _quantile(spark, sf):
 
 
 def points_scored(summary):
-    """What does not depend on random trees: the points, and that the anomalies are some of them."""
-    within = F.col("anomalies").between(F.lit(0), F.col("points_scored")).alias("anomalies_within")
-    return summary.select("device_id", "points_scored", within)
+    """What of a summary does not depend on random trees."""
+    return summary.select("device_id", "points_scored")
 
 
 def _summary(spark, sf):
-    return points_scored(scoring_summary(_scored(spark, sf)))
+    return scoring_summary(_scored(spark, sf))
 
 
 QUERIES = {
@@ -109,10 +112,14 @@ QUERIES = {
     "training_status": _status,
     "contamination_threshold": _quantile,
     "route_models": _trained,
+    "route_model_registry": lambda spark, sf: _registry(_route_models(spark, sf)[0]),
     "route_forest_sizes": _tree_sizes,
+    "route_forest_counts": lambda spark, sf: _tree_sizes(spark, sf).drop("splits"),
     "batch_scores": _scored,
     "batch_score_summary": _summary,
+    "batch_points_scored": lambda spark, sf: points_scored(_summary(spark, sf)),
     "sensor_models": _sensor_models,
+    "sensor_model_registry": lambda spark, sf: _registry(_sensor_models(spark, sf)),
     "sensor_scores": _sensor_scores,
     "live_scores": _live,
     "additive_score": _live_by_rule,
@@ -147,30 +154,30 @@ CHECKS = {
         "anomalies",
     ),
     # the models' registry rows are not random, only their trees and thresholds are
-    "sensor_models": oracle(
+    "sensor_model_registry": oracle(
         """SELECT device_id, 'SensorForest' AS model_type, '2024-01-01' AS trained_from, '2024-01-31' AS trained_to,
           count(*) AS n_samples
         FROM positions WHERE recorded_at >= TIMESTAMP '2024-01-01 00:00:00'
         GROUP BY device_id HAVING count(*) >= 50""",
         "positions",
     ),
-    "route_models": oracle(
+    "route_model_registry": oracle(
         f"""WITH {_TRAINING}
         SELECT device_id, 'IsolationForest' AS model_type, '2024-01-11' AS trained_from, '2024-01-31' AS trained_to,
-          count(*) AS n_samples, TRUE AS threshold_within
+          count(*) AS n_samples
         FROM training GROUP BY device_id HAVING count(*) >= 50""",
         "positions",
     ),
-    "route_forest_sizes": oracle(
+    "route_forest_counts": oracle(
         f"""WITH {_TRAINING}
-        SELECT device_id, 200 AS trees, least(count(*), 256) AS sample_size, TRUE AS all_split
+        SELECT device_id, 200 AS trees, least(count(*), 256) AS sample_size
         FROM training GROUP BY device_id HAVING count(*) >= 50""",
         "positions",
     ),
-    "batch_score_summary": oracle(
+    "batch_points_scored": oracle(
         f"""WITH {_TRAINING},
         trained AS (SELECT device_id FROM training GROUP BY device_id HAVING count(*) >= 50)
-        SELECT device_id, count(*) AS points_scored, TRUE AS anomalies_within FROM positions SEMI JOIN trained USING (device_id)
+        SELECT device_id, count(*) AS points_scored FROM positions SEMI JOIN trained USING (device_id)
         WHERE recorded_at >= TIMESTAMP '2024-01-30 00:00:00' AND latitude IS NOT NULL AND longitude IS NOT NULL
         GROUP BY device_id""",
         "positions",

@@ -145,7 +145,7 @@ def _heatmap_json(spark, sf):
 def _nightly(spark, sf):
     target = refresh.Store(_folder(spark, "nightly"))
     summary = refresh.refresh(load(spark, sf, "positions"), load(spark, sf, "devices"), target, AS_OF)
-    return scoring_queries.points_scored(summary)
+    return summary
 
 
 def _nightly_zones(spark, sf):
@@ -168,6 +168,7 @@ QUERIES = {
     "zone_replace": _zone_replace,
     "heatmap_json": _heatmap_json,
     "nightly_refresh": _nightly,
+    "nightly_points_scored": lambda spark, sf: scoring_queries.points_scored(_nightly(spark, sf)),
     "nightly_zone_totals": _nightly_zones,
 }
 
@@ -218,12 +219,12 @@ CHECKS = {
         "zones",
     ),
     "heatmap_json": heatmap_queries.CHECKS["fleet_heatmap"],
-    "nightly_refresh": oracle(
+    "nightly_points_scored": oracle(
         f"""WITH {active_sql("devices")}, {clean_ctes("active")},
         route_days AS (SELECT *, count(*) OVER (PARTITION BY device_id, date) AS n FROM clean),
         trained AS (SELECT device_id FROM route_days WHERE n >= 5 AND date >= DATE '2024-01-11'
           AND date < DATE '2024-01-31' GROUP BY device_id HAVING count(*) >= 50)
-        SELECT device_id, count(*) AS points_scored, TRUE AS anomalies_within FROM active SEMI JOIN trained USING (device_id)
+        SELECT device_id, count(*) AS points_scored FROM active SEMI JOIN trained USING (device_id)
         WHERE recorded_at >= TIMESTAMP '2024-01-30 00:00:00' AND latitude IS NOT NULL AND longitude IS NOT NULL
         GROUP BY device_id""",
         "positions",

@@ -97,13 +97,12 @@ def current(models: DataFrame, forests: DataFrame, kind: str) -> tuple[DataFrame
     return newest, forests.join(wanted, ["device_id", "model_id", "trained_to"], "left_semi")
 
 
-def score_points(points: DataFrame, models: DataFrame, forests: DataFrame) -> DataFrame:
-    """Decision and label of route models for points (id, device_id, recorded_at, latitude, longitude, speed)."""
+def score_points(points: DataFrame, models: DataFrame, forests: DataFrame, keep_unscored: bool = False) -> DataFrame:
+    """Decision, label and model id of route models for points (id, device_id, recorded_at, latitude, longitude, speed)."""
     newest, trees = current(models, forests, ROUTE_MODEL)
     rows = points.withColumn("hour", F.hour("recorded_at"))
-    return forest.apply(
-        rows, newest, trees, S.ROUTE_FEATURES, "id", ["recorded_at", "latitude", "longitude"]
-    ).join(newest.select("device_id", F.col("id").alias("model_id")), "device_id")
+    carry = ["recorded_at", "latitude", "longitude"]
+    return forest.apply(rows, newest, trees, S.ROUTE_FEATURES, "id", carry, keep_unscored=keep_unscored)
 
 
 def score_recent(
@@ -137,7 +136,6 @@ def score_sensors(
     newest, trees = current(models, forests, SENSOR_MODEL)
     rows = recent(positions, "recorded_at", as_of, days=days)
     scored = forest.apply(rows, newest, trees, S.SENSOR_FEATURES, "id", ["latitude", "longitude"])
-    scored = scored.join(newest.select("device_id", F.col("id").alias("model_id")), "device_id")
     return scored.select(
         "id",
         "device_id",
@@ -186,19 +184,8 @@ def score_live(points: DataFrame, zones: DataFrame, models: DataFrame, forests:
     """Additive score of points as they come in: forest label, zone context, rule."""
     located = points.where(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     located = located.select("id", "device_id", "recorded_at", "latitude", "longitude", "speed")
-    labels = score_points(located, models, forests).select(
-        "device_id", "id", "recorded_at", "latitude", "longitude", "label", "model_id"
-    )
-    without = located.join(latest_models(models, ROUTE_MODEL).select("device_id"), "device_id", "left_anti").select(
-        "device_id",
-        "id",
-        "recorded_at",
-        "latitude",
-        "longitude",
-        F.lit(None).cast("int").alias("label"),
-        F.lit(None).cast("bigint").alias("model_id"),
-    )
-    return additive_score(nearest_zone(labels.unionByName(without), zones, places=located))
+    labels = score_points(located, models, forests, keep_unscored=True).drop("decision")
+    return additive_score(nearest_zone(labels, zones, places=located))
 
 
 def as_anomaly_rows(scored: DataFrame) -> DataFrame:

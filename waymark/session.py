@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build(app: str = "waymark", **conf: str) -> SparkSession:
@@ -56,3 +57,14 @@ def shared_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder
+
+
+def tabled(df: DataFrame) -> DataFrame:
+    """Write the rows as Parquet in the shared folder and go on from the table.
+
+    It cuts the lineage as a checkpoint does, but readers take only the columns they need, and Spark knows the size, so
+    that it broadcasts a table only if it is small.
+    """
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
