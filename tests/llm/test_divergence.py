@@ -3,6 +3,7 @@
 import collections
 import re
 
+import pyarrow as pa
 import pytest
 
 from waymark.llm import divergence
@@ -56,16 +57,47 @@ def frame(spark, docs):
     return spark.createDataFrame([(i, *d, "x", 1, 2) for i, d in enumerate(docs)], SCHEMA)
 
 
-@pytest.mark.parametrize("sizes", [(250_000, 4_096, 200_000, 1 << 20), (7, 2, 3, 5)])
-def test_audit_equals_brute_force(spark, monkeypatch, sizes):
-    """In one run per task, and with spills after seven postings, blocks of two and parts of three."""
-    monkeypatch.setattr(divergence.posting_lists, "__defaults__", (sizes[0], 3))
-    for name, size in zip(("BLOCK", "CHUNK", "AT_ONCE"), sizes[1:], strict=True):
-        monkeypatch.setattr(divergence, name, size)
+def test_audit_equals_brute_force(spark):
     got = divergence.audit(frame(spark, DOCS * 2).repartition(5), work_dir(spark, "test"))
     assert sorted(tuple(row) for row in got.collect()) == brute(DOCS * 2)
 
 
+@pytest.mark.parametrize("sizes", [(7, 1 << 20, 3, 2, 5), (1 << 20, 4, 1, 1, 1), (50, 50, 10, 2048, 50_000)])
+def test_many_runs_merge_into_whole_lists(monkeypatch, sizes):
+    """Spills after a few postings or terms, small blocks, few keys at once: the lists are those of all texts."""
+    for name, size in zip(("VOCABULARY", "WAITING", "BLOCK", "MERGED"), sizes[1:], strict=True):
+        monkeypatch.setattr(divergence, name, size)
+    docs = [((lang or "").encode(), (source or "").encode(), (text or "").encode()) for text, lang, source in DOCS * 3]
+    texts = pa.RecordBatch.from_arrays([pa.array(c, pa.binary()) for c in zip(*docs, strict=True)], names=["lang", "source", "text"])
+    runs = [batch for part in (texts.slice(0, 30), texts.slice(30)) for batch in divergence.spilled_runs([part], 3, sizes[0])]
+    rows = sorted((row for batch in runs for row in batch.to_pylist()), key=lambda row: row["head"])
+    found, heads = {}, []
+    for shard in range(3):
+        blocks = [pa.RecordBatch.from_pylist([row], divergence.BLOCKS) for row in rows if row["shard"] == shard]
+        heads += [len(blocks)]
+        for batch in divergence.merged_lists(blocks, 3):
+            for row in batch.to_pylist():
+                assert (row["lang"], row["term"]) not in found
+                found[row["lang"], row["term"]] = dict(zip(row["sources"], row["counts"], strict=True))
+                assert row["total"] == sum(row["counts"])
+    wanted, documents = collections.defaultdict(collections.Counter), collections.Counter()
+    for lang, source, text in docs:
+        words = divergence.terms(text)
+        documents.update((lang, word) for word in set(words))
+        for word in words:
+            wanted[lang, word][source] += 1
+    assert found == {key: dict(value) for key, value in wanted.items() if documents[key] >= 3} and min(heads) > 1
+
+
+def test_small_parts_give_the_same_pairs(spark, monkeypatch):
+    """Pairs from parts of three postings, five numbers at once."""
+    monkeypatch.setattr(divergence, "CHUNK", 3)
+    monkeypatch.setattr(divergence, "AT_ONCE", 5)
+    docs = DOCS[:-1]
+    got = divergence.audit(frame(spark, docs), work_dir(spark, "test"))
+    assert sorted(tuple(row) for row in got.collect()) == brute(docs)
+
+
 def test_many_sources_and_a_short_list_of_terms(spark):
     docs = [(f"alpha beta w{i % 11} w{i % 7} " + "gamma " * (i % 5), "en", f"s{i % 150}") for i in range(450)]
     got = divergence.audit(frame(spark, docs), work_dir(spark, "test"), most_terms=4)

@@ -1,10 +1,10 @@
 """How the sources of a language differ in their words: an inverted index built in a single pass, then exact sums.
 
-1. Every task indexes its texts in memory: per (language, source) a count and a number of documents per term. When the
-   index holds `INDEX` postings it is spilled as a run sorted by term, cut by hash shard into blocks of bounded size.
+1. Every task indexes its texts in memory: counts per (language, source) and term, documents per language and term. When
+   the index holds `INDEX` postings it is spilled as a run sorted by term, cut by hash shard into blocks of bounded size.
 2. The blocks of a shard arrive in the order of their first keys. A heap holds the blocks that are open; the least key is
-   merged across them until the next block could hold a lesser one. So a shard is merged as a stream, with at most one
-   block per run in memory, into one posting list per (language, term).
+   taken from them until the next block could hold a lesser one. So a shard is merged as a stream, with little more than
+   one block per run in memory, into one posting list per (language, term).
 3. Two sources are compared by their smoothed shares of every kept term of the language. Most terms occur in few
    sources, so a pair starts from the value that absent terms give, and streams of corrections are added: terms of either
    source alone from histograms of counts, terms of both from the posting lists. No sum runs over the whole vocabulary
@@ -23,8 +23,9 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,22 @@ from pyspark.sql.window import Window
 from waymark.llm.common import stage
 
 TERM = re.compile(rb"[A-Za-z\x80-\xff]+")
-#: Postings in memory before a spill, postings of a block, postings compared in one task, pairs computed at once.
-INDEX, BLOCK, CHUNK, AT_ONCE = 250_000, 4_096, 200_000, 1 << 20
+#: Postings and terms in memory before a spill, postings that wait to be added up, keys of a block, keys merged at once,
+#: postings compared in one task, pairs computed at once.
+INDEX, VOCABULARY, WAITING, BLOCK, MERGED, CHUNK, AT_ONCE = 2_000_000, 500_000, 500_000, 2_048, 50_000, 200_000, 1 << 20
 #: A term is kept by a language if it is in so many of its documents.
 LEAST_DOCUMENTS = 3
 WHOLE = 1_000_000_000
 
+#: A block: its keys in order, per key the documents and the number of postings, then the postings of all keys.
+BLOCKS_DDL = (
+    "shard int, head binary, keys array<binary>, documents array<long>, sizes array<long>, names array<binary>, "
+    "sources array<long>, counts array<long>"
+)
 BLOCKS = pa.schema([
-    ("shard", pa.int32()), ("head", pa.binary()), ("keys", pa.list_(pa.binary())), ("sources", pa.list_(pa.binary())),
-    ("counts", pa.list_(pa.int64())), ("documents", pa.list_(pa.int64())),
+    ("shard", pa.int32()), ("head", pa.binary()), ("keys", pa.list_(pa.binary())), ("documents", pa.list_(pa.int64())),
+    ("sizes", pa.list_(pa.int64())), ("names", pa.list_(pa.binary())), ("sources", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())),
 ])
-BLOCKS_DDL = "shard int, head binary, keys array<binary>, sources array<binary>, counts array<long>, documents array<long>"
 LISTS = pa.schema([
     ("lang", pa.binary()), ("term", pa.binary()), ("total", pa.int64()), ("sources", pa.list_(pa.binary())), ("counts", pa.list_(pa.int64())),
 ])
@@ -57,45 +63,91 @@ def terms(text: bytes) -> list[bytes]:
     return TERM.findall(text.lower())
 
 
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sum of the values of each."""
+    if not len(keys):
+        return keys, values
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    return keys[starts], np.add.reduceat(values[order], starts)
+
+
+class _Sums:
+    """Sums per 64-bit key; what waits is added up before it outgrows what is kept."""
+
+    def __init__(self) -> None:
+        self.keys, self.values = np.array([], dtype=np.int64), np.array([], dtype=np.int64)
+        self.waiting, self.size = [], 0
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.waiting.append((keys, values))
+        self.size += len(keys)
+        if self.size >= WAITING + len(self.keys) // 2:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, values = zip((self.keys, self.values), *self.waiting, strict=True)
+        self.keys, self.values = _summed(np.concatenate(keys), np.concatenate(values))
+        self.waiting, self.size = [], 0
+
+
 class Index:
-    """Counts and document numbers per (language, source) and term, until they are spilled."""
+    """Counts per (language, source) and term, and documents per language and term, until they are spilled."""
 
     def __init__(self) -> None:
-        self.groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-        self.size = 0
+        self.vocabulary = defaultdict(count().__next__)
+        self.langs, self.groups = defaultdict(count().__next__), defaultdict(count().__next__)
+        self.postings, self.documents = _Sums(), _Sums()
 
     def add(self, lang: bytes, source: bytes, found: list[bytes]) -> None:
-        counts, documents = self.groups.setdefault((lang, source), (Counter(), Counter()))
-        before = len(counts)
-        counts.update(found)
-        documents.update(set(found))
-        self.size += len(counts) - before
-
-    def run(self) -> Iterator[tuple[bytes, bytes, int, int]]:
-        """The postings in the order of (term, language, source). A term has no zero byte, so one ends it in the key."""
-        postings = [
-            (term + b"\0" + lang, source, count, documents[term])
-            for (lang, source), (counts, documents) in self.groups.items()
-            for term, count in counts.items()
-        ]
-        postings.sort()
+        numbers = np.fromiter(map(self.vocabulary.__getitem__, found), np.int64, len(found))
+        numbers, counts = np.unique(numbers, return_counts=True)
+        lang = self.langs[lang]
+        self.postings.add(numbers | (self.groups[lang, source] << 32), counts)
+        self.documents.add(numbers | (lang << 32), np.ones(len(numbers), dtype=np.int64))
+
+    def full(self, most: int) -> bool:
+        held = len(self.postings.keys) + self.postings.size
+        return held >= most or len(self.vocabulary) >= VOCABULARY
+
+    def run(self, shards: int) -> Iterator[pa.RecordBatch]:
+        """The postings in the order of (term, language), dealt to the shards by term and cut into blocks."""
+        self.postings.settle()
+        self.documents.settle()
+        words, langs, groups = list(self.vocabulary), list(self.langs), list(self.groups)
+        if not words:
+            return
+        names = sorted({source for _, source in groups})
+        place = {name: i for i, name in enumerate(names)}
+        lang_of, source_of = np.array([(lang, place[source]) for lang, source in groups], dtype=np.int64).T
+        position = np.empty(len(words), dtype=np.int64)
+        position[sorted(range(len(words)), key=words.__getitem__)] = np.arange(len(words))
+        lang_position = np.empty(len(langs), dtype=np.int64)
+        lang_position[sorted(range(len(langs)), key=langs.__getitem__)] = np.arange(len(langs))
+        shard_of = np.fromiter((zlib.crc32(word) % shards for word in words), np.int64, len(words))
+        group, word = self.postings.keys >> 32, self.postings.keys & 0xFFFFFFFF
+        lang, source, counts = lang_of[group], source_of[group], self.postings.values
+        order = np.lexsort([source, lang_position[lang], position[word], shard_of[word]])
+        lang, word, source, counts = lang[order], word[order], source[order], counts[order]
+        entry = lang << 32 | word
+        starts = np.flatnonzero(np.r_[True, entry[1:] != entry[:-1]])
+        documents = self.documents.values[np.searchsorted(self.documents.keys, entry[starts])]
+        shard, sizes = shard_of[word[starts]], np.diff(np.r_[starts, len(entry)])
+        keys = [words[w] + b"\0" + langs[t] for w, t in zip(word[starts].tolist(), lang[starts].tolist(), strict=True)]
+        ends = np.r_[starts, len(entry)]
         self.__init__()
-        return postings
-
-
-def blocks(postings: list[tuple], shards: int) -> Iterator[pa.RecordBatch]:
-    """A sorted run, dealt to the shards by key and cut into blocks."""
-    dealt: dict[int, list] = {}
-    for posting in postings:
-        dealt.setdefault(zlib.crc32(posting[0]) % shards, []).append(posting)
-    rows = []
-    for shard, own in dealt.items():
-        for first in range(0, len(own), BLOCK):
-            keys, sources, counts, documents = zip(*own[first : first + BLOCK], strict=True)
-            rows.append((shard, keys[0], keys, sources, counts, documents))
-    if rows:
-        columns = [pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), BLOCKS, strict=True)]
-        yield pa.RecordBatch.from_arrays(columns, schema=BLOCKS)
+        for first in np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]):
+            beyond = int(np.searchsorted(shard, shard[first], "right"))
+            for low in range(int(first), beyond, BLOCK):
+                high = min(low + BLOCK, beyond)
+                own = slice(ends[low], ends[high])
+                used, local = np.unique(source[own], return_inverse=True)
+                row = [
+                    int(shard[low]), keys[low], keys[low:high], documents[low:high], sizes[low:high], [names[i] for i in used], local,
+                    counts[own],
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
 
 def spilled_runs(batches: Iterator[pa.RecordBatch], shards: int, most: int) -> Iterator[pa.RecordBatch]:
@@ -104,68 +156,103 @@ def spilled_runs(batches: Iterator[pa.RecordBatch], shards: int, most: int) -> I
         columns = (batch.column(name).to_pylist() for name in ("lang", "source", "text"))
         for lang, source, text in zip(*columns, strict=True):
             index.add(lang, source, terms(text))
-            if index.size >= most:
-                yield from blocks(index.run(), shards)
-    yield from blocks(index.run(), shards)
+            if index.full(most):
+                yield from index.run(shards)
+    yield from index.run(shards)
+
 
+class _Block:
+    """A block that is being merged."""
 
-def _open_block(batch: pa.RecordBatch, row: int) -> Iterator[tuple]:
-    columns = [batch.column(name)[row].values for name in ("keys", "sources", "counts", "documents")]
-    keys, sources, counts, documents = (column.to_pylist() for column in columns)
-    return zip(keys, sources, counts, documents, strict=True)
+    def __init__(self, batch: pa.RecordBatch, row: int) -> None:
+        self.keys, self.names = batch.column("keys")[row].as_py(), batch.column("names")[row].as_py()
+        arrays = [batch.column(name)[row].values.to_numpy() for name in ("documents", "sizes", "sources", "counts")]
+        self.documents, self.sizes, self.sources, self.counts = arrays
+        self.starts = np.cumsum(self.sizes) - self.sizes
 
 
-def merged_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[bytes, dict[bytes, int], int]]:
-    """Key, count per source and number of documents, from blocks in the order of their heads."""
-    heap: list[tuple] = []
-    key, counts, documents, opened = None, {}, 0, 0
+class Merge:
+    """Streams of keys, one per run, merged by a heap; the postings of each key are added up."""
 
-    def advance(limit: bytes | None):
-        nonlocal key, counts, documents
+    def __init__(self, least: int) -> None:
+        self.least, self.heap, self.opened = least, [], 0
+        self.blocks: dict[int, _Block] = {}
+        self.keys: list[bytes] = []
+        self.taken: list[tuple[int, int, int]] = []  # number of the key, of the block, place in the block
+
+    def open(self, block: _Block) -> None:
+        self.blocks[self.opened] = block
+        heapq.heappush(self.heap, (block.keys[0], self.opened, 0))
+        self.opened += 1
+
+    def advance(self, limit: bytes | None, most: int | None = None) -> None:
+        """Take all keys below the limit, or the next `most` keys."""
+        heap, keys, taken, blocks = self.heap, self.keys, self.taken, self.blocks
         while heap and (limit is None or heap[0][0] < limit):
-            (found, source, count, number), tie, rest = heap[0][1], heap[0][2], heap[0][3]
-            if found != key:
-                if key is not None:
-                    yield key, counts, documents
-                key, counts, documents = found, {}, 0
-            counts[source] = counts.get(source, 0) + count
-            documents += number
-            following = next(rest, None)
-            if following is None:
-                heapq.heappop(heap)
+            key, number, place = heap[0]
+            if not keys or keys[-1] != key:
+                if len(keys) == most:
+                    return
+                keys.append(key)
+            taken.append((len(keys) - 1, number, place))
+            place += 1
+            following = blocks[number].keys
+            if place < len(following):
+                heapq.heapreplace(heap, (following[place], number, place))
             else:
-                heapq.heapreplace(heap, (following[0], following, tie, rest))
+                heapq.heappop(heap)
 
-    for batch in batches:
-        for row, head in enumerate(batch.column("head").to_pylist()):
-            yield from advance(head)
-            rest = _open_block(batch, row)
-            first = next(rest)
-            opened += 1
-            heapq.heappush(heap, (first[0], first, opened, rest))
-    yield from advance(None)
-    if key is not None:
-        yield key, counts, documents
+    def lists(self) -> Iterator[pa.RecordBatch]:
+        """The posting lists of the keys taken so far, which are complete: no open block holds one of them."""
+        if not self.keys:
+            return
+        key, number, place = np.array(self.taken, dtype=np.int64).T
+        names: dict[bytes, int] = defaultdict(count().__next__)
+        documents = np.zeros(len(self.keys), dtype=np.int64)
+        found = []
+        order = np.argsort(number, kind="stable")
+        for part in np.split(order, np.flatnonzero(np.diff(number[order])) + 1):
+            block = self.blocks[int(number[part[0]])]
+            own, at = key[part], place[part]
+            documents[own] += block.documents[at]  # a block has a key once
+            sizes, starts = block.sizes[at], block.starts[at]
+            flat = np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            of = np.array([names[name] for name in block.names], dtype=np.int64)
+            found.append((np.repeat(own, sizes) << 32 | of[block.sources[flat]], block.counts[flat]))
+        pairs, counts = _summed(*(np.concatenate(column) for column in zip(*found, strict=True)))
+        owner = pairs >> 32
+        fits = documents[owner] >= self.least
+        owner, sources, counts = owner[fits], (pairs & 0xFFFFFFFF)[fits], counts[fits]
+        kept, sizes = np.unique(owner, return_counts=True)
+        if len(kept):
+            ends = np.r_[0, np.cumsum(sizes)]
+            cut = [self.keys[i].partition(b"\0") for i in kept.tolist()]
+            offsets = pa.array(ends.astype(np.int32))
+            columns = [
+                pa.array([lang for _, _, lang in cut], pa.binary()), pa.array([term for term, _, _ in cut], pa.binary()),
+                pa.array(np.add.reduceat(counts, ends[:-1])),
+                pa.ListArray.from_arrays(offsets, pa.array(list(names), pa.binary()).take(pa.array(sources))),
+                pa.ListArray.from_arrays(offsets, pa.array(counts)),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, schema=LISTS)
+        self.keys, self.taken = [], []
+        opened = {number for _, number, _ in self.heap}
+        self.blocks = {number: block for number, block in self.blocks.items() if number in opened}
 
 
 def merged_lists(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """One posting list per kept term of a language."""
-    rows, size = [], 0
-
-    def batch() -> pa.RecordBatch:
-        columns = [pa.array(column, field.type) for column, field in zip(zip(*rows, strict=True), LISTS, strict=True)]
-        return pa.RecordBatch.from_arrays(columns, schema=LISTS)
-
-    for key, counts, documents in merged_keys(batches):
-        if documents >= least:
-            term, _, lang = key.partition(b"\0")
-            rows.append((lang, term, sum(counts.values()), list(counts), list(counts.values())))
-            size += len(counts)
-            if size >= 50_000:
-                yield batch()
-                rows, size = [], 0
-    if rows:
-        yield batch()
+    """One posting list per kept term of a language, from blocks in the order of their heads."""
+    merge = Merge(least)
+    for batch in batches:
+        for row, head in enumerate(batch.column("head").to_pylist()):
+            merge.advance(head)
+            if len(merge.keys) >= MERGED:
+                yield from merge.lists()
+            merge.open(_Block(batch, row))
+    while merge.heap:
+        merge.advance(None, MERGED)
+        yield from merge.lists()
+    yield from merge.lists()
 
 
 def posting_lists(docs: DataFrame, folder: str, most: int = INDEX, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -233,7 +320,8 @@ def both(groups: pa.Table, lists: pa.Table) -> Iterator[tuple[bytes, bytes, int]
     base = shares(np.zeros(len(names), dtype=np.int64), whole)
     sources, counts = lists["sources"].combine_chunks(), lists["counts"].combine_chunks()
     ends = sources.offsets.to_numpy().astype(np.int64)
-    who = np.array([place[name] for name in sources.flatten().to_pylist()], dtype=np.int64)
+    coded = sources.flatten().dictionary_encode()
+    who = np.array([place[name] for name in coded.dictionary.to_pylist()], dtype=np.int64)[coded.indices.to_numpy()]
     ends = ends - ends[0]
     present = shares(counts.flatten().to_numpy(), whole[who])
     term_of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))

@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from waymark.llm.topk import usable
+from waymark.session import tabled
 
 #: Rows of a block of candidates and of anchors that one task holds, and of the tiles it works on.
 CANDIDATES, ANCHORS, TILE, TILE_ANCHORS = 32_768, 8_192, 2_048, 256
@@ -224,7 +225,7 @@ def mine(
         "anchor_id long, vec_id long, score long",
     )
     first = Window.partitionBy("anchor_id").orderBy(F.desc("score"), "vec_id")
-    pairs = own.withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives)
+    pairs = tabled(own.withColumn("place", F.row_number().over(first)).where(F.col("place") <= positives))  # read twice below
 
     # low * positive <= 100 * negative <= high * positive, as the whole numbers between the two ends
     exact = F.col("score").cast("decimal(25,0)")
