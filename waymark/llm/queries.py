@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import (
-    dart_minhash, divergence, exact_dedup, language, license_scan, mixing, negatives, packing, surrogates, token_index, topk, toxicity,
+    dart_minhash, divergence, exact_dedup, html_text, language, license_scan, mixing, negatives, packing, surrogates, token_index, topk, toxicity,
 )
 from waymark.llm.common import held_out, table, work_dir
 from waymark.session import prepare
@@ -186,6 +186,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "lang_pred", "score")
 
 
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages, work_dir(spark, "html-text")))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"), work_dir(spark, "divergence"))
 
@@ -278,6 +283,7 @@ QUERIES = {
     "op8_topk": op8_topk,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language": op10_language,
+    "op11_html_text": op11_html_text,
     "op12_source_divergence": op12_source_divergence,
     "op13_hard_negatives": op13_hard_negatives,
 }
