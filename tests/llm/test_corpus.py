@@ -161,15 +161,72 @@ def test_exact_classes(odd, none, folder, digest):
 
 
 def test_near_classes(odd, none, folder):
-    found = {r.doc_id: (r.class_id, r.class_size) for r in dart_minhash.classes(odd, folder).collect()}
-    assert found[7] == (7, 4) and found[8][0] == found[9][0] == 7  # 7 stands twice
-    assert found[5] == found[6] == (5, 2) and found[3] == found[4] == (3, 2)
-    assert found[1] == (1, 1) and found[2] == (2, 1) and found[11] == (11, 1)
+    found = {(r.doc_id, bytes(r.digest)): (r.class_id, r.class_size) for r in dart_minhash.classes(odd, folder).collect()}
+    of = lambda i: found[i, hashlib.md5((TEXTS[i] or "").encode()).digest()]
+    assert of(7) == (7, 4) and of(8)[0] == of(9)[0] == 7  # 7 stands twice
+    assert of(5) == of(6) == (5, 2) and of(3) == of(4) == (3, 2)
+    assert of(1) == (1, 1) and of(2) == (2, 1) and of(11) == (11, 1)
+    assert of(0) == (0, 1) == found[0, hashlib.md5(b"again").digest()]
     kept = dart_minhash.representatives(odd, dart_minhash.classes(odd, f"{folder}/b")).collect()
     assert len([r for r in kept if r.doc_id == 7]) == 1 and len([r for r in kept if r.doc_id is None]) == 2
+    assert sorted(r.text or "" for r in kept if r.doc_id == 0) == ["", "again"]  # unlike texts under one id both stay
     assert dart_minhash.classes(none, f"{folder}/none").count() == 0
 
 
+def test_unlike_texts_under_one_id(spark, folder):
+    """Each finds its own near copy, and none is lost."""
+    one, two = (" ".join(f"{c}{i}" for i in range(100)) for c in "ab")
+    docs = [(1, one), (1, two), (2, " ".join(f"c{i}" for i in range(100))), (3, two + " z"), (4, one + " y"), (4, two + " x")]
+    docs = spark.createDataFrame([(i, t, "x", "y") for i, t in docs], "doc_id long, text string, _own0 string, _gone string")
+    found = dart_minhash.classes(docs, folder)
+    kinds = {}
+    for row in found.collect():
+        kinds.setdefault((row.class_id, bytes(row.class_text)), []).append((row.doc_id, row.kept))
+    assert sorted(sorted(own) for own in kinds.values()) == [
+        [(1, True), (3, False), (4, False)], [(1, True), (4, False)], [(2, True)]
+    ]
+    kept = dart_minhash.representatives(docs, found)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == sorted([one, two, " ".join(f"c{i}" for i in range(100))])
+
+
+def test_similarity_is_weighted(spark, folder):
+    """Classes and the check of a pair against brute force over counts of shingles."""
+    rng = np.random.default_rng(8)
+    lines = [" ".join(f"l{n}w{i}" for i in range(8)) for n in range(30)]
+    texts = []
+    for _ in range(25):
+        base = list(rng.choice(lines, 12))
+        texts.append("\n".join(base))
+        for _ in range(3):
+            changed = list(base)
+            for at in rng.choice(12, int(rng.integers(1, 4)), replace=False):
+                changed[at] = str(rng.choice(lines)) if rng.random() < 0.5 else changed[at] + " more"
+            texts.append("\n".join(changed + [base[0]] * int(rng.integers(0, 6))))
+
+    def bag(text):
+        words = text.lower().split()
+        counts = collections.Counter(tuple(words[j : j + 5]) for j in range(len(words) - 4))
+        return {shingle: 1 + np.log(n) for shingle, n in counts.items()}
+
+    bags = [bag(text) for text in texts]
+    alike = {}
+    for a in range(len(texts)):
+        for b in range(a):
+            both = sum(min(bags[a][s], bags[b][s]) for s in bags[a].keys() & bags[b].keys())
+            alike[b, a] = both / (sum(bags[a].values()) + sum(bags[b].values()) - both)
+    sets = [dart_minhash.packed(v, n) for v, _, n in (dart_minhash.counted_shingles([text]) for text in texts)]
+    for (a, b), wanted in alike.items():
+        assert dart_minhash.similar(sets[a], sets[b], 0.8)[0] == (wanted >= 0.8)
+    roots = list(range(len(texts)))
+    for (a, b), wanted in alike.items():
+        if wanted >= 0.8:
+            low, high = sorted((roots[a], roots[b]))
+            roots = [low if root == high else root for root in roots]
+    got = dart_minhash.classes(spark.createDataFrame(rows(texts), SCHEMA), folder)
+    assert {r.doc_id: r.class_id for r in got.collect()} == dict(enumerate(roots))
+    assert len(set(roots)) < len(texts)
+
+
 def test_signatures_agree_as_weighted_sets_do():
     rng = np.random.default_rng(5)
     elements = rng.integers(0, 2**63, 60).astype(np.uint64)
@@ -218,6 +275,39 @@ def test_mix_of_odd_rows(odd):
     assert drawn.count() == odd.count() and drawn.where(F.col(mixing.TAKEN) != F.col(mixing.TOKENS)).count() == 0
 
 
+def test_mix_does_not_depend_on_the_order_of_rows(spark):
+    """Many texts under one id and under none, and columns with the names that are used inside."""
+    texts = [(1 if i % 2 else None, "w" * (i % 23) + str(i), "en", "s", "k", 7, "t") for i in range(120)]
+    schema = "doc_id long, text string, lang string, source string, mix_key string, mix_tokens int, mix_0 string"
+    one, two = (
+        mixing.draw(spark.createDataFrame(rows_, schema).coalesce(1), ["lang", "source"], [F.lit(1), F.lit(1)], share=0.55, epochs=2)
+        for rows_ in (texts, texts[::-1])
+    )
+    assert one.columns == ["doc_id", "text", "lang", "source", "mix_key", "mix_0", "mix_tokens", "mix_epoch", "mix_taken"]
+    found = sorted(map(str, one.collect()))
+    assert found == sorted(map(str, two.collect())) and len(found) > 50
+    assert {(r.mix_key, r.mix_0) for r in one.collect()} == {("k", "t")}
+
+
+def test_files_do_not_depend_on_the_order_of_rows(spark, folder):
+    """Several texts under one id and under none get the same numbers and places, as after a retried task."""
+    texts = [(i % 3 or None, f"text {i}") for i in range(40)]
+    found = []
+    for name, own in (("one", texts), ("two", texts[::-1])):
+        docs = spark.createDataFrame(own, "doc_id long, text string").coalesce(1)
+        records, index = token_index.build(docs, f"{folder}/{name}", BYTE)
+        read = token_index.read_ids(token_index.lookup(records, index), f"{folder}/{name}", "ids_read long, ids_crc32 long", token_index.digest)
+        found.append(sorted(map(str, read.drop("shard").collect())))
+    assert found[0] == found[1] and len(found[0]) == 40
+
+
+@pytest.mark.parametrize("name", ["_digest", "_gone", "_its", "_own0", "count"])
+def test_exact_dedup_keeps_columns_of_any_name(spark, name):
+    docs = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (2, "a", "y"), (3, "b", "z")], f"doc_id long, text string, {name} string")
+    kept = exact_dedup.apply(docs, exact_dedup.deduplicate(docs))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect())) == [(2, "a", "y"), (3, "b", "z")]
+
+
 TEXT = (
     'Mail ann.b@mail3.example.com, call +1 (017) 555-7713 or +1 (017) 555-7713; token = "04DBEBAB91AB85687D33EEAAF9AC699E1188F962" '
     "from 161.17.88.162. Card 4111 1111 1111 1111. Mrs Anna Schmidt met Herr Schmidt. Version 1.2.3.4.5 of 2024-01-02."
@@ -280,6 +370,26 @@ def test_surrogates_stay_distinct(spark, odd, folder):
     assert surrogates.anonymise(odd.limit(0), b"k", f"{folder}/none").count() == 0
 
 
+def test_spellings_of_a_number_stay_one_entity():
+    """What is kept of a number follows from its value, whatever separates the country code."""
+    spellings = ["+1 555-123-4567", "+1555 123-4567", "+1 (555) 123-4567", "+15551234567 ", "+1 555 123 4567"]
+    shown = {re.sub(r"\D", "", surrogates.replace(text, b"k", {})[0]) for text in spellings}
+    assert len(shown) == 1 and shown.pop().startswith("1")
+    german = {re.sub(r"\D", "", surrogates.replace(text, b"k", {})[0]) for text in ("+49 30 123 4567", "+4930 1234567", "+49301234567")}
+    assert len(german) == 1 and german.pop().startswith("49")
+
+
+def test_a_full_space_of_values_widens(spark, folder):
+    """All 6,561 addresses of four digits from 1 to 9: no two entities share a surrogate, none shows a real one."""
+    texts = [f"host {a}.{b}.{c}.{d} up" for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    docs = spark.createDataFrame([(i, t, "mine", [1], "x") for i, t in enumerate(texts)], "doc_id long, text string, text_key string, _attempts array<int>, _own0 string")
+    got = surrogates.anonymise(docs, b"k", folder).collect()
+    shown = [row.text.split()[1] for row in got]
+    assert len(set(shown)) == len(texts) and set(shown).isdisjoint(t.split()[1] for t in texts)
+    assert {(row.text_key, tuple(row["_attempts"]), row["_own0"]) for row in got} == {("mine", (1,), "x")}
+    assert all(row.n_entities == 1 for row in got)
+
+
 def test_licences(spark, odd, folder):
     texts = {
         "mit": "intro\nReleased under the MIT License.", "gpl": "This work is licensed under the GNU General Public License, version 3.",

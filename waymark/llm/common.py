@@ -47,3 +47,9 @@ def sampled(rows: DataFrame, key: str, strata: str, bound: int) -> DataFrame:
     share = F.lit(float(bound)) / F.col("_n")
     point = F.pmod(F.xxhash64(F.lit("sample"), F.col(key)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return rows.join(F.broadcast(counts), strata).where(point < share).drop("_n")  # one row for each of few strata
+
+
+def spare_names(rows: DataFrame, count: int) -> list[str]:
+    """Column names that the rows do not have, whatever the case of theirs."""
+    taken = {name.lower() for name in rows.columns}
+    return [name for n in range(len(taken) + count) if (name := f"_own{n}") not in taken][:count]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm import fuse
-from waymark.llm.common import stage, whole_text, work_dir
+from waymark.llm.common import spare_names, stage, whole_text, work_dir
 
 #: Digests of a filter.
 BUCKET = 1 << 16
@@ -171,17 +171,18 @@ def apply(docs: DataFrame, found: DataFrame, digest: Callable[[Column], Column]
 
     Rows are told apart by doc_id and digest, so several texts under one id need a strong digest here.
     """
-    rows = docs.withColumn("_digest", digest(whole_text()))
-    gone = found.where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_its")).distinct()
-    same = F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.col("_digest") == F.col("_its"))
+    own, its, copy = spare_names(docs, 3)
+    rows = docs.withColumn(own, digest(whole_text()))
+    gone = found.where("NOT kept").select(F.col("doc_id").alias(its), F.col("digest").alias(copy)).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col(its)) & (F.col(own) == F.col(copy))
     kept = rows.join(gone, same, "left_anti")
-    repeated = found.where("kept").groupBy(F.col("doc_id").alias("_gone"), F.col("digest").alias("_its")).count()
-    repeated = repeated.where("count > 1").drop("count")
+    repeated = found.where("kept").groupBy(F.col("doc_id").alias(its), F.col("digest").alias(copy)).agg(F.count(F.lit(1)).alias("n"))
+    repeated = repeated.where("n > 1").drop("n")
     if repeated.isEmpty():
-        return kept.drop("_digest")
+        return kept.drop(own)
     others = kept.join(repeated, same, "left_anti")
     ones = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"])
-    return others.unionByName(ones).drop("_digest")
+    return others.unionByName(ones).drop(own)
 
 
 def deduplicate(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:

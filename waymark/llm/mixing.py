@@ -5,13 +5,15 @@ more than its whole subtree can give, `epochs` passes over its documents, and wh
 weight. Only where all children of a node are exhausted does the rest go to the node's own siblings, so a shortage is
 made up as near to its leaf as possible. All sums are whole numbers; shares round down.
 
-A leaf reads its documents epoch by epoch, each time in the order of a hash of seed, epoch and doc_id, and takes the
+A leaf reads its documents epoch by epoch, each time in the order of a hash of seed, epoch and doc_id (of the text, where
+that is null), and takes the
 prefix that fills its quota, cutting the last document. The prefix is found without sorting a leaf: token sums of 65,536
 ranges of the hash locate the range in which the quota ends, and only that range is ordered.
 
 Cases: a null level counts as an empty name. Null text counts as empty; every document has at least one token (bytes / 4
-rounded up, and one). Repeated rows are drawn each; equal doc_ids follow each other. No rows, no budget or a weight of
-zero give no rows. `draw` passes other columns through, but for those it adds.
+rounded up, and one). Repeated rows are drawn each; equal doc_ids follow each other, by tokens and a digest of the text, so
+the draw does not depend on the order of the rows. No rows, no budget or a weight of zero give no rows. `draw` passes
+other columns through, whatever their names, but replaces those it adds.
 """
 
 from __future__ import annotations
@@ -71,8 +73,12 @@ def draw(
     """The documents drawn, once per pass, with TOKENS, EPOCH and TAKEN. The budget is this share of all tokens."""
     spark = docs.sparkSession
     folder = work_dir(spark, "mixing")
+    given = docs.drop(TOKENS, EPOCH, TAKEN)
+    # the caller's columns travel in one, so that none can clash with those used here
     named = [F.coalesce(F.col(level).cast("string"), F.lit("")).alias(f"mix_{n}") for n, level in enumerate(levels)]
-    rows = docs.select("*", *named, tokens().alias(TOKENS))
+    text = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("mix_text")
+    identity = F.col("doc_id").cast("string").alias("mix_id")
+    rows = given.select(F.struct(*given.columns).alias("mix_row"), *named, identity, text, tokens().alias(TOKENS))
     own = [f"mix_{n}" for n in range(len(levels))]
     leaves = stage(rows.groupBy(*own).agg(F.sum(TOKENS).alias("supply")), folder, "leaves")
     whole = leaves.agg(F.sum("supply")).first()[0] or 0
@@ -82,7 +88,7 @@ def draw(
 
     # where the last, partial pass of each leaf ends
     keyed = rows.join(plan, own)
-    key = F.md5(F.concat_ws("|", F.lit(seed), "mix_full", F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), "mix_full", F.coalesce("mix_id", "mix_text")))
     keyed = keyed.withColumn("mix_key", key).withColumn("mix_range", F.conv(F.substring("mix_key", 1, 4), 16, 10).cast("int"))
     sums = keyed.where("mix_part > 0").groupBy(*own, "mix_range", "mix_part").agg(F.sum(TOKENS).alias("mix_sum"))
     ordered = Window.partitionBy(*own).orderBy("mix_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,10 +100,9 @@ def draw(
     passes = passes.withColumn(TAKEN, F.col(TOKENS))
     last = keyed.where("mix_part > 0").join(ends, own).withColumn(EPOCH, F.col("mix_full").cast("int"))
     inside = last.where("mix_range < mix_end").withColumn(TAKEN, F.col(TOKENS))
-    in_order = Window.partitionBy(*own).orderBy("mix_key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    edge = last.where("mix_range = mix_end").withColumn(
-        "mix_left", F.col("mix_part") - F.col("mix_before") - F.coalesce(F.sum(TOKENS).over(in_order), F.lit(0))
-    )
+    in_order = Window.partitionBy(*own).orderBy("mix_key", F.col("mix_row.doc_id"), TOKENS, "mix_text")
+    before = F.coalesce(F.sum(TOKENS).over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    edge = last.where("mix_range = mix_end").withColumn("mix_left", F.col("mix_part") - F.col("mix_before") - before)
     edge = edge.where("mix_left > 0").withColumn(TAKEN, F.least(TOKENS, "mix_left"))
-    columns = [*docs.columns, TOKENS, EPOCH, TAKEN]
+    columns = ["mix_row.*", TOKENS, EPOCH, TAKEN]
     return passes.select(*columns).unionByName(inside.select(*columns)).unionByName(edge.select(*columns))

@@ -46,7 +46,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP2 = """
 WITH d AS (
-  SELECT doc_id, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
+  SELECT doc_id, md5(coalesce(text, '')) AS digest, lang, source, coalesce(lang, '') AS l, coalesce(source, '') AS s,
          CASE WHEN regexp_extract(source, '([0-9]+)$', 1) <> ''
               THEN 'domain' || CAST(CAST(right(regexp_extract(source, '([0-9]+)$', 1), 2) AS INTEGER) % 4 AS VARCHAR)
               ELSE 'other' END AS domain,
@@ -98,11 +98,11 @@ q3 AS (
 ),
 keyed AS (
   SELECT d.*, quota // supply AS full_passes, quota % supply AS part,
-         md5('17|' || CAST(quota // supply AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+         md5('17|' || CAST(quota // supply AS VARCHAR) || '|' || coalesce(CAST(doc_id AS VARCHAR), digest)) AS key
   FROM d JOIN q3 USING (domain, l, s)
 ),
 last AS (
-  SELECT *, part - coalesce(sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY key, doc_id
+  SELECT *, part - coalesce(sum(tokens) OVER (PARTITION BY domain, l, s ORDER BY key, doc_id, tokens, digest
                                               ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS remaining
   FROM keyed
 )
@@ -116,7 +116,7 @@ FROM last WHERE remaining > 0
 
 def op3_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dart_minhash.near_duplicates(table(spark, sf_dir, "documents"))
-    return found.withColumn("kept", F.col("doc_id") == F.col("class_id"))
+    return found.select("doc_id", "class_id", "class_size", "kept")
 
 
 #: Key of the registered query. A real corpus needs a secret one.

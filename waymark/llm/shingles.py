@@ -76,11 +76,11 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def shingles(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(shingle, index of its text): the distinct shingles of each text, in order of text and value."""
+def counted_shingles(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(shingle, index of its text, how often it stands there): distinct for each text, in order of text and value."""
     hashes, owner = words(texts)
     if not len(hashes):
-        return hashes, owner
+        return hashes, owner, np.zeros(0, np.int64)
     counts = np.bincount(owner, minlength=len(texts))
     room = np.repeat(np.cumsum(counts), counts) - np.arange(len(hashes))  # words from here to the end of the text
     starts = np.flatnonzero((room >= size) | ((room == counts[owner]) & (room < size)))
@@ -95,4 +95,10 @@ def shingles(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarra
     value, owner = value[order], owner[order]
     fresh = np.ones(len(value), bool)
     fresh[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-    return value[fresh], owner[fresh]
+    first = np.flatnonzero(fresh)
+    return value[first], owner[first], np.diff(np.append(first, len(value)))
+
+
+def shingles(texts: list[str], size: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text and the index of their text."""
+    return counted_shingles(texts, size)[:2]

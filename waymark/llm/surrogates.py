@@ -10,14 +10,17 @@ script and may hold apostrophes, hyphens and further capitals; initials and smal
 A surrogate follows from a keyed hash (HMAC-SHA256) of type, value and attempt. It keeps the format: digits stay digits
 of the same script, letters letters of the same case, separators stay; country codes, top-level domains and valid check
 digits of cards are kept; octets of addresses stay in range; names come from lists by the title's gender and the script.
+What is kept of a value follows from the value alone, so all spellings of an entity show the same surrogate.
 
 Collision checks run over the entities of all documents, one row for each: a surrogate that two entities share, or that
-is itself the value of an entity, is drawn again for all but the smallest, until no collision is left. Documents then
-compute first attempts themselves; the few entities that needed more come by a join.
+is itself the value of an entity, is drawn again for all but the smallest, until no collision is left. Where the values
+of a format are nearly used up (version-like addresses, say), that would not end; so from the attempt `WIDER` on the format
+widens: octets of any length, then a part more; numbers, addresses and secrets grow at the end, by one for each attempt.
+Documents then compute first attempts themselves; the few entities that needed more come by a join.
 
 Cases: null texts stay null, empty ones empty. Whole texts are searched, however long. Repeated rows change alike. Null
-ids are allowed: nothing depends on ids. No rows give no rows. Other columns pass through; `text` is replaced and
-`n_entities` added (or replaced).
+ids are allowed: nothing depends on ids. No rows give no rows. Other columns pass through, whatever their names; `text`
+is replaced and `n_entities` added (or replaced).
 """
 
 from __future__ import annotations
@@ -30,13 +33,14 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import stage
+from waymark.llm.common import spare_names, stage
 
-ROUNDS = 20
+#: The attempt from which on formats widen.
+WIDER = 4
 #: Titles by gender, and names to draw from by script and gender.
 TITLES = {
     "m": "Mr Herr Monsieur Señor Sr г-н господин".split(),
@@ -111,9 +115,17 @@ _MORE, SHORT = re.compile(r"[ .\-]\d{2,4}(?!\w)"), 10
 _NAME = re.compile(rf"{_PART}")
 
 
+#: Country calling codes of one and two digits; all others have three.
+CALLING = frozenset(
+    "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 "
+    "94 95 98".split()
+)
+
+
 def _value(kind: str, text: str) -> str:
     if kind in ("phone", "number"):
-        return "".join(str(int(c)) for c in text if c.isdecimal())
+        digits = "".join(str(int(c)) for c in text if c.isdecimal())
+        return f"+{digits}" if kind == "phone" and text.startswith("+") else digits
     return re.sub("[’ʼ]", "'", re.sub("[‐‑]", "-", text.lower())) if kind.startswith(("first", "last")) else text.lower()
 
 
@@ -179,28 +191,38 @@ def _luhn(digits: str) -> int:
     return -sum(doubled) % 10
 
 
+def _calling_code(value: str) -> int:
+    """Length of the plus sign and country code that a telephone number begins with."""
+    if not value.startswith("+"):
+        return 0
+    return next((n + 1 for n in (1, 2) if value[1 : n + 1] in CALLING), 4)
+
+
 def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
     """The normalised surrogate of an entity."""
     stream = _Stream(key, kind, value, attempt)
+    more = max(0, attempt - WIDER + 1)
     if kind == "email":
         local, _, domain = value.partition("@")
         labels = domain.split(".")
         labels[-2] = "".join(_letter(stream, c) for c in labels[-2])
-        return "".join(_letter(stream, c) for c in local) + "@" + ".".join(labels)
+        return "".join(_letter(stream, c) for c in local + "a" * more) + "@" + ".".join(labels)
     if kind == "ip":
         octets = []
         for octet in value.split("."):
-            low, high = {1: (1, 9), 2: (10, 99)}.get(len(octet), (100, 223 if not octets else 255))
+            low, high = (1, 223) if more else {1: (1, 9), 2: (10, 99)}.get(len(octet), (100, 223 if not octets else 255))
             octets.append(str(low + stream.below(high - low + 1)))
-        return ".".join(octets)
+        return ".".join([*octets, *(str(1 + stream.below(255)) for _ in range(more - 1))])
     if kind == "number":
-        digits = value[0] + "".join(str(stream.below(10)) for _ in value[1:])
+        digits = value[0] + "".join(str(stream.below(10)) for _ in value[1:] + "0" * more)
         return digits[:-1] + str(_luhn(digits[:-1])) if _luhn(value[:-1]) == int(value[-1]) else digits
     if kind == "phone":
-        return "".join(str(stream.below(10)) for _ in value)
+        kept = _calling_code(value)
+        return value[:kept] + "".join(str(stream.below(10)) for _ in value[kept:] + "0" * more)
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in value)
-        return "".join("abcdef"[stream.below(6)] if hexadecimal and c.isalpha() else _letter(stream, c) for c in value)
+        longer = value + "a0" * more
+        return "".join("abcdef"[stream.below(6)] if hexadecimal and c.isalpha() else _letter(stream, c) for c in longer)
     names = NAMES["cyrillic" if re.search("[а-яё]", value) else "latin"]
     pool = names["last"] if kind == "last" else names[kind[-1]]
     parts = [pool[stream.below(len(pool))]]
@@ -210,16 +232,12 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int) -> str:
 
 
 def written(kind: str, original: str, plain: str) -> str:
-    """A normalised surrogate in the format of the text it replaces."""
+    """A normalised surrogate in the format of the text it replaces; what it is longer stands at the end."""
     if kind in ("phone", "number"):
-        kept = len(re.match(r"\+\d{1,3}(?=[ .\-(])", original).group()) - 1 if re.match(r"\+\d{1,3}[ .\-(]", original) else 0
-        digits, seen, out = iter(plain), 0, []
-        for c in original:
-            if c.isdecimal():
-                digit, seen = next(digits), seen + 1
-                c = c if seen <= kept else chr(ord(c) - int(c) + int(digit))
-            out.append(c)
-        return "".join(out)
+        digits = iter(plain.removeprefix("+"))
+        zero = next(ord(c) - int(c) for c in original if c.isdecimal())
+        out = [chr(ord(c) - int(c) + int(next(digits))) if c.isdecimal() else c for c in original]
+        return "".join(out) + "".join(chr(zero + int(digit)) for digit in digits)
     if kind.startswith(("first", "last")):
         return plain.upper() if original.isupper() else "-".join(part.capitalize() for part in plain.split("-"))
     if len(plain) == len(original):
@@ -260,11 +278,9 @@ def attempts(docs: DataFrame, key: bytes, folder: str) -> DataFrame:
             made = [_plain(kind, value, shown, surrogate(key, kind, value, n)) for kind, value, shown, n in rows]
             yield batch.assign(made=made)
 
-    current = entities.withColumn("attempt", F.lit(0))
+    made = _stamped(entities.withColumn("attempt", F.lit(0)).mapInPandas(make, MADE), family, folder, 0)
     originals = entities.select(family.alias("family"), F.col("value").alias("made")).distinct()
-    for round_ in range(ROUNDS):
-        made = current.mapInPandas(make, "kind string, value string, shown string, attempt int, made string")
-        made = stage(made.withColumn("family", family), folder, f"made-{round_}")
+    for round_ in itertools.count(1):
         same = made.groupBy("family", "made").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("attempt", "kind", "value")).alias("first"))
         real = originals.withColumn("real", F.lit(True))
         clash = stage(same.join(real, ["family", "made"], "left").where("n > 1 OR real"), folder, f"clash-{round_}")
@@ -272,9 +288,18 @@ def attempts(docs: DataFrame, key: bytes, folder: str) -> DataFrame:
             return made.where("attempt > 0").select("kind", "value", "attempt")
         own = F.struct("attempt", "kind", "value")
         again = F.col("n").isNotNull() & (F.coalesce("real", F.lit(False)) | (own != F.col("first")))
-        joined = made.join(clash, ["family", "made"], "left")
-        current = joined.select("kind", "value", "shown", (F.col("attempt") + again.cast("int")).alias("attempt"))
-    raise RuntimeError("surrogates still collide")
+        marked = made.join(clash, ["family", "made"], "left").withColumn("again", again)
+        drawn = marked.where("again").select("kind", "value", "shown", (F.col("attempt") + 1).alias("attempt"))
+        kept = marked.where("NOT again").select(*made.columns)
+        made = _stamped(drawn.mapInPandas(make, MADE), family, folder, round_, kept)
+
+
+MADE = "kind string, value string, shown string, attempt int, made string"
+
+
+def _stamped(made: DataFrame, family: Column, folder: str, round_: int, kept: DataFrame | None = None) -> DataFrame:
+    fresh = made.withColumn("family", family)
+    return stage(fresh if kept is None else fresh.unionByName(kept), folder, f"made-{round_}")
 
 
 def anonymise(docs: DataFrame, key: bytes, folder: str) -> DataFrame:
@@ -282,14 +307,15 @@ def anonymise(docs: DataFrame, key: bytes, folder: str) -> DataFrame:
     later = stage(attempts(docs, key, folder), folder, "attempts")
     docs = docs.drop("n_entities")
     names = docs.columns
+    its, listed = spare_names(docs, 2)
     if later.isEmpty():
-        carried = docs.withColumn("_attempts", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
+        carried = docs.withColumn(listed, F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
     else:
         texts = docs.where("text IS NOT NULL").select("text").mapInPandas(_per_text, "text_key string, kind string, value string")
-        per_text = texts.distinct().join(later, ["kind", "value"]).groupBy("text_key")
-        per_text = stage(per_text.agg(F.collect_list(F.struct("kind", "value", "attempt")).alias("_attempts")), folder, "per_text")
-        keyed = docs.withColumn("text_key", F.md5(F.col("text").cast("binary")))
-        carried = keyed.join(per_text, "text_key", "left").select(*names, "_attempts")
+        per_text = texts.distinct().join(later, ["kind", "value"]).groupBy(F.col("text_key").alias(its))
+        per_text = stage(per_text.agg(F.collect_list(F.struct("kind", "value", "attempt")).alias(listed)), folder, "per_text")
+        keyed = docs.withColumn(its, F.md5(F.col("text").cast("binary")))
+        carried = keyed.join(per_text, its, "left").select(*names, listed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -101,7 +101,7 @@ def write_payload(
         out.close()
 
     ordered = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).repartitionByRange("doc_id")
-    return stage(ordered.sortWithinPartitions("doc_id").mapInPandas(run, RECORDS), folder, "records")
+    return stage(ordered.sortWithinPartitions("doc_id", "text").mapInPandas(run, RECORDS), folder, "records")
 
 
 def _mixed(keys: np.ndarray, seed: int) -> np.ndarray:
