@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from waymark.operators.components import connected_components
 from waymark.operators.quantiles import exact_quantile
-from waymark.operators.ranking import first_per_key, top_k, with_previous
+from waymark.operators.ranking import newest_rows, top_k, top_k_early, with_previous
 from waymark.operators.spatial import nearest_zone
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
@@ -39,10 +39,62 @@ def test_top_k(spark, skewed):
     assert len(merged) == len(got) == len(expected)
 
 
-def test_first_per_key(spark, skewed):
-    got = first_per_key(spark.createDataFrame(skewed), ["key"], [F.col("t"), F.col("id")]).toPandas()
-    expected = skewed.sort_values(["t", "id"]).groupby("key").head(1)
-    assert set(got["id"]) == set(expected["id"])
+@pytest.mark.parametrize("steps", [1, 7, 1000])
+@pytest.mark.parametrize("k", [1, 25, 100_000])
+def test_top_k_early(spark, skewed, steps, k):
+    """The same rows as a plain sort, with null times, whatever the steps; and few rows left to sort."""
+    rows = skewed.assign(t=skewed["t"].where(skewed["id"] % 17 > 0))
+    df = spark.createDataFrame(rows).withColumn("t", F.when(~F.isnan("t"), F.col("t")))
+    got = top_k_early(df, ["key"], [F.col("t").asc_nulls_last(), F.col("id")], k, F.floor(F.col("t") / steps), ["id"]).toPandas()
+    expected = rows.sort_values(["t", "id"], na_position="last").groupby("key").head(k)
+    expected = expected.assign(rank=expected.groupby("key").cumcount() + 1)
+    merged = got.merge(expected, on=["id", "key", "rank"])
+    assert len(merged) == len(got) == len(expected)
+
+
+def test_few_rows_reach_a_large_top_k(spark):
+    """Of 200,000 rows of a key about k and one step more are shuffled."""
+    rows = spark.range(200_000).selectExpr("id", "id % 2 as key", "timestamp_seconds(id) as t")
+    top = top_k_early(rows, ["key"], [F.col("t"), F.col("id")], 2_000, F.date_trunc("minute", "t"), ["id"])
+    top.collect()
+    plan, widest = [top._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            plan.append(node.executedPlan())
+        elif name in ("ShuffleQueryStage", "ResultQueryStage"):
+            plan.append(node.plan())
+        else:
+            if name == "Exchange":
+                widest = max(widest, node.metrics().apply("shuffleRecordsWritten").value())
+            plan += [node.children().apply(i) for i in range(node.children().size())]
+    assert 4_000 <= widest <= 4_200
+
+
+@pytest.mark.parametrize("join_back", [False, True])
+@pytest.mark.parametrize("text", [False, True])
+def test_newest_rows(spark, skewed, text, join_back):
+    rows = skewed.assign(t=pd.to_datetime(skewed["t"] // 60, unit="m"))
+    rows.loc[rows["id"] % 5 == 0, "v"] = None
+    df = spark.createDataFrame(rows)
+    if text:
+        df = df.withColumn("s", F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id"))))
+    found = newest_rows(df, "key", "t", "id", join_back)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert found.columns == df.columns and ("SortAggregate" in plan) == text
+    got = {(r["key"], r["id"], r["v"] if r["v"] == r["v"] else None, r["s"] if text else None) for r in found.collect()}
+    expected = rows.sort_values(["t", "id"]).groupby("key").tail(1)
+    assert got == {
+        (k, i, None if v != v else v, f"s{i}" if text and i % 3 else None)
+        for k, i, v in zip(expected["key"], expected["id"], expected["v"])
+    }
+
+
+def test_newest_rows_of_null_times(spark):
+    rows = [(1, None, 5), (1, None, 7), (2, None, 1), (2, 3, 0), (3, 4, None)]
+    df = spark.createDataFrame(rows, "key long, s long, id long").withColumn("t", F.timestamp_seconds("s")).drop("s")
+    assert sorted((r["key"], r["id"]) for r in newest_rows(df, "key", "t").collect()) == [(1, 7), (2, 0), (3, None)]
 
 
 def test_with_previous(spark, skewed):

@@ -60,6 +60,83 @@ def test_score_window_is_replaced_and_emptied_days_vanish(spark, tmp_path):
     assert not (tmp_path / "scores" / "date=2024-01-29").exists()
 
 
+def test_a_batch_of_scores_counts_once(spark, tmp_path):
+    """Delivered again before and after it was noted, and after the nightly job has folded it."""
+    path = str(tmp_path / "scores")
+    read = lambda: sorted((r["id"], r["anomaly_score"]) for r in store.read_table(spark, path, "anomalies").collect())
+    nightly = scored(spark, [(1, 1, 2), (2, 2, 3)])
+    store.save_scores(nightly, nightly, path, "2024-01-31T00:00:00+00:00", 24)
+    first = scored(spark, [(10, 1, 4), (11, 2, 5), (12, 1, 30)])
+    assert store.append_scores(first, path, "live", 0)
+    whole = read()
+    assert [i for i, _ in whole] == [1, 2, 10, 11, 12]
+    changed = first.withColumn("anomaly_score", F.lit(0.9))
+    assert not store.append_scores(changed, path, "live", 0) and read() == whole
+    assert store.append_scores(scored(spark, [(13, 1, 6)]), path, "live", 1)
+    assert store.append_scores(scored(spark, [(14, 2, 7)]), path, "other", 1)
+    # not noted yet: the folders of the batch are written anew
+    store._drop_folders(spark, [f"{path}/_ledger/stream=other/batch_id=1"])
+    assert store.append_scores(scored(spark, [(14, 2, 7)]), path, "other", 1)
+    assert [i for i, _ in read()] == [1, 2, 10, 11, 12, 13, 14]
+    # the nightly job replaces device 1 from day 30 on and folds what is live
+    fresh = scored(spark, [(20, 1, 8)])
+    store.save_scores(fresh, fresh, path, "2024-01-31T00:00:00+00:00", 24)
+    assert [i for i, _ in read()] == [2, 11, 14, 20]
+    assert sorted(p.name for p in tmp_path.glob("scores/date=*/batch=*")) == ["batch=nightly"]
+    assert not store.append_scores(first, path, "live", 0) and [i for i, _ in read()] == [2, 11, 14, 20]
+
+
+def test_an_interrupted_fold_is_repaired(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "scores")
+    assert store.append_scores(scored(spark, [(1, 1, 2), (2, 2, 3)]), path, "live", 0)
+    fresh = scored(spark, [(5, 1, 4)])
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as patched:
+        patched.setattr(store, "_drop_folders", lost)
+        with pytest.raises(RuntimeError):
+            store.save_scores(fresh, fresh, path, "2024-01-31T00:00:00+00:00", 24)
+    store.save_scores(fresh, fresh, path, "2024-01-31T00:00:00+00:00", 24)
+    assert sorted(r["id"] for r in store.read_table(spark, path, "anomalies").collect()) == [2, 5]
+
+
+def test_stored_types_are_the_declared_ones(spark, tmp_path):
+    path = str(tmp_path / "scores")
+    nulls = scored(spark, [(1, 1, 2)]).withColumn("anomaly_score", F.lit(None).cast("double"))
+    nulls.withColumn("date", F.lit("2024-01-30")).withColumn("batch", F.lit("7")).drop("metadata").write.partitionBy("date", "batch").parquet(path)
+    got = store.read_table(spark, path, "anomalies")
+    assert [(f.name, f.dataType.simpleString()) for f in got.schema][-2:] == [("metadata", "string"), ("date", "date")]
+    assert got.where("metadata IS NULL AND anomaly_score IS NULL").count() == 1
+    assert store.read_table(spark, str(tmp_path / "none"), "forests").count() == 0
+
+
+def test_feeds_count_in_their_order(spark, tmp_path):
+    """Two feeds, the first again after the second, then folded; rejected rows are told."""
+    path = str(tmp_path / "devices")
+    devices = spark.createDataFrame(
+        [(i, f"imei{i}", i, "active", DAY, DAY, None, 0) for i in range(1, 5)], TABLES["devices"]
+    )
+    devices.write.parquet(path)
+    feed = lambda rows: spark.createDataFrame(
+        [(i, d, m, DAY + dt.timedelta(minutes=t)) for i, d, m, t in rows], "id bigint, device_id bigint, modo int, changed_at timestamp"
+    )
+    feeds = [feed([(1, 1, 2, 0), (2, 2, 1, 0), (3, 2, 3, 5), (4, 9, 1, 0)]), feed([(5, 1, 1, 1), (6, 3, 8, 1)])]
+    valid = tracking._valid_mode()
+    rejected = {}
+    for number in (0, 1, 0):
+        found = store.apply_feed(spark, path, "devices", feeds[number], number, "device_id", "modo", valid)
+        rejected[number] = sorted((r["id"], r["reason"]) for r in found.collect())
+    assert rejected == {0: [(4, "unknown_key")], 1: [(6, "invalid_value")]}
+    modes = lambda: {r["id"]: r["modo"] for r in store.read_changed(spark, path, "devices", "modo").collect()}
+    assert modes() == {1: 1, 2: 3, 3: 0, 4: 0}
+    store.fold_feeds(spark, path, "devices", "modo")
+    assert modes() == {1: 1, 2: 3, 3: 0, 4: 0} and not (tmp_path / "devices_changes" / "modo").exists()
+    store.apply_feed(spark, path, "devices", feed([(7, 2, 0, 9)]), 2, "device_id", "modo", valid)
+    assert modes() == {1: 1, 2: 0, 3: 0, 4: 0}
+
+
 def test_zones_of_unprocessed_devices_stay(spark, tmp_path):
     path = str(tmp_path / "zones")
     schema = (
@@ -111,7 +188,7 @@ def test_nightly_job_and_live_scores(spark, sf_dir, tmp_path):
     for _ in range(2):
         live.score_stream(live.position_stream(spark, arrivals, 1), tables, *folders, continuous=False).awaitTermination()
         positions.where("id % 2 = 1").coalesce(1).write.mode("append").parquet(arrivals)
-    live_rows = {r["id"]: r["anomaly_score"] for r in spark.read.parquet(folders[0]).collect()}
+    live_rows = {r["id"]: r["anomaly_score"] for r in store.read_table(spark, folders[0], "anomalies").collect()}
     batch = scoring.score_live(live.valid(positions), zones, models, forests)
     expected = {r["id"]: r["anomaly_score"] for r in scoring.as_anomaly_rows(batch).collect()}
     assert live_rows == expected and len(expected) > 0
@@ -157,6 +234,76 @@ def test_latest_position_follows_the_stream(spark, tmp_path):
         assert [r["id"] for r in live.latest_position_view(spark, out).collect()] == [newest]
 
 
+def test_latest_positions_stay_bounded(spark, tmp_path, monkeypatch):
+    """After 100 batches a reader meets one snapshot and fewer updates than a fold takes."""
+    out, schema = str(tmp_path / "out"), TABLES["positions"]
+    handle = {}
+
+    class Writer:
+        def __getattr__(self, name):
+            return lambda *args, **_: (handle.update(f=args[0]) if name == "foreachBatch" else None, self)[1]
+
+    class Stream:
+        writeStream = Writer()
+
+    monkeypatch.setattr(live, "newest_rows", lambda stream, key: stream)
+    live.latest_position_stream(Stream(), out, str(tmp_path / "checkpoint"), fold_every=10)
+    newest = {}
+    for n in range(100):
+        rows = [(n * 2 + d, d, DAY + dt.timedelta(minutes=n), 1.0, 1.0, 1.0, None, None, None, None, None) for d in (n % 3, n % 7)]
+        newest.update({r[1]: r[0] for r in rows})
+        handle["f"](spark.createDataFrame(rows, schema).dropDuplicates(["device_id"]), n)
+        if n in (4, 9, 55, 94):
+            view = live.latest_position_view(spark, out)
+            assert set(view.toPandas()["device_id"]) == set(newest)
+    assert {r["device_id"]: r["id"] // 2 for r in live.latest_position_view(spark, out).collect()} == {d: i // 2 for d, i in newest.items()}
+    assert store.batches(spark, f"{out}/snapshots") == [99] and store.batches(spark, f"{out}/updates") == []
+    handle["f"](spark.createDataFrame([], schema), 99)  # delivered again
+    assert {r["device_id"] for r in live.latest_position_view(spark, out).collect()} == set(newest)
+
+
+def test_every_row_of_a_feed_is_accounted_for(spark, tmp_path):
+    """Unknown vehicles, missing places and times, repeats within and across batches, late rows and rows without a model."""
+    schema = TABLES["positions"].replace("device_id bigint", "vehicle_id bigint")
+    arrivals, folders = str(tmp_path / "in"), live.Folders(str(tmp_path / "store"))
+    devices = spark.createDataFrame([(5, 70), (4, 70), (6, 71)], "id bigint, vehicle_id bigint")
+    at = lambda m: None if m is None else DAY + dt.timedelta(minutes=m)
+
+    def score(points, *_):
+        label = F.when(F.col("device_id") == 6, F.lit(None)).otherwise(F.when(F.col("speed") > 100, -1).otherwise(1))
+        rows = points.withColumns({"label": label.cast("int"), "inside_cluster": F.lit(False), "model_id": F.lit(1).cast("bigint")})
+        rows = rows.withColumns({"nearest_cluster_label": F.lit("main"), "min_distance": F.lit(9000.0)})
+        return scoring.additive_score(rows)
+
+    def arrive(rows):
+        data = [(i, v, at(m), lat, 1.0, speed, None, None, None, None, None) for i, v, m, lat, speed in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(schema).parquet(arrivals)
+        live.fleet_stream(
+            stream, lambda: (None, None, None), lambda: devices, folders, folders.path("checkpoint"), "10 minutes", continuous=False,
+            score=score,
+        ).awaitTermination()
+
+    arrive([(1, 70, 0, 1.0, 120.0), (1, 70, 0, 1.0, 120.0), (2, 70, 0, 1.0, 9.0), (3, 71, 1, 1.0, 9.0), (4, 99, 1, 1.0, 9.0), (5, 70, 2, None, 9.0)])
+    arrive([(6, 70, 0, 1.0, 9.0), (7, 70, 60, 1.0, 9.0), (8, None, 3, 1.0, 9.0), (9, 70, None, 1.0, 9.0)])
+    arrive([(10, 70, 5, 1.0, 9.0), (11, 70, 61, 1.0, 130.0)])
+    rejects = spark.read.parquet(folders.path("rejects")).collect()
+    found = sorted((r["id"], r["copies"], r["reason"]) for r in rejects)
+    one, two = [r for r in found if r[0] in (1, 2)], [r for r in found if r[0] not in (1, 2)]
+    assert sum(copies for _, copies, _ in one) == 2 and {reason for *_, reason in one} == {"repeated"}
+    assert two == [
+        (3, 1, "no_model"), (4, 1, "unknown_vehicle"), (5, 1, "no_coordinates"), (6, 1, "repeated"), (8, 1, "unknown_vehicle"),
+        (9, 1, "no_time"), (10, 1, "late"),
+    ]
+    stored = {r["id"]: r["device_id"] for r in store.read_table(spark, folders.path("anomalies"), "anomalies").collect()}
+    assert len(stored) == 3 and {7, 11} < set(stored) and set(stored.values()) == {4}
+    assert len(stored) + sum(copies for _, copies, _ in found) == 12
+    alerts = {r["id"] for r in spark.read.parquet(folders.path("alerts")).collect()}
+    assert alerts <= {1, 11} and 11 in alerts
+    positions = spark.read.parquet(folders.path("positions")).collect()
+    assert len(positions) == 4 and {r["device_id"] for r in positions} == {4, 6}
+
+
 def test_vehicle_resolution(spark):
     devices = spark.createDataFrame([(5, 70), (4, 70), (6, 71)], "id bigint, vehicle_id bigint")
     points = spark.createDataFrame([(1, 70), (2, 99)], "id bigint, vehicle_id bigint").withColumn(

@@ -17,7 +17,8 @@ from waymark.catalog.routes import clean_ctes
 from waymark.catalog.scoring import segments
 from waymark.operators.spatial import nearest_zone
 from waymark.plans import heatmap as H
-from waymark.plans import refresh, scoring, zones as Z
+from waymark.plans import refresh, scoring, tracking, zones as Z
+from waymark.plans.anomalies import anomaly_report
 from waymark.session import shared_dir
 from waymark.sources import store
 from waymark.sources.fixtures import AS_OF, FORMULAS, load, oracle, portable_sql
@@ -72,6 +73,8 @@ def _run_scores(spark, sf, out, score, tables):
         continuous=False,
         score=score,
     ).awaitTermination()
+    if out == "scores":
+        return store.read_table(spark, f"{folder}/scores", "anomalies")
     return spark.read.parquet(f"{folder}/{out}").drop("batch_id")
 
 
@@ -89,7 +92,7 @@ def _forest_scores(spark, sf):
     models, forests = scoring.train_route_models(segments(spark, sf), AS_OF)
     models = store.staged(models)
     tables = lambda: (load(spark, sf, "zones"), models, forests)
-    return _run_scores(spark, sf, "scores", scoring.score_live, tables).drop("metadata")
+    return _run_scores(spark, sf, "scores", scoring.score_live, tables).drop("metadata", "date")
 
 
 def _routes(spark, sf):
@@ -120,7 +123,81 @@ def _score_window(spark, sf):
     folder = _folder(spark, "window")
     store.save_scores(anomalies, anomalies, folder, AS_OF, 24 * 31)
     store.save_scores(fresh, fresh, folder, AS_OF, 24)
-    return spark.read.parquet(folder).drop("date", "metadata")
+    return store.read_table(spark, folder, "anomalies").drop("date", "metadata")
+
+
+def _live_and_nightly(spark, sf):
+    """One table for live and nightly scores: a stream, its batch delivered twice, the nightly window of half the devices."""
+    folder = _folder(spark, "both")
+    live.score_stream(
+        _stream(spark, sf), lambda: (load(spark, sf, "zones"), None, None), f"{folder}/scores", f"{folder}/alerts",
+        f"{folder}/checkpoint", continuous=False, score=_by_rule,
+    ).awaitTermination()
+    again = store.read_table(spark, f"{folder}/scores", "anomalies").withColumn("anomaly_score", F.lit(9.0))
+    assert not store.append_scores(again, f"{folder}/scores", "live", 0)
+    positions = load(spark, sf, "positions").where("device_id % 2 = 0 AND recorded_at >= TIMESTAMP '2024-01-30 00:00:00'")
+    fresh = positions.where("latitude IS NOT NULL AND id % 3 > 0").select(
+        "id", "device_id", "latitude", "longitude", F.lit(0.5).alias("anomaly_score"), F.lit(False).alias("is_anomaly"),
+        F.col("recorded_at").alias("detected_at"), F.lit('{"risk_level":"medium"}').alias("metadata"),
+    )
+    store.save_scores(fresh, positions, f"{folder}/scores", AS_OF, 24)
+    return anomaly_report(store.read_table(spark, f"{folder}/scores", "anomalies"), AS_OF, limit=1500)
+
+
+def _feed(spark, sf):
+    """The position fixture as a feed of vehicles: some ids come twice, some vehicles are unknown."""
+    devices = load(spark, sf, "devices").select(F.col("id").alias("device_id"), "vehicle_id")
+    stream = _stream(spark, sf).join(devices, "device_id")
+    unknown = F.when(F.col("id") % 50 == 0, -F.col("vehicle_id")).otherwise(F.col("vehicle_id"))
+    return stream.withColumn("vehicle_id", unknown).withColumn("_copy", F.explode(F.sequence(F.lit(0), (F.col("id") % 10 == 1).cast("int")))).drop("_copy")
+
+
+def _fleet(spark, sf):
+    folders = live.Folders(_folder(spark, "fleet"))
+    devices = load(spark, sf, "devices")
+    live.fleet_stream(
+        _feed(spark, sf), lambda: (load(spark, sf, "zones"), None, None), lambda: devices, folders, folders.path("checkpoint"),
+        continuous=False, score=_by_rule,
+    ).awaitTermination()
+    return folders
+
+
+def _fleet_outcomes(spark, sf):
+    """Rows per vehicle and outcome: all that came are accounted for."""
+    folders = _fleet(spark, sf)
+    vehicles = load(spark, sf, "devices").select(F.col("id").alias("device_id"), "vehicle_id")
+    scored = store.read_table(spark, folders.path("anomalies"), "anomalies").join(vehicles, "device_id")
+    scored = scored.select("vehicle_id", F.lit("scored").alias("outcome"), F.lit(1).alias("copies"))
+    rejects = spark.read.parquet(folders.path("rejects")).select("vehicle_id", F.col("reason").alias("outcome"), "copies")
+    return scored.unionByName(rejects).groupBy("vehicle_id", "outcome").agg(F.sum("copies").alias("rows"))
+
+
+def _fleet_routes(spark, sf):
+    return store.read_table(spark, _fleet(spark, sf).path("daily_routes"), "daily_routes").select(
+        "device_id", "date", "point_count", "total_distance"
+    )
+
+
+def _stored_changes(spark, sf, name, feed, key, value, valid):
+    """Two feeds stored in turn, the first delivered again after the second, and read with the table."""
+    folder = _folder(spark, "changes")
+    load(spark, sf, name).write.parquet(f"{folder}/table")
+    changes = load(spark, sf, feed)
+    halves = [changes.where("id % 2 = 0"), changes.where("id % 2 = 1")]
+    for number in (0, 1, 0):
+        store.apply_feed(spark, f"{folder}/table", name, halves[number], number, key, value, valid)
+    before = store.staged(store.read_changed(spark, f"{folder}/table", name, value).select("id", value))
+    store.fold_feeds(spark, f"{folder}/table", name, value)
+    after = store.read_changed(spark, f"{folder}/table", name, value).select("id", value)
+    return before.exceptAll(after).unionByName(after)
+
+
+def _stored_modes(spark, sf):
+    return _stored_changes(spark, sf, "devices", "modes", "device_id", "modo", tracking._valid_mode())
+
+
+def _stored_resolutions(spark, sf):
+    return _stored_changes(spark, sf, "alerts", "resolutions", "alert_id", "resolved", F.col("resolved"))
 
 
 def _zone_replace(spark, sf):
@@ -165,6 +242,11 @@ QUERIES = {
     "stream_daily_routes": _routes,
     "route_upsert": _route_upsert,
     "score_window_replace": _score_window,
+    "live_and_nightly_report": _live_and_nightly,
+    "fleet_stream_outcomes": _fleet_outcomes,
+    "fleet_stream_routes": _fleet_routes,
+    "stored_mode_changes": _stored_modes,
+    "stored_alert_resolutions": _stored_resolutions,
     "zone_replace": _zone_replace,
     "heatmap_json": _heatmap_json,
     "nightly_refresh": _nightly,
@@ -183,7 +265,69 @@ def active_sql(devices: str) -> str:
       WHERE device_id IN (SELECT id FROM {devices} WHERE status = 'active'))"""
 
 
+_CAME = """came AS (SELECT p.*, CASE WHEN p.id % 50 = 0 THEN -d.vehicle_id ELSE d.vehicle_id END AS vehicle_id
+    FROM positions p JOIN devices d ON d.id = p.device_id),
+  placed AS (SELECT * FROM came WHERE latitude IS NOT NULL AND longitude IS NOT NULL
+    QUALIFY row_number() OVER (PARTITION BY vehicle_id, recorded_at ORDER BY id) = 1)"""
+
+
+def _changed_sql(table: str, feed: str, key: str, value: str, valid: str) -> str:
+    """Of two halves of a feed the odd ids came later; within a half the newest counts."""
+    return oracle(
+        f"""WITH newest AS (SELECT {key} AS k, {value} AS v FROM {feed} WHERE {valid}
+          QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY id % 2 DESC, changed_at DESC, id DESC) = 1)
+        SELECT t.id, CASE WHEN n.k IS NULL THEN t.{value} ELSE n.v END AS {value}
+        FROM {table} t LEFT JOIN newest n ON n.k = t.id""",
+        table,
+        feed,
+    )
+
+
 CHECKS = {
+    "live_and_nightly_report": portable_sql(
+        oracle(
+            f"""WITH rule AS ({_RULE}), live AS (
+              SELECT r.id, p.device_id, p.latitude, p.longitude, r.anomaly_score, r.is_anomaly, r.risk_level, r.detected_at
+              FROM rule r JOIN positions p USING (id)
+              WHERE NOT (p.device_id % 2 = 0 AND p.recorded_at >= TIMESTAMP '2024-01-30 00:00:00')),
+            whole AS (SELECT * FROM live UNION ALL
+              SELECT id, device_id, latitude, longitude, CAST(0.5 AS DOUBLE), FALSE, 'medium', recorded_at FROM positions
+              WHERE device_id % 2 = 0 AND recorded_at >= TIMESTAMP '2024-01-30 00:00:00' AND latitude IS NOT NULL AND id % 3 > 0)
+            SELECT * FROM whole WHERE detected_at >= TIMESTAMP '2024-01-24 00:00:00'
+            QUALIFY row_number() OVER (PARTITION BY device_id ORDER BY detected_at DESC, id DESC) <= 1500""",
+            "positions",
+            "zones",
+        ),
+        "detected_at",
+    ),
+    "fleet_stream_outcomes": oracle(
+        f"""WITH {_CAME},
+        labelled AS (SELECT came.vehicle_id,
+          CASE WHEN came.latitude IS NULL OR came.longitude IS NULL THEN 'no_coordinates'
+            WHEN placed.id IS NULL THEN 'repeated' WHEN came.vehicle_id < 0 THEN 'unknown_vehicle' ELSE 'scored' END AS outcome,
+          came.id % 10 = 1 AS twice
+          FROM came LEFT JOIN placed USING (id))
+        SELECT vehicle_id, outcome, count(*) AS rows FROM (
+          SELECT vehicle_id, outcome FROM labelled
+          UNION ALL
+          SELECT vehicle_id, CASE WHEN outcome IN ('scored', 'unknown_vehicle') THEN 'repeated' ELSE outcome END
+          FROM labelled WHERE twice)
+        GROUP BY vehicle_id, outcome""",
+        "positions",
+        "devices",
+    ),
+    # the means of the same routes fall between two roundings in a few rows, so the routes are compared by their lengths
+    "fleet_stream_routes": portable_sql(
+        oracle(
+            f"""WITH {_CAME}, fed AS (SELECT * FROM placed WHERE vehicle_id > 0), {clean_ctes('fed')},
+            routes AS ({route_queries.SUMMARY}) SELECT device_id, date, point_count, total_distance FROM routes""",
+            "positions",
+            "devices",
+        ),
+        "date",
+    ),
+    "stored_mode_changes": _changed_sql("devices", "modes", "device_id", "modo", "modo IN (0, 1, 2, 3)"),
+    "stored_alert_resolutions": _changed_sql("alerts", "resolutions", "alert_id", "resolved", "resolved"),
     "stream_dedupe": portable_sql(
         oracle("SELECT DISTINCT device_id, recorded_at FROM positions", "positions"), "recorded_at"
     ),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark import settings as S
 from waymark.functions.scalars import json_risk, ratio
-from waymark.operators.ranking import top_k
+from waymark.operators.ranking import newest_rows, top_k, top_k_early
 from waymark.sources.scans import located, recent
 
 
@@ -45,7 +45,12 @@ def anomaly_report(
     """Scored points per device, newest first: at most `limit` (bounded by 2000), or all of one risk level."""
     rows = anomaly_rows(anomalies, as_of, hours, only_anomalies, risk)
     if risk is None:
-        rows = top_k(rows, ["device_id"], _newest(), min(limit, S.ANOMALY_LIMIT_MAX), ["id"]).drop("rank")
+        limit = min(limit, S.ANOMALY_LIMIT_MAX)
+        if limit <= S.PLANNED_LIMIT:
+            rows = top_k(rows, ["device_id"], _newest(), limit, ["id"])
+        else:  # newest first: the steps grow as times fall
+            rows = top_k_early(rows, ["device_id"], _newest(), limit, -F.unix_timestamp(F.date_trunc("minute", "detected_at")), ["id"])
+        rows = rows.drop("rank")
     return rows.orderBy("device_id", *_newest())
 
 
@@ -74,7 +79,11 @@ def heat_points(
     """Oldest `limit` points per device: all anomalies, and every `sampling`-th of the rows otherwise."""
     rows = located(recent(anomalies, "detected_at", as_of, hours=hours)).where(F.col("anomaly_score") >= min_score)
     rows = rows.select("id", "device_id", "latitude", "longitude", "anomaly_score", "is_anomaly", "detected_at")
-    oldest = top_k(rows, ["device_id"], [F.col("detected_at"), F.col("id")], limit, ["id"])
+    order = [F.col("detected_at"), F.col("id")]
+    if limit <= S.PLANNED_LIMIT:
+        oldest = top_k(rows, ["device_id"], order, limit, ["id"])
+    else:
+        oldest = top_k_early(rows, ["device_id"], order, limit, F.date_trunc("minute", "detected_at"), ["id"])
     index = F.col("rank") - 1
     return oldest.where(F.col("is_anomaly") | (index % max(1, sampling) == 0)).select(
         "id",
@@ -89,9 +98,7 @@ def heat_points(
 def latest_models(models: DataFrame, model_type: str | None = None) -> DataFrame:
     """Newest model per device (highest id among equal times)."""
     rows = models if model_type is None else models.where(F.col("model_type") == model_type)
-    rest = [c for c in models.columns if c != "device_id"]
-    newest = F.max_by(F.struct(*rest), F.struct("created_at", "id")).alias("_row")
-    return rows.groupBy("device_id").agg(newest).select("device_id", "_row.*")
+    return newest_rows(rows, "device_id", "created_at")
 
 
 def device_summary(
@@ -160,7 +167,7 @@ def scoring_summary(scored: DataFrame) -> DataFrame:
 
 
 def recent_routes(routes: DataFrame, limit: int = S.ROUTE_LIMIT) -> DataFrame:
-    """Newest daily routes per device."""
+    """Newest daily routes per device, newest first."""
     order = [F.col("date").desc()]
     columns = ["device_id", "date", "point_count", "total_distance", "avg_speed"]
-    return top_k(routes.select(*columns), ["device_id"], order, limit, ["date"], spread=1).drop("rank")
+    return top_k(routes.select(*columns), ["device_id"], order, limit, ["date"], spread=1).drop("rank").orderBy("device_id", *order)

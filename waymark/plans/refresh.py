@@ -51,8 +51,8 @@ def infer(
 ) -> DataFrame:
     """Score, store and return points and anomalies per device."""
     spark = positions.sparkSession
-    models = spark.read.parquet(target.path("models"))
-    forests = spark.read.parquet(target.path("forests"))
+    models = store.read_table(spark, target.path("models"), "trained_models")
+    forests = store.read_table(spark, target.path("forests"), "forests")
     scored = store.staged(scoring.score_recent(positions, models, forests, as_of, hours))
     store.save_scores(scored, scored, target.path("anomalies"), as_of, hours)
     return anomalies.scoring_summary(scored)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark import settings as S
 from waymark.operators.changes import apply_changes, rejected_changes
-from waymark.operators.ranking import top_k
+from waymark.operators.ranking import newest_rows, top_k
 from waymark.sources import scans
 
 
@@ -44,9 +44,7 @@ def device_detail(devices: DataFrame, device_id: int | None = None, imei: str |
 
 def latest_positions(positions: DataFrame) -> DataFrame:
     """Newest position of every device (highest id among equal times); one row per device and task is shuffled."""
-    rest = [c for c in positions.columns if c != "device_id"]
-    newest = F.max_by(F.struct(*rest), F.struct("recorded_at", "id")).alias("_row")
-    return positions.groupBy("device_id").agg(newest).select("device_id", "_row.*")
+    return newest_rows(positions, "device_id", join_back=True)
 
 
 def latest_positions_report(positions: DataFrame, limit: int = S.POSITION_LIMIT) -> DataFrame:
@@ -74,13 +72,12 @@ def ordered_history(rows: DataFrame) -> DataFrame:
 def alerts(
     table: DataFrame, device_id: int | None = None, unresolved: bool = False, limit: int = S.ALERT_LIMIT
 ) -> DataFrame:
-    """Newest `limit` alerts per device, or all unresolved ones."""
+    """Newest `limit` alerts per device, or all unresolved ones, newest first."""
     columns = ["id", "device_id", "alert_type", "severity", "resolved", "created_at", "metadata"]
     rows = only(table, "device_id", device_id).select(*columns)
-    if unresolved:
-        return rows.where(~F.col("resolved"))
     order = [F.col("created_at").desc_nulls_last(), F.col("id").desc()]
-    return top_k(rows, ["device_id"], order, limit, ["id"]).drop("rank")
+    found = rows.where(~F.col("resolved")) if unresolved else top_k(rows, ["device_id"], order, limit, ["id"]).drop("rank")
+    return found.orderBy("device_id", *order)
 
 
 def vehicle_geofences(fences: DataFrame, vehicle_id: int | None = None) -> DataFrame:

@@ -39,5 +39,13 @@ TABLES = {
     "models": (
         "id bigint, device_id bigint, model_type string, trained_from date, trained_to date, created_at timestamp"
     ),
+    "trained_models": (
+        "id bigint, device_id bigint, model_type string, trained_from date, trained_to date, created_at timestamp, "
+        "features array<string>, n_samples bigint, means array<double>, deviations array<double>, threshold double"
+    ),
+    "forests": (
+        "device_id bigint, tree int, sample_size int, feature array<int>, threshold array<double>, path array<double>, "
+        "model_id bigint, trained_to date"
+    ),
     "heatmap": "h3_cell string, lat double, lon double, intensity double, event_count bigint",
 }

@@ -67,6 +67,7 @@ NEAR_ZONE_M = 500.0
 # Layout: how work is cut into bounded pieces (results do not depend on these)
 SEGMENT_POINTS = 1000       # points in one stored route segment
 SCORING_CHUNK = 50_000      # points scored by one Python call
+PLANNED_LIMIT = 1000        # greatest top-k that Spark limits before a shuffle
 TOP_K_SPREAD = 32           # first-stage groups per key in a top-k
 ZONES_PER_ROW = 512         # centroids held in one array row
 ZONE_CELL_DEGREES = 0.02    # side of the cells that list their possible nearest zones
