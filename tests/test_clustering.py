@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from waymark.operators import clustering
 from waymark.operators.clustering import dbscan
 from waymark.plans import zones
 
@@ -71,6 +72,41 @@ def test_dense_cells_just_out_of_reach(spark):
         assert labels.max() == (0 if gap < 150 else 1)
 
 
+@pytest.mark.parametrize("gap", [149.99999, 150.00001])
+def test_full_cells_that_barely_touch(spark, gap):
+    """Two full cells whose facing sides are arcs about each other: thousands of points, nearly all at just about 150 m."""
+    rng = np.random.default_rng(12)
+    angle = rng.uniform(-0.3, 0.3, 1500)
+    east = np.stack([gap * np.cos(angle), gap * np.sin(angle)]) + np.stack([rng.exponential(5.0, 1500), np.zeros(1500)])
+    east[:, :200] = gap * np.stack([np.cos(angle[:200]), np.sin(angle[:200])])
+    west = np.stack([-rng.exponential(5.0, 1500), rng.normal(0, 0.001, 1500)])
+    west[:, 0] = 0.0
+    x, y = np.concatenate([west, east], axis=1) / 111_194.9266
+    expected = brute_force(y, x, 150.0, 8)
+    frame = pd.DataFrame({"device_id": 1, "point": np.arange(3000), "latitude": y, "longitude": x})
+    got = dbscan(spark.createDataFrame(frame)).toPandas().sort_values("point")
+    np.testing.assert_array_equal(got["cluster"].to_numpy(), expected)
+    assert expected.max() == (0 if gap < 150 else 1)
+
+
+def test_a_full_cell_needs_no_pairs_of_points(spark):
+    """20,000 points in each of two cells out of reach: the parts that are compared are few."""
+    rng = np.random.default_rng(13)
+    y = rng.uniform(0, 90, 40_000)
+    x = np.where(np.arange(40_000) < 20_000, rng.uniform(0, 90, 40_000), rng.uniform(241, 330, 40_000))
+    frame = pd.DataFrame({"device_id": 1, "point": np.arange(40_000), "latitude": y / 111_194.9, "longitude": x / 111_194.9})
+    points = clustering.with_cell(spark.createDataFrame(frame), 150.0)
+    sizes = points.groupBy("device_id", "cell").count().withColumnRenamed("count", "size")
+    points = points.join(sizes, ["device_id", "cell"])
+    kept = []
+    table, clustering.tabled = clustering.tabled, lambda df: kept.append(table(df)) or kept[-1]
+    try:
+        assert {(r["a"] > 0, r["b"] > 0) for r in clustering._dense_edges(points, 150.0, 8).collect()} <= {(True, True)}
+    finally:
+        clustering.tabled = table
+    assert max(df.count() for df in kept[1:]) < 4_000  # the first one holds the points themselves
+
+
 def test_across_the_date_line(spark):
     rng = np.random.default_rng(9)
     lon = 180 + rng.normal(0, 0.0006, 120)

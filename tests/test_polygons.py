@@ -9,9 +9,12 @@ from pyspark.sql import functions as F
 from waymark.functions import hexgrid
 from waymark.functions.polygons import contains, ring_edges, with_shape
 from waymark.operators.spatial import (
+    around_the_globe,
     centroids,
     check_fences,
+    cover,
     hex_cells_of_shapes,
+    levels_in_use,
     points_in_fences,
     zones_near_points,
 )
@@ -142,3 +145,60 @@ def test_empty_rings_have_no_edges(spark):
     rings = [([],), ([[0.0, 0.0]],), ([[0.0, 0.0], [0.1, 0.0], [0.0, 0.0]],), (square(0.0, 0.0, 1.0),)]
     got = spark.createDataFrame(rings, "ring array<array<double>>").select(F.size(ring_edges(F.col("ring"))).alias("n"))
     assert sorted(r["n"] for r in got.collect()) == [0, 0, 2, 4]
+
+
+def frame(spark, places):
+    return spark.createDataFrame([(i, lat, lon) for i, (lat, lon) in enumerate(places)], "id bigint, latitude double, longitude double")
+
+
+def test_zones_on_both_sides_of_the_date_line(spark):
+    """Points 100 m to 400 m from a zone's edge, on its own side of 180 degrees and on the other."""
+    metre = 180 / (np.pi * 6_371_000.0)
+    zones = spark.createDataFrame(
+        [(1, polygon(square(179.99, -0.005, 0.01))), (2, polygon(square(-180.0 + 300 * metre, 10.0, 0.01))), (3, polygon(square(179.999, 20.0, 0.002)))],
+        "id bigint, geojson string",
+    )
+    places = [
+        (0.0, -180.0 + 167 * metre), (0.0, 180.0), (0.0, -180.0), (0.0, -180.0 + 600 * metre), (0.0, 179.995), (0.0, 179.99 - 400 * metre),
+        (10.005, 179.9999), (10.005, 180.0 - 250 * metre), (10.005, -180.0 + 310 * metre), (20.001, -179.9995), (20.001, 179.9995),
+    ]
+    got = {(r["id"], r["zone_id"]): round(r["distance"]) for r in zones_near_points(frame(spark, places), zones).collect()}
+    across = round((300 + 0.0001 / metre) * np.cos(np.radians(10.005)))
+    assert got == {(0, 1): 167, (1, 1): 0, (2, 1): 0, (4, 1): 0, (5, 1): 400, (6, 2): across, (8, 2): 0, (9, 3): 0, (10, 3): 0}
+
+
+def test_fences_past_the_date_line(spark):
+    """A ring given beyond 180 degrees holds the places on the other side, and each pair counts once."""
+    fences = spark.createDataFrame(
+        [(1, polygon(square(179.0, 0.0, 2.0))), (2, polygon(square(-181.0, 0.0, 2.0))), (3, polygon(square(-180.0, -50.0, 360.0)))],
+        "id bigint, geojson string",
+    )
+    places = [(1.0, -179.5), (1.0, 179.5), (1.0, 180.0), (1.0, -180.0), (1.0, 178.9), (1.0, -178.9), (1.0, 0.0), (-60.0, 0.0)]
+    got = sorted((r["id"], r["geofence_id"]) for r in points_in_fences(frame(spark, places), fences).collect())
+    assert got == [(0, 1), (0, 2), (0, 3), (1, 1), (1, 2), (1, 3), (2, 1), (2, 2), (3, 1), (3, 2), (4, 3), (5, 3), (6, 3)]
+
+
+def test_zones_near_the_poles(spark):
+    """Near a pole all longitudes are close: a pair is found whatever turn lies between, and once."""
+    metre = 180 / (np.pi * 6_371_000.0)
+    zones = spark.createDataFrame([(1, polygon(square(0.0, 89.99, 0.001))), (2, polygon(square(170.0, -89.995, 0.001)))], "id bigint, geojson string")
+    places = [(89.99, -1.0), (89.9905, 359.0 - 360.0), (89.99 - 300 * metre, 0.0005), (89.0, 0.0), (-89.9945, -170.0), (-89.9945, 171.0)]
+    pairs = [(r["id"], r["zone_id"]) for r in zones_near_points(frame(spark, places), zones).collect()]
+    assert sorted(pairs) == sorted(set(pairs))
+    assert {(0, 1), (1, 1), (2, 1), (4, 2), (5, 2)} <= set(pairs) and not any(i == 3 for i, _ in pairs)
+
+
+@pytest.mark.parametrize("size", [0.001, 0.05, 0.7, 30.0])
+def test_cover_accepts_inner_cells(spark, size):
+    """Shapes from a few metres to a continent: the pairs are those of a test of all points with all shapes."""
+    rng = np.random.default_rng(21)
+    rings = {k: star(k, rng.uniform(-size, size), rng.uniform(-size, size), size * rng.uniform(0.3, 1.0), 17) for k in range(6)}
+    rings[6] = square(-size, -size, 2 * size)
+    made = spark.createDataFrame([(k, polygon(ring)) for k, ring in rings.items()], "id bigint, geojson string")
+    places = list(rng.uniform(-2 * size, 2 * size, (1500, 2)))
+    got = {(r["id"], r["geofence_id"]) for r in points_in_fences(frame(spark, [tuple(map(float, p)) for p in places]), made).collect()}
+    assert got == {(i, k) for i, (lat, lon) in enumerate(places) for k, ring in rings.items() if even_odd(polygon(ring), lat, lon)}
+    cells = cover(around_the_globe(with_shape(made)))
+    assert cells.where("_inner AND edges IS NOT NULL OR NOT _inner AND edges IS NULL").count() == 0
+    assert size < 0.01 or cells.where("_inner").count() > 0
+    assert len(levels_in_use(cells)) <= 6 and cells.groupBy("id").count().agg(F.max("count")).first()[0] < 200

@@ -9,16 +9,15 @@ linearly with the points. Clusters are the connected components of cells with co
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark import settings as S
 from waymark.functions.geo import haversine_m
 from waymark.operators.components import connected_components
-from waymark.session import shared_dir
+from waymark.session import shared_dir, tabled
 
 _OFFSET = 1 << 20
 _SPAN = 1 << 21
@@ -101,68 +100,115 @@ def _links(points: DataFrame, eps_m: float, min_samples: int) -> DataFrame:
     )
 
 
-def _metres_to_box(lat: Column, lon: Column, box: str) -> Column:
-    near_lat = F.least(F.greatest(lat, F.col(f"{box}_south")), F.col(f"{box}_north"))
-    near_lon = F.least(F.greatest(lon, F.col(f"{box}_west")), F.col(f"{box}_east"))
-    return haversine_m(lat, lon, near_lat, near_lon)
+#: A cell is cut into 4 x 4 parts, these into 4 x 4 again and so on, down to the precision of a coordinate.
+_DEPTH = 16
+_SIDES = ["south", "north", "west", "east"]
 
 
-def _touching(left: pd.DataFrame, right: pd.DataFrame, eps_m: float) -> bool:
-    """Is any left point within `eps_m` of any right point? The likeliest points are tried first."""
-    left, right = left.sort_values("gap"), right.sort_values("gap")
-    lat2, lon2 = np.radians(right["latitude"].to_numpy()), np.radians(right["longitude"].to_numpy())
-    for start in range(0, len(left), 64):
-        block = left.iloc[start : start + 64]
-        lat1 = np.radians(block["latitude"].to_numpy())[:, None]
-        lon1 = np.radians(block["longitude"].to_numpy())[:, None]
-        a = np.sin((lat2 - lat1) / 2) ** 2 + np.cos(lat1) * np.cos(lat2) * np.sin((lon2 - lon1) / 2) ** 2
-        if (2 * S.EARTH_RADIUS_M * np.arcsin(np.sqrt(np.minimum(a, 1.0))) <= eps_m).any():
-            return True
-    return False
+def _boxes(points: DataFrame, depth: int) -> DataFrame:
+    """Occupied parts of dense cells at a depth, with the part around them and the box of their points."""
+    part, around = [
+        [F.shiftright(name, 2 * (_DEPTH - level)) if level else F.lit(0).cast("bigint") for name in ("_y", "_x")]
+        for level in (depth, depth - 1)
+    ]
+    return points.groupBy(
+        "device_id", "cell", around[0].alias("up_y"), around[1].alias("up_x"), part[0].alias("part_y"), part[1].alias("part_x")
+    ).agg(
+        F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"),
+        F.max("longitude").alias("east"),
+    )
+
+
+def _reach(one: str, two: str) -> tuple[Column, Column]:
+    """Bounds of the distance in metres between any two points of two boxes; both are exact for boxes of one point."""
+    side = {f"{box}_{name}": F.col(f"{box}_{name}") for box in (one, two) for name in _SIDES}
+    turns = F.round((side[f"{one}_west"] + side[f"{one}_east"] - side[f"{two}_west"] - side[f"{two}_east"]) / 720.0) * 360.0
+
+    def spans(low: str, high: str, turn: Column) -> tuple[Column, Column]:
+        a_low, a_high = side[f"{one}_{low}"], side[f"{one}_{high}"]
+        b_low, b_high = side[f"{two}_{low}"] + turn, side[f"{two}_{high}"] + turn
+        return F.greatest(b_low - a_high, a_low - b_high, F.lit(0.0)), F.greatest(a_high - b_low, b_high - a_low)
+
+    def cosines(box: str) -> tuple[Column, Column]:
+        south, north = side[f"{box}_south"], side[f"{box}_north"]
+        farthest = F.greatest(F.abs(south), F.abs(north))
+        nearest = F.when((south <= 0.0) & (north >= 0.0), F.lit(0.0)).otherwise(F.least(F.abs(south), F.abs(north)))
+        return F.cos(F.radians(farthest)), F.cos(F.radians(nearest))
+
+    lat, lon, cos_one, cos_two = spans("south", "north", F.lit(0.0)), spans("west", "east", turns), cosines(one), cosines(two)
+
+    def metres(end: int) -> Column:
+        half_lat, half_lon = F.sin(F.radians(lat[end]) / 2.0), F.sin(F.radians(F.least(lon[end], F.lit(180.0))) / 2.0)
+        a = half_lat * half_lat + cos_one[end] * cos_two[end] * half_lon * half_lon
+        return F.lit(2.0 * S.EARTH_RADIUS_M) * F.nanvl(F.asin(F.sqrt(a)), F.lit(math.pi / 2.0))
+
+    return metres(0), metres(1)
 
 
 def _dense_edges(points: DataFrame, eps_m: float, min_samples: int) -> DataFrame:
     """Pairs of dense cells that hold points within `eps_m` of each other.
 
-    Cells whose boxes are too far apart are out; of the others only points close to the other box are
-    compared, inside one task per pair of cells and only until the first hit.
+    The boxes of two cells tell most pairs: all points near, or none. The others are decided by the boxes of parts, of
+    parts of parts and so on: a pair of parts that is surely near decides its pair of cells, one that is surely far is
+    dropped. While no pair of parts is surely near, all points are nearly `eps_m` apart or more, so only parts along the
+    sides that face each other stay, and the work grows with the occupied parts, not with pairs of points.
     """
+    fine = _row_height(eps_m) / 4.0**_DEPTH
     dense = points.where(F.col("size") >= min_samples)
-    boxes = dense.groupBy("device_id", "cell").agg(
-        F.min("latitude").alias("south"),
-        F.max("latitude").alias("north"),
-        F.min("longitude").alias("west"),
-        F.max("longitude").alias("east"),
+    dense = dense.select("device_id", "cell", "latitude", "longitude").distinct()
+    dense = dense.withColumns(
+        {"_y": F.floor(F.col("latitude") / fine).cast("bigint"), "_x": F.floor(F.col("longitude") / fine).cast("bigint")}
     )
-    sides = ["south", "north", "west", "east"]
-    left = boxes.select("device_id", F.col("cell").alias("a"), *[F.col(s).alias(f"a_{s}") for s in sides])
-    right = boxes.select("device_id", "cell", F.col("cell").alias("b"), *[F.col(s).alias(f"b_{s}") for s in sides])
-    near = _around(left, "a_south", "a_north", "a_west", "a_east", eps_m)
-    pairs = near.join(right, ["device_id", "cell"]).where(F.col("a") < F.col("b")).drop("cell")
-
-    def close_points(own: str, other: str) -> DataFrame:
-        box = pairs.select("device_id", "a", "b", F.col(own).alias("cell"), *[f"{other}_{s}" for s in sides])
-        gap = _metres_to_box(F.col("latitude"), F.col("longitude"), other)
-        return (
-            dense.select("device_id", "cell", "latitude", "longitude")
-            .join(box, ["device_id", "cell"])
-            .select("device_id", "a", "b", "latitude", "longitude", gap.alias("gap"))
-            # across the date line the box test does not hold; keep such points
-            .where((F.col("gap") <= eps_m * 1.001) | (F.abs("longitude") > 179.9))
-        )
+    dense = tabled(dense)
 
-    def check(key: tuple, members: pd.DataFrame) -> pd.DataFrame:
-        left, right = members[members["first"]], members[~members["first"]]
-        hit = len(left) > 0 and len(right) > 0 and _touching(left, right, eps_m)
-        return pd.DataFrame([key] if hit else [], columns=["device_id", "a", "b"])
+    def named(boxes: DataFrame, cell: str) -> DataFrame:
+        own = [F.col(c).alias(f"{cell}_{c}") for c in (*_SIDES, "up_y", "up_x", "part_y", "part_x")]
+        return boxes.select(F.col("device_id"), F.col("cell").alias(cell), *own)
 
-    first = close_points("a", "b").withColumn("first", F.lit(True))
-    second = close_points("b", "a").withColumn("first", F.lit(False))
-    return (
-        first.unionByName(second)
-        .groupBy("device_id", "a", "b")
-        .applyInPandas(check, "device_id bigint, a bigint, b bigint")
-    )
+    def judged(pairs: DataFrame) -> DataFrame:
+        least, most = _reach("a", "b")
+        near = pairs.withColumns({"_least": least, "_most": most}).where(F.col("_least") <= eps_m)
+        kept = near.select(
+            "device_id", "a", "b", "a_part_y", "a_part_x", "b_part_y", "b_part_x", (F.col("_most") <= eps_m).alias("sure")
+        )
+        return tabled(kept)
+
+    cells = tabled(
+        dense.groupBy("device_id", "cell").agg(
+            F.min("latitude").alias("south"), F.max("latitude").alias("north"), F.min("longitude").alias("west"),
+            F.max("longitude").alias("east"),
+        ).withColumns({name: F.lit(0).cast("bigint") for name in ("up_y", "up_x", "part_y", "part_x")})
+    )
+    around = _around(named(cells, "a"), "a_south", "a_north", "a_west", "a_east", eps_m)
+    met = around.join(named(cells, "b").withColumn("cell", F.col("b")), ["device_id", "cell"])
+    state = judged(met.where(F.col("a") < F.col("b")).drop("cell").distinct())
+    found = []
+    for depth in range(1, _DEPTH + 1):
+        sure = state.where("sure").select("device_id", "a", "b").distinct()
+        found.append(sure)
+        open_ = state.where("NOT sure").join(sure, ["device_id", "a", "b"], "left_anti").drop("sure")
+        open_ = tabled(open_)
+        if open_.isEmpty():
+            break
+        boxes = _boxes(dense, depth)
+        pairs = open_
+        for cell in ("a", "b"):
+            parts = named(boxes, cell).withColumnsRenamed({f"{cell}_up_y": f"_{cell}_y", f"{cell}_up_x": f"_{cell}_x"})
+            pairs = pairs.withColumnsRenamed({f"{cell}_part_y": f"_{cell}_y", f"{cell}_part_x": f"_{cell}_x"})
+            pairs = pairs.join(parts, ["device_id", cell, f"_{cell}_y", f"_{cell}_x"])
+        state = judged(pairs)
+    else:  # parts as small as a coordinate: what they hold is nearly one place
+        one, two = [
+            dense.select("device_id", F.col("cell").alias(c), F.col("_y").alias(f"{c}_part_y"), F.col("_x").alias(f"{c}_part_x"),
+                         F.col("latitude").alias(f"_{c}_lat"), F.col("longitude").alias(f"_{c}_lon"))
+            for c in ("a", "b")
+        ]
+        left = state.where("NOT sure")
+        for side, cell in ((one, "a"), (two, "b")):
+            left = left.join(side, ["device_id", cell, f"{cell}_part_y", f"{cell}_part_x"])
+        distance = haversine_m(F.col("_a_lat"), F.col("_a_lon"), F.col("_b_lat"), F.col("_b_lon"))
+        found += [state.where("sure").select("device_id", "a", "b"), left.where(distance <= eps_m).select("device_id", "a", "b")]
+    return reduce(DataFrame.unionByName, found).distinct()
 
 
 def dbscan(points: DataFrame, eps_m: float = S.EPS_M, min_samples: int = S.MIN_SAMPLES) -> DataFrame:

@@ -1,13 +1,16 @@
 """Joins of points with polygons and zones.
 
-Polygon joins are equi-joins on grid cells: a shape is listed under the cells its box covers, on the grid
-level where those are few, and a point under its one cell of every level. So a pair meets at most once,
-and Spark chooses by actual size whether to broadcast the shapes or shuffle (and split busy cells).
+Polygon joins are equi-joins on grid cells. A shape is listed under cells of two levels: on the level where its box covers
+few cells, those that lie wholly inside it; where its outline passes, the cells of the next finer level. Cells outside are
+left out, and points in inner cells need no look at the outline. A point is listed under its one cell of every level in
+use. So a pair meets at most once, and Spark chooses by actual size whether to broadcast the shapes or shuffle (and split
+busy cells). The grid is periodic: a shape that reaches past 180 degrees is listed on both sides.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,10 +19,11 @@ from waymark import settings as S
 from waymark.functions import hexgrid
 from waymark.functions.geo import haversine_m
 from waymark.functions.polygons import boundary_distance_m, contains, read_parts, ring_edges, with_shape
+from waymark.session import tabled
 
-# Side of a cell per level, degrees. The coarsest level covers the globe with a few cells.
-LEVELS = (0.02, 0.32, 5.12, 81.92)
-CELLS_PER_AXIS = 8
+# Side of a cell per level, degrees: each is cut into 4 x 4 of the level before. The coarsest covers the globe with a few.
+LEVELS = tuple(0.02 * 4.0**i for i in range(7))
+CELLS_PER_AXIS = 4
 CELL = ["_level", "_row", "_col"]
 #: The cell of rows without a place.
 NO_CELL = -(2**62)
@@ -29,27 +33,102 @@ def _index(value: Column, side: float | Column) -> Column:
     return F.floor(value / side).cast("int")
 
 
+def _side(level: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, LEVELS)), level + 1)
+
+
+def around_the_globe(shapes: DataFrame) -> DataFrame:
+    """Shapes with `_shift`, once for each turn of the globe with which their box meets longitudes from -180 to 180.
+
+    The box is moved by the shift; a point at `lon` is at `lon - _shift` in the shape's own coordinates.
+    """
+    turned = shapes.withColumn("_shift", F.explode(F.array(*[F.lit(x) for x in (0.0, 360.0, -360.0)])))
+    turned = turned.withColumns({name: F.col(name) + F.col("_shift") for name in ("min_lon", "max_lon")})
+    return turned.where((F.col("max_lon") >= -180.0) & (F.col("min_lon") <= 180.0))
+
+
+def nearest_turn(lon: Column) -> Column:
+    """Of the turns of a shape, the one whose middle is nearest to the point: so a pair counts once."""
+    off = lon - (F.col("min_lon") + F.col("max_lon")) / 2.0
+    return (off > -180.0) & (off <= 180.0)
+
+
 def shape_cells(shapes: DataFrame) -> DataFrame:
-    """One row per shape and covered cell; at most 9 x 9 cells per shape."""
-    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.col("max_lon") - F.col("min_lon"))
-    level, side = F.lit(len(LEVELS) - 1), F.lit(LEVELS[-1])
+    """One row per shape and cell that its box covers, on the level where they are at most 5 x 5."""
+    span = F.greatest(F.col("max_lat") - F.col("min_lat"), F.least(F.col("max_lon") - F.col("min_lon"), F.lit(360.0)))
+    level = F.lit(len(LEVELS) - 1)
     for i in range(len(LEVELS) - 2, -1, -1):
-        fits = span <= LEVELS[i] * CELLS_PER_AXIS
-        level, side = F.when(fits, F.lit(i)).otherwise(level), F.when(fits, F.lit(LEVELS[i])).otherwise(side)
-    sized = shapes.withColumns({"_level": level, "_side": side})
+        level = F.when(span <= LEVELS[i] * CELLS_PER_AXIS, F.lit(i)).otherwise(level)
+    sized = shapes.withColumn("_level", level).withColumn("_side", _side(F.col("_level")))
     rows = F.sequence(_index(F.col("min_lat"), F.col("_side")), _index(F.col("max_lat"), F.col("_side")))
-    columns = F.sequence(_index(F.col("min_lon"), F.col("_side")), _index(F.col("max_lon"), F.col("_side")))
+    west, east = F.greatest("min_lon", F.lit(-180.0)), F.least("max_lon", F.lit(180.0))
+    columns = F.sequence(_index(west, F.col("_side")), _index(east, F.col("_side")))
     return sized.withColumn("_row", F.explode(rows)).withColumn("_col", F.explode(columns)).drop("_side")
 
 
-def point_cells(points: DataFrame, lat: str, lon: str) -> DataFrame:
+def _cell_box(shift: Column) -> tuple[Column, Column, Column, Column]:
+    """South, north, west and east of a cell in the coordinates of its shape, a little wider than it is."""
+    side = _side(F.col("_level"))
+    slack = 1e-9
+    west, south = F.col("_col") * side - shift, F.col("_row") * side
+    return south - slack, south + side + slack, west - slack, west + side + slack
+
+
+def _crossed() -> Column:
+    """Does an edge of the shape meet the cell? Their boxes overlap, and the cell's corners are not all on one side."""
+    south, north, west, east = _cell_box(F.col("_shift"))
+
+    def meets(e: Column) -> Column:
+        overlap = (
+            (F.least(e.x1, e.x2) <= east) & (F.greatest(e.x1, e.x2) >= west) & (F.least(e.y1, e.y2) <= north) & (F.greatest(e.y1, e.y2) >= south)
+        )
+        sides = [(e.x2 - e.x1) * (y - e.y1) - (e.y2 - e.y1) * (x - e.x1) for x in (west, east) for y in (south, north)]
+        return overlap & (F.greatest(*sides) >= 0.0) & (F.least(*sides) <= 0.0)
+
+    return F.exists("edges", meets)
+
+
+def cover(shapes: DataFrame) -> DataFrame:
+    """Cells of shapes (with `edges` and box, turned round the globe): `_inner` ones, and finer ones along the outline.
+
+    Inner cells carry no edges, as their points need no test.
+    """
+
+    def marked(cells: DataFrame) -> DataFrame:
+        south, north, west, east = _cell_box(F.col("_shift"))
+        middle = contains(F.col("edges"), (south + north) / 2.0, (west + east) / 2.0)
+        found = cells.withColumn("_crossed", _crossed()).withColumn("_inner", ~F.col("_crossed") & middle)
+        return found.where("_crossed OR _inner")
+
+    coarse = marked(shape_cells(shapes))
+    quarters = F.sequence(F.lit(0), F.lit(3))
+    finest = F.col("_level") == 0
+    inner = coarse.where(F.col("_inner") | finest)
+    along = coarse.where(~F.col("_inner") & ~finest).drop("_crossed", "_inner")
+    fine = along.withColumn("_r", F.explode(quarters)).withColumn("_c", F.explode(quarters))
+    fine = fine.withColumns(
+        {"_level": F.col("_level") - 1, "_row": F.col("_row") * 4 + F.col("_r"), "_col": F.col("_col") * 4 + F.col("_c")}
+    )
+    cells = inner.unionByName(marked(fine.drop("_r", "_c"))).drop("_crossed")
+    return cells.withColumn("edges", F.when(~F.col("_inner"), F.col("edges")))
+
+
+def levels_in_use(cells: DataFrame) -> list[int]:
+    """At most as many as there are levels."""
+    return sorted(row["_level"] for row in cells.select("_level").distinct().collect())
+
+
+def point_cells(points: DataFrame, lat: str, lon: str, levels: Iterable[int]) -> DataFrame:
+    """Located points under their cell of each of these levels."""
     cells = [
         F.struct(
-            F.lit(i).alias("_level"), _index(F.col(lat), side).alias("_row"), _index(F.col(lon), side).alias("_col")
+            F.lit(i).alias("_level"), _index(F.col(lat), LEVELS[i]).alias("_row"), _index(F.col(lon), LEVELS[i]).alias("_col")
         )
-        for i, side in enumerate(LEVELS)
+        for i in levels
     ]
     located = points.where(F.col(lat).isNotNull() & F.col(lon).isNotNull())
+    if not cells:
+        cells, located = [F.struct(*[F.lit(0).alias(name) for name in CELL])], located.limit(0)
     return located.select(*points.columns, F.inline(F.array(*cells)))
 
 
@@ -57,16 +136,13 @@ def points_in_fences(
     points: DataFrame, fences: DataFrame, lat: str = "latitude", lon: str = "longitude"
 ) -> DataFrame:
     """Every (point, fence) pair where the fence holds the point; points on the boundary are outside."""
-    shapes = with_shape(fences).select(
-        F.col("id").alias("geofence_id"), "edges", "min_lat", "max_lat", "min_lon", "max_lon"
-    )
-    pairs = point_cells(points, lat, lon).join(shape_cells(shapes), CELL)
-    inside = F.col(lat).between(F.col("min_lat"), F.col("max_lat")) & F.col(lon).between(
-        F.col("min_lon"), F.col("max_lon")
-    )
-    return pairs.where(inside & contains(F.col("edges"), F.col(lat), F.col(lon))).select(
-        *points.columns, "geofence_id"
+    shapes = around_the_globe(with_shape(fences)).select(
+        F.col("id").alias("geofence_id"), "edges", "min_lat", "max_lat", "min_lon", "max_lon", "_shift"
     )
+    cells = tabled(cover(shapes))
+    pairs = point_cells(points, lat, lon, levels_in_use(cells)).join(cells, CELL)
+    inside = F.col("_inner") | contains(F.col("edges"), F.col(lat), F.col(lon) - F.col("_shift"))
+    return pairs.where(nearest_turn(F.col(lon)) & inside).select(*points.columns, "geofence_id")
 
 
 def check_fences(requests: DataFrame, fences: DataFrame) -> DataFrame:
@@ -81,7 +157,7 @@ def check_fences(requests: DataFrame, fences: DataFrame) -> DataFrame:
 
 
 def zones_near_points(points: DataFrame, zones: DataFrame, radius_m: float = S.NEAR_ZONE_M) -> DataFrame:
-    """Every (point, zone) pair at most `radius_m` apart; the distance is 0 inside a zone."""
+    """Every (point, zone) pair at most `radius_m` apart, across the date line too; the distance is 0 inside a zone."""
     lat_margin = F.degrees(F.lit(radius_m / S.EARTH_RADIUS_M)) * 1.001
     widest = F.greatest(F.abs("min_lat"), F.abs("max_lat")) + lat_margin
     lon_margin = F.when(widest < 89.0, lat_margin / F.cos(F.radians(widest))).otherwise(F.lit(360.0))
@@ -101,10 +177,13 @@ def zones_near_points(points: DataFrame, zones: DataFrame, radius_m: float = S.N
     )
     lat, lon = F.col("latitude"), F.col("longitude")
     in_box = lat.between(F.col("min_lat"), F.col("max_lat")) & lon.between(F.col("min_lon"), F.col("max_lon"))
-    distance = F.when(contains(F.col("edges"), lat, lon), F.lit(0.0)).otherwise(
-        boundary_distance_m(F.col("edges"), lat, lon)
+    there = lon - F.col("_shift")
+    distance = F.when(contains(F.col("edges"), lat, there), F.lit(0.0)).otherwise(
+        boundary_distance_m(F.col("edges"), lat, there)
     )
-    pairs = point_cells(points, "latitude", "longitude").join(shape_cells(shapes), CELL).where(in_box)
+    cells = tabled(shape_cells(around_the_globe(shapes)))
+    listed = point_cells(points, "latitude", "longitude", levels_in_use(cells))
+    pairs = listed.join(cells, CELL).where(in_box & nearest_turn(lon))
     return pairs.withColumn("distance", distance).where(F.col("distance") <= radius_m).select(
         *points.columns, "zone_id", "distance"
     )
