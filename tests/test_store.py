@@ -358,3 +358,17 @@ def test_repeated_training_leaves_one_forest_per_model(spark, sf_dir, tmp_path):
     assert models.select("trained_to").distinct().count() == 2
     _, trees = scoring.current(models, forests, scoring.ROUTE_MODEL)
     assert "PartitionFilters: [isnotnull(trained_to" in trees._jdf.queryExecution().toString()
+
+
+def test_scoring_before_any_training(spark, sf_dir, tmp_path):
+    """No model, no table: the job scores nothing and stores nothing, and the live job stores no score."""
+    target = refresh.Store(str(tmp_path / "store"))
+    positions, devices = load(spark, sf_dir, "positions"), load(spark, sf_dir, "devices")
+    assert refresh.refresh(positions, devices, target, AS_OF, steps=["infer"]).count() == 0
+    models, forests = (
+        store.read_table(spark, target.path(path), name) for path, name in (("models", "trained_models"), ("forests", "forests"))
+    )
+    zones = store.read_table(spark, target.path("zones"), "zones")
+    scored_live = scoring.score_live(live.valid(positions), zones, models, forests)
+    assert scored_live.where("anomaly_score IS NOT NULL").count() == 0 and scored_live.count() > 0
+    assert {r["risk_level"] for r in scored_live.select("risk_level").distinct().collect()} == {"unknown"}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from waymark.plans import anomalies as A
 from waymark.plans import routes as R
 from waymark.plans import tracking as T
@@ -17,6 +19,11 @@ def _counts(spark, sf):
     return A.report_counts(A.anomaly_report(load(spark, sf, "anomalies"), AS_OF))
 
 
+def _heat_counts(spark, sf):
+    points = A.heat_points(load(spark, sf, "anomalies"), AS_OF, hours=720, min_score=0.25, sampling=10)
+    return A.report_counts(points, F.col("kind") == "anomalous")
+
+
 def _vehicle_report(spark, sf):
     report = A.anomaly_report(load(spark, sf, "anomalies"), AS_OF, only_anomalies=True)
     return T.by_vehicle(report, load(spark, sf, "devices")).select("vehicle_id", "device_id", "id", "risk_level")
@@ -47,6 +54,7 @@ QUERIES = {
     "anomaly_report_only_anomalies": _report(only_anomalies=True),
     "anomaly_report_high_risk": _report(risk="high"),
     "anomaly_report_counts": _counts,
+    "heat_point_counts": _heat_counts,
     "vehicle_anomalies": _vehicle_report,
     "device_anomalies": lambda spark, sf: A.device_anomalies(load(spark, sf, "anomalies")),
     "device_heat_points": _heat(),
@@ -182,3 +190,6 @@ CHECKS = {
         "date",
     ),
 }
+
+CHECKS["heat_point_counts"] = f"""SELECT device_id, count(*) AS count, count(*) FILTER (kind = 'anomalous') AS anomaly_count
+  FROM ({CHECKS["device_heat_points_sampled"]}) GROUP BY device_id"""

@@ -103,6 +103,20 @@ def _routes(spark, sf):
     return spark.read.parquet(f"{folder}/daily").drop("created_at")
 
 
+def _route_points(spark, sf):
+    """Routes of an open day with their points: half of the devices are stored, the others aggregated and stored on demand."""
+    positions = load(spark, sf, "positions")
+    target = refresh.Store(_folder(spark, "open-day"))
+    refresh.aggregate(positions.where("device_id % 2 = 0"), target, "2024-01-31T00:00:00+00:00", 2)
+    for _ in range(2):  # the second time all is stored
+        found = refresh.route_of_day(positions, target, "2024-01-30T12:00:00+00:00", "2024-01-30")
+    points = found.select("device_id", "date", "total_distance", F.explode("points").alias("p"))
+    return points.select(
+        "device_id", "date", "total_distance", F.col("p.recorded_at").alias("recorded_at"), F.col("p.latitude").alias("latitude"),
+        F.col("p.longitude").alias("longitude"), F.round("p.speed", 6).alias("speed"),
+    )
+
+
 def _route_upsert(spark, sf):
     """Days stored with marked rows first, then replaced by the job where it has data."""
     fresh = store.staged(route_queries.daily_routes(spark, sf))
@@ -240,6 +254,7 @@ QUERIES = {
     "stream_alerts": _alerts,
     "stream_forest_scores": _forest_scores,
     "stream_daily_routes": _routes,
+    "route_points_of_open_day": _route_points,
     "route_upsert": _route_upsert,
     "score_window_replace": _score_window,
     "live_and_nightly_report": _live_and_nightly,
@@ -326,6 +341,16 @@ CHECKS = {
         ),
         "date",
     ),
+    "route_points_of_open_day": portable_sql(
+        oracle(
+            f"""WITH {clean_ctes('positions')}, routes AS (SELECT * FROM ({route_queries.SUMMARY}) WHERE date = DATE '2024-01-30')
+            SELECT r.device_id, r.date, r.total_distance, c.recorded_at, c.latitude, c.longitude, round(c.speed, 6) AS speed
+            FROM routes r JOIN clean c USING (device_id, date)""",
+            "positions",
+        ),
+        "date",
+        "recorded_at",
+    ),
     "stored_mode_changes": _changed_sql("devices", "modes", "device_id", "modo", "modo IN (0, 1, 2, 3)"),
     "stored_alert_resolutions": _changed_sql("alerts", "resolutions", "alert_id", "resolved", "resolved"),
     "stream_dedupe": portable_sql(

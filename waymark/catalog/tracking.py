@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from waymark.plans import tracking as T
+from waymark.plans.anomalies import report_counts
 from waymark.sources.fixtures import load, oracle, portable_sql
 
 START, END = "2024-01-05T00:00:00+00:00", "2024-01-20T00:00:00+00:00"
@@ -26,7 +27,31 @@ def _unresolved_totals(spark, sf):
     return rows.groupBy("device_id").agg(F.count(F.lit(1)).alias("count"))
 
 
+def _history_counts(spark, sf):
+    return report_counts(T.history(load(spark, sf, "positions"), START, END))
+
+
+def _latest_count(spark, sf):
+    return T.latest_positions_report(load(spark, sf, "positions")).agg(F.count(F.lit(1)).alias("count"))
+
+
+def _device_count(spark, sf):
+    return T.device_list(load(spark, sf, "devices")).agg(F.count(F.lit(1)).alias("count"))
+
+
+#: What keyed reports ask for.
+DEVICE, IMEI, VEHICLE = 4, "imei-6", 1003
+
 QUERIES = {
+    "device_by_id": lambda spark, sf: T.device_list(load(spark, sf, "devices"), DEVICE),
+    "device_by_imei": lambda spark, sf: T.device_detail(load(spark, sf, "devices"), imei=IMEI).select("id", "device_imei", "modo"),
+    "geofences_of_vehicle": lambda spark, sf: T.vehicle_geofences(load(spark, sf, "geofences"), VEHICLE).drop("created_at"),
+    "last_position_of_device": lambda spark, sf: T.last_position(load(spark, sf, "positions"), DEVICE),
+    "history_of_device": lambda spark, sf: T.ordered_history(T.history(load(spark, sf, "positions"), START, END, DEVICE)),
+    "alerts_of_device": lambda spark, sf: T.alerts(load(spark, sf, "alerts"), DEVICE).drop("created_at"),
+    "device_list_count": _device_count,
+    "position_history_counts": _history_counts,
+    "latest_positions_count": _latest_count,
     "vehicle_device": lambda spark, sf: T.vehicle_devices(load(spark, sf, "devices")),
     "vehicle_last_position": _by_vehicle,
     "unknown_vehicles": _unknown_vehicles,
@@ -59,6 +84,29 @@ _HISTORY = "recorded_at BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2
 _ALERTS = "SELECT id, device_id, alert_type, severity, resolved, created_at, metadata FROM alerts"
 
 CHECKS = {
+    "device_by_id": oracle(
+        f"""SELECT id, device_imei, vehicle_id, status, modo, strftime(last_seen, '%Y-%m-%d %H:%M:%S.%f') AS last_seen
+        FROM devices WHERE id = {DEVICE}""",
+        "devices",
+    ),
+    "device_by_imei": oracle(f"SELECT id, device_imei, modo FROM devices WHERE device_imei = '{IMEI}'", "devices"),
+    "geofences_of_vehicle": oracle(f"SELECT id, vehicle_id, name, type, active FROM geofences WHERE vehicle_id = {VEHICLE}", "geofences"),
+    "last_position_of_device": portable_sql(
+        oracle(f"SELECT {_SENSORS} FROM positions WHERE device_id = {DEVICE} QUALIFY {_LATEST}", "positions"), "recorded_at"
+    ),
+    "history_of_device": portable_sql(
+        oracle(f"SELECT {_SENSORS} FROM positions WHERE device_id = {DEVICE} AND {_HISTORY}", "positions"), "recorded_at"
+    ),
+    "alerts_of_device": oracle(
+        f"""SELECT id, device_id, alert_type, severity, resolved, metadata FROM alerts WHERE device_id = {DEVICE}
+        QUALIFY row_number() OVER (ORDER BY created_at DESC NULLS LAST, id DESC) <= 50""",
+        "alerts",
+    ),
+    "device_list_count": oracle("SELECT count(*) AS count FROM devices", "devices"),
+    "position_history_counts": oracle(
+        f"SELECT device_id, count(*) AS count FROM positions WHERE {_HISTORY} GROUP BY device_id", "positions"
+    ),
+    "latest_positions_count": oracle("SELECT least(count(DISTINCT device_id), 100) AS count FROM positions", "positions"),
     "vehicle_device": oracle("SELECT vehicle_id, min(id) AS device_id FROM devices GROUP BY vehicle_id", "devices"),
     "vehicle_last_position": oracle(
         f"""SELECT d.vehicle_id, p.device_id, p.id FROM (SELECT * FROM positions QUALIFY {_LATEST}) p

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from waymark.catalog.routes import clean_ctes, haversine_sql
 from waymark.plans import routes, zones as Z
 from waymark.session import shared_dir
+from waymark.sources import store
 from waymark.sources.fixtures import AS_OF, load, oracle, portable_sql
 
 
@@ -37,6 +38,12 @@ def _status(spark, sf):
     return Z.cluster_status(rows, Z.cluster_points(rows))
 
 
+def _fleet_status(spark, sf):
+    """Every active device, whether it has stop points or not; those of device 4 are taken away."""
+    rows = store.staged(stops(spark, sf).where("device_id <> 4"))
+    return Z.cluster_status(rows, Z.cluster_points(rows), devices=load(spark, sf, "devices"))
+
+
 def _list(spark, sf):
     rows = Z.by_density(Z.zone_list(load(spark, sf, "zones")))
     return rows.select(
@@ -56,6 +63,7 @@ QUERIES = {
     "stop_clusters": _clustered,
     "frequent_zones": _zones,
     "clustering_status": _status,
+    "clustering_status_of_fleet": _fleet_status,
     "zone_list": _list,
     "zone_totals": lambda spark, sf: Z.zone_totals(load(spark, sf, "zones")),
     "zone_heatmap": lambda spark, sf: Z.zone_heatmap(load(spark, sf, "zones")),
@@ -135,6 +143,20 @@ CHECKS = {
         "positions",
         "anomalies",
     ),
+    "clustering_status_of_fleet": oracle(
+        f"""WITH {CLUSTERS_SQL}
+        SELECT d.id AS device_id, coalesce(s.stop_points, 0) AS stop_points, coalesce(c.n_clusters, 0) AS n_clusters,
+          coalesce(c.n_noise, 0) AS n_noise,
+          CASE WHEN coalesce(s.stop_points, 0) < 16 THEN 'insufficient_data' ELSE 'ok' END AS status
+        FROM devices d
+        LEFT JOIN (SELECT device_id, count(*) AS stop_points FROM stops WHERE device_id <> 4 GROUP BY device_id) s ON s.device_id = d.id
+        LEFT JOIN (SELECT device_id, count(DISTINCT cluster) FILTER (cluster >= 0) AS n_clusters,
+          count(*) FILTER (cluster < 0) AS n_noise FROM clustered WHERE device_id <> 4 GROUP BY device_id) c ON c.device_id = d.id
+        WHERE d.status = 'active'""",
+        "positions",
+        "anomalies",
+        "devices",
+    ),
     "clustering_status": oracle(
         f"""WITH {CLUSTERS_SQL}
         SELECT s.device_id, s.stop_points, coalesce(c.n_clusters, 0) AS n_clusters, coalesce(c.n_noise, 0) AS n_noise,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark import settings as S
@@ -54,11 +54,15 @@ def anomaly_report(
     return rows.orderBy("device_id", *_newest())
 
 
-def report_counts(report: DataFrame) -> DataFrame:
-    """Row and anomaly counts that go with a report."""
-    return report.groupBy("device_id").agg(
-        F.count(F.lit(1)).alias("count"), F.count_if("is_anomaly").alias("anomaly_count")
-    )
+def report_counts(report: DataFrame, flag: Column | None = None) -> DataFrame:
+    """Rows, and rows that are anomalies, of a report per device: what goes with its rows.
+
+    A report without scores has a count alone; `flag` says which rows are anomalies where no column does.
+    """
+    if flag is None and "is_anomaly" in report.columns:
+        flag = F.col("is_anomaly")
+    counts = [F.count(F.lit(1)).alias("count")]
+    return report.groupBy("device_id").agg(*counts, *([] if flag is None else [F.count_if(flag).alias("anomaly_count")]))
 
 
 def device_anomalies(anomalies: DataFrame, limit: int = S.DEVICE_ANOMALY_LIMIT) -> DataFrame:

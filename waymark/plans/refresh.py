@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark import settings as S
+from waymark.functions.scalars import as_timestamp
 from waymark.plans import anomalies, routes, scoring, zones
 from waymark.sources import scans, store
 
@@ -58,6 +59,25 @@ def infer(
     return anomalies.scoring_summary(scored)
 
 
+def route_of_day(positions: DataFrame, target: Store, as_of: datetime | str, day: str) -> DataFrame:
+    """Routes of one day with their points, in segments: (device_id, date, total_distance, avg_speed, slot, segment, points).
+
+    From `as_of`'s day on, device-days without a stored route are aggregated and stored first. Days before that are read
+    as they are.
+    """
+    spark = positions.sparkSession
+    paths = target.path("daily_routes"), target.path("route_segments")
+    wanted = F.col("date") == F.lit(day).cast("date")
+    if day >= spark.range(1).select(F.to_date(as_timestamp(as_of)).cast("string")).first()[0]:
+        known = store.read_table(spark, paths[0], "daily_routes").where(wanted).select("device_id")
+        missing = scans.on_days(positions, day, day).join(known, "device_id", "left_anti")
+        points = store.staged(routes.route_points(missing))
+        store.save_routes(routes.summarise_routes(points), routes.route_segments(points), *paths)
+    summary = store.read_table(spark, paths[0], "daily_routes").where(wanted).drop("created_at", "point_count")
+    segments = store.read_table(spark, paths[1], "route_segments").where(wanted)
+    return summary.join(segments, ["device_id", "date"])
+
+
 def refresh(
     positions: DataFrame,
     devices: DataFrame,
@@ -84,7 +104,7 @@ def refresh_zones(
 ) -> DataFrame:
     """Rebuild the zones of active devices from stored routes and scores; returns the outcome per device.
 
-    Devices with too few stop points keep the zones they had.
+    Devices with too few stop points keep the zones they had; active devices without any have a row too.
     """
     spark = devices.sparkSession
     segments = scans.active_devices(
@@ -94,4 +114,4 @@ def refresh_zones(
     stops = store.staged(zones.stop_points(segments, scored, as_of, days))
     clustered = store.staged(zones.cluster_points(stops))
     store.save_zones(zones.summarise_zones(clustered), clustered, target.path("zones"))
-    return zones.cluster_status(stops, clustered)
+    return zones.cluster_status(stops, clustered, devices=devices)

@@ -130,9 +130,14 @@ def cluster_counts(clustered: DataFrame) -> DataFrame:
     )
 
 
-def cluster_status(stops: DataFrame, clustered: DataFrame, min_samples: int = S.MIN_SAMPLES) -> DataFrame:
-    """Outcome per device with stop points: counts, or that there was not enough data."""
+def cluster_status(
+    stops: DataFrame, clustered: DataFrame, min_samples: int = S.MIN_SAMPLES, devices: DataFrame | None = None
+) -> DataFrame:
+    """Outcome per device with stop points, or per active device: counts, or that there was not enough data."""
     sizes = stops.groupBy("device_id").agg(F.count(F.lit(1)).alias("stop_points"))
+    if devices is not None:
+        active = devices.where(F.col("status") == "active").select(F.col("id").alias("device_id"))
+        sizes = active.join(sizes, "device_id", "left").withColumn("stop_points", F.coalesce("stop_points", F.lit(0)))
     return sizes.join(cluster_counts(clustered), "device_id", "left").select(
         "device_id",
         "stop_points",
