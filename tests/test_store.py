@@ -372,3 +372,18 @@ def test_scoring_before_any_training(spark, sf_dir, tmp_path):
     scored_live = scoring.score_live(live.valid(positions), zones, models, forests)
     assert scored_live.where("anomaly_score IS NOT NULL").count() == 0 and scored_live.count() > 0
     assert {r["risk_level"] for r in scored_live.select("risk_level").distinct().collect()} == {"unknown"}
+
+
+def test_sweep_removes_old_tables_only(spark, tmp_path, monkeypatch):
+    import os
+
+    from waymark import session
+
+    monkeypatch.setattr(session, "shared_dir", lambda _: f"file://{tmp_path}")
+    old, new = session.tabled(spark.range(3)), session.tabled(spark.range(4))
+    (tmp_path / "other").mkdir()
+    first, second = (next(iter(df.inputFiles())).split("/tables/")[1].split("/")[0] for df in (old, new))
+    for folder in (tmp_path / "tables" / first, tmp_path / "other"):
+        os.utime(folder, (1, 1))
+    assert session.sweep(spark) == 1
+    assert [p.name for p in (tmp_path / "tables").iterdir()] == [second] and (tmp_path / "other").exists() and new.count() == 4

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark import settings as S
+from waymark.catalog import given_trees
 from waymark.catalog import heatmap as heatmap_queries
 from waymark.catalog import scoring as scoring_queries
 from waymark.catalog import tracking as tracking_queries
@@ -95,6 +97,15 @@ def _forest_scores(spark, sf):
     return _run_scores(spark, sf, "scores", scoring.score_live, tables).drop("metadata", "date")
 
 
+def _given_trees(spark, sf):
+    """The stream itself with forests, trees given by a formula: the same scores as the batch check."""
+    models, forests = given_trees.given(spark, sf, scoring.ROUTE_MODEL, S.ROUTE_FEATURES)
+    tables = lambda: (load(spark, sf, "zones"), models, forests)
+    rows = _run_scores(spark, sf, "scores", scoring.score_live, tables)
+    level = F.get_json_object("metadata", "$.risk_level").alias("risk_level")
+    return rows.select("id", "anomaly_score", "is_anomaly", level)
+
+
 def _routes(spark, sf):
     folder = _folder(spark, "routes")
     live.route_stream(
@@ -253,6 +264,7 @@ QUERIES = {
     "stream_scores": _scores,
     "stream_alerts": _alerts,
     "stream_forest_scores": _forest_scores,
+    "stream_given_trees": _given_trees,
     "stream_daily_routes": _routes,
     "route_points_of_open_day": _route_points,
     "route_upsert": _route_upsert,
@@ -353,6 +365,9 @@ CHECKS = {
     ),
     "stored_mode_changes": _changed_sql("devices", "modes", "device_id", "modo", "modo IN (0, 1, 2, 3)"),
     "stored_alert_resolutions": _changed_sql("alerts", "resolutions", "alert_id", "resolved", "resolved"),
+    # the stream counts a missing speed as 0
+    "stream_given_trees": "SELECT id, anomaly_score, is_anomaly, risk_level FROM ("
+    + given_trees.CHECKS["given_trees_live"] + ")",
     "stream_dedupe": portable_sql(
         oracle("SELECT DISTINCT device_id, recorded_at FROM positions", "positions"), "recorded_at"
     ),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -23,13 +25,17 @@ def build(app: str = "waymark", **conf: str) -> SparkSession:
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
-    return ship(prepare(builder.getOrCreate()))
+    spark = ship(prepare(builder.getOrCreate()))
+    sweep(spark)
+    return spark
 
 
 def ship(spark: SparkSession) -> SparkSession:
     """Send this package to the Python workers, which need not have it installed."""
     package = Path(__file__).resolve().parent
-    packed = shutil.make_archive(f"{tempfile.mkdtemp(prefix='waymark-')}/{package.name}", "zip", package.parent, package.name)
+    folder = tempfile.mkdtemp(prefix="waymark-")  # workers fetch it from the driver, which removes it at its end
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    packed = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
     spark.sparkContext.addPyFile(packed)
     return spark
 
@@ -59,12 +65,32 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: Folders below the shared one that hold what jobs wrote for themselves.
+WORK = ("tables", "llm")
+
+
+def sweep(spark: SparkSession, older_than_hours: float = 72.0) -> int:
+    """Remove intermediate tables that earlier runs left in the shared folder; returns how many.
+
+    Results are lazy and may read them, so a run's own tables stay; give more hours than the longest job takes.
+    """
+    root, jvm = shared_dir(spark).rstrip("/"), spark._jvm
+    limit, removed = (time.time() - older_than_hours * 3600.0) * 1000.0, 0
+    for name in WORK:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}")
+        files = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        for found in files.listStatus(folder) if files.exists(folder) else []:
+            if found.getModificationTime() < limit and files.delete(found.getPath(), True):
+                removed += 1
+    return removed
+
+
 def tabled(df: DataFrame) -> DataFrame:
     """Write the rows as Parquet in the shared folder and go on from the table.
 
     It cuts the lineage as a checkpoint does, but readers take only the columns they need, and Spark knows the size, so
     that it broadcasts a table only if it is small.
     """
-    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    folder = f"{shared_dir(df.sparkSession).rstrip('/')}/{WORK[0]}/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
