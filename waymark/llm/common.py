@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,3 +55,16 @@ def spare_names(rows: DataFrame, count: int) -> list[str]:
     """Column names that the rows do not have, whatever the case of theirs."""
     taken = {name.lower() for name in rows.columns}
     return [name for n in range(len(taken) + count) if (name := f"_own{n}") not in taken][:count]
+
+
+def _ranges(codes: Iterable[int]) -> Iterator[tuple[int, int]]:
+    """(first, last) of each run of neighbouring numbers."""
+    for _, run in itertools.groupby(enumerate(codes), lambda pair: pair[1] - pair[0]):
+        own = [code for _, code in run]
+        yield own[0], own[-1]
+
+
+#: Capitals of any script, as the inside of a character class.
+CAPITALS = "".join(
+    chr(low) if low == high else f"{chr(low)}-{chr(high)}" for low, high in _ranges(c for c in range(0x110000) if chr(c).isupper() or chr(c).istitle())
+)

@@ -29,7 +29,7 @@ import hashlib
 import hmac
 import itertools
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from waymark.llm.common import spare_names, stage
+from waymark.llm.common import CAPITALS, spare_names, stage
 
 #: The attempt from which on formats widen.
 WIDER = 4
@@ -63,26 +63,16 @@ NAMES = {
 }
 
 
-def _ranges(codes: Iterable[int]) -> Iterator[tuple[int, int]]:
-    """(first, last) of each run of neighbouring numbers."""
-    for _, run in itertools.groupby(enumerate(codes), lambda pair: pair[1] - pair[0]):
-        own = [code for _, code in run]
-        yield own[0], own[-1]
-
-
 _GENDER = {title.lower(): gender for gender, titles in TITLES.items() for title in titles}
 _TITLES = "|".join(sorted(_GENDER, key=len, reverse=True))
-#: Capitals and letters of any script that has them; letters may be followed by combining marks.
-_CAPITAL = "".join(
-    chr(low) if low == high else f"{chr(low)}-{chr(high)}" for low, high in _ranges(c for c in range(0x110000) if chr(c).isupper() or chr(c).istitle())
-)
+#: Letters of any script; letters may be followed by combining marks.
 _LETTER = r"(?:[^\W\d_]|[\u0300-\u036f])"
 _BETWEEN = r"[^\S\r\n]+"
 #: Small words inside names, and ones that are joined to the next part.
 _SMALL = rf"(?:(?:von|vom|zu|zur|zum|van|der|den|de|del|della|da|das|do|dos|di|du|la|las|le|los|ter|ten|bin|ibn|al|el|y|и){_BETWEEN}){{0,3}}"
 _JOINED = r"(?:(?:[dl]|al|el)['’ʼ\-])?"
-_PART = rf"(?!(?i:{_TITLES})\b){_JOINED}[{_CAPITAL}](?:{_LETTER}+(?:['’ʼ‐‑\-]{_LETTER}+)*|(?:['’ʼ‐‑\-]{_LETTER}+)+)"
-_INITIALS = rf"(?:[{_CAPITAL}]\.(?:{_BETWEEN}|-)?){{0,3}}"
+_PART = rf"(?!(?i:{_TITLES})\b){_JOINED}[{CAPITALS}](?:{_LETTER}+(?:['’ʼ‐‑\-]{_LETTER}+)*|(?:['’ʼ‐‑\-]{_LETTER}+)+)"
+_INITIALS = rf"(?:[{CAPITALS}]\.(?:{_BETWEEN}|-)?){{0,3}}"
 _SOLE = rf"{_INITIALS}{_SMALL}{_PART}"
 _TITLED = rf"\b(?:(?i:{_TITLES})\b\.?{_BETWEEN})+"
 _GROUP = r"\+\d{1,3}[ .\-]?"

@@ -6,7 +6,8 @@ that stand for letters), whose lexicon hits are counted too. The lexicon is lear
 that occur in clearly more toxic than other labelled texts.
 
 Lexicon, trees and calibration are fitted on a bounded sample of labelled rows, at most about `TOXIC` toxic and `CLEAN`
-other documents, chosen by a hash among all labelled rows; four fifths grow the trees, the last fifth calibrates. The
+other documents, chosen by a hash among all labelled rows; two thirds make the lexicon and grow the trees, the last
+third, which neither has seen, calibrates. The
 sample's feature table (some 20 numbers per row) is all that reaches the driver. A row of the sample weighs as many
 labelled rows of its class as it stands for, by exact counts of all labels, so that scores keep to the share of toxic
 labels however few of a class are drawn; the mean weight is one. Scoring is one pass over the texts.
@@ -29,9 +30,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from waymark.llm import boosting
-from waymark.llm.common import sampled, stage, whole_text
+from waymark.llm.common import CAPITALS, sampled, stage, whole_text
 
 TOXIC, CLEAN, LEXICON, THRESHOLD = 3000, 6000, 4000, 0.3
 #: Beginnings of words that the lexicon may hold, least documents and least strength of an entry.
@@ -46,7 +48,7 @@ SECOND = frozenset(
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_]+(?:[013457@$!*.\-]+[^\W\d_]+)+")
-_CAPITAL = re.compile(r"[^\W\d_a-z]{2,}")
+_CAPITAL, _CAPITALS = re.compile(f"[{CAPITALS}]+"), re.compile(f"[{CAPITALS}]{{2,}}")
 NAMES = (
     "weight_density weight_most weight_sum hits hit_density distinct near_second near_density second_density "
     "capital_rate shouted exclaimed questioned symbol_rate digit_rate punctuation_rate obfuscated obfuscated_hits "
@@ -86,14 +88,14 @@ def features(text: str, lexicon: Lexicon) -> list[float]:
     plain = [re.sub(r"[*.\-]", "", word).translate(SIGNS) for word in joined]
     hidden = sum(lexicon[word] > 0 for word in plain)
     letters = max(1, sum(map(len, words)))
-    upper = letters - sum(map(len, _WORD.findall(re.sub(r"[A-ZÀ-ÖØ-Þ]", " ", text))))
+    upper = sum(map(len, _CAPITAL.findall(text)))
     signs = Counter({sign: text.count(sign) for sign in ".,!?#$%&*|"})
     symbols = sum(signs[sign] for sign in "#$%&*|")
     total = float(weights.sum())
     return [
         total / count, float(weights.max(initial=0)), total, len(hits), len(hits) / count,
         len({words[i] for i in hits}), near, near / count, len(second) / count,
-        upper / letters, len(_CAPITAL.findall(text)) / count, signs["!"] / count, signs["?"] / count, symbols / size,
+        upper / letters, len(_CAPITALS.findall(text)) / count, signs["!"] / count, signs["?"] / count, symbols / size,
         sum(map(low.count, "0123456789")) / size, (signs["."] + signs[","]) / count, len(joined), hidden,
         len(joined) / count, np.log1p(len(words)), letters / count, np.log1p(text.count("\n")),
     ]
@@ -153,31 +155,36 @@ def learn(docs: DataFrame, labels: DataFrame, folder: str, toxic: int = TOXIC, c
     labelled, drawn = ({row["toxic"]: row["count"] for row in rows.groupBy("toxic").count().collect()} for rows in (known, bounded))
     texts = docs.select("doc_id", whole_text().alias("text"))
     # the sample has a fixed bound, about 9,000 rows of an id and a flag
-    sample = texts.join(F.broadcast(bounded), "doc_id")
-    sample = stage(sample.dropDuplicates(["doc_id"]), folder, "sample").repartition(16, "doc_id")
-    found = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
+    sample = stage(texts.join(F.broadcast(bounded), "doc_id").dropDuplicates(["doc_id"]), folder, "sample")
+    # every third of a class in the order of ids: a few thousand ids and flags
+    place = F.row_number().over(Window.partitionBy("toxic").orderBy("doc_id"))
+    thirds = sample.select("doc_id", "toxic").select("doc_id", (place % 3 == 0).alias("held"))
+    sample = sample.join(F.broadcast(thirds), "doc_id").repartition(16, "doc_id")
+    parts = {(row["toxic"], row["held"]): row["count"] for row in sample.groupBy("toxic", "held").count().collect()}
+    found = {mark: parts.get((mark, True), 0) + parts.get((mark, False), 0) for mark in (0, 1)}
+    found = {mark: n for mark, n in found.items() if n}
     stands = {mark: n * labelled[mark] / drawn[mark] for mark, n in found.items()}  # labelled rows that the class stands for
     share = stands.get(1, 0.0) / max(1.0, sum(stands.values()))
     if len(found) < 2:
         return Model({}, None, None, share)
     mean = sum(stands.values()) / sum(found.values())
     weights = tuple(stands[mark] / found[mark] / mean for mark in (0, 1))
-    entries = _lexicon(sample, share, weights)
+    apart = len(parts) == 4  # a third of the rows is neither in the lexicon nor in the trees, where there are rows of both classes
+    entries = _lexicon(sample.where("NOT held") if apart else sample, share, weights)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = Lexicon(entries)
         for batch in batches:
             rows = [features(text, lexicon) for text in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "features": rows})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "toxic": batch["toxic"], "held": batch["held"], "features": rows})
 
-    table = sample.mapInPandas(measure, "doc_id long, toxic int, features array<double>").orderBy("doc_id").toPandas()
+    measured = sample.mapInPandas(measure, "doc_id long, toxic int, held boolean, features array<double>")
+    table = measured.orderBy("doc_id").toPandas()
     rows, marks = np.array(table["features"].tolist()), table["toxic"].to_numpy(float)
-    last = np.arange(len(rows)) % 5 == 4
-    if len(np.unique(marks[last])) < 2 or len(np.unique(marks[~last])) < 2:
-        last = np.zeros(len(rows), bool)
+    held = table["held"].to_numpy(bool) if apart else np.ones(len(rows), bool)
+    grown = ~held if apart else held
     heavy = np.where(marks == 1, weights[1], weights[0])
-    trees = boosting.fit(rows[~last], marks[~last], heavy[~last])
-    held = last if last.any() else ~last
+    trees = boosting.fit(rows[grown], marks[grown], heavy[grown])
     return Model(entries, trees, boosting.calibrate(trees.margin(rows[held]), marks[held], heavy[held]), share)
 
 
