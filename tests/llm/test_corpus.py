@@ -415,6 +415,51 @@ def test_short_and_wrapped_licences(spark, folder):
     assert [r.license for r in got] == [wanted for wanted, _ in texts] and got[0].cue_lines == 1
 
 
+FILLER = "river stone cloud table green window paper music garden winter market silver bridge letter orange doctor forest engine"
+
+
+def prose(seed, count):
+    rng = np.random.default_rng(seed)
+    return " ".join(rng.choice(FILLER.split(), count))
+
+
+def test_every_family_and_what_only_looks_like_a_licence(spark, folder):
+    texts = [
+        ("apache", "Apache-2.0"), ("apache", "Licence: Apache License, Version 2.0"), ("mit", "This code is under the MIT licence.\nThe MIT License"),
+        ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
+        ("gpl", "Licence: GPL version 2 or later"), ("gpl", "SPDX-License-Identifier: GPL-3.0-or-later"), ("lgpl", "License: LGPL-2.1"),
+        ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted"), ("bsd", "BSD 3-Clause License"),
+        ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+        ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"), ("cc-by", "Licensed under CC BY 4.0"),
+        ("cc-by-sa", "Licensed under CC BY-SA 4.0"), ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+        ("public-domain", "This is free and unencumbered software released into the public domain"), ("proprietary", "All rights reserved."),
+        ("none", "we drove past the licensed copyright office"), ("none", "his driving license was in the glove box"),
+        ("none", "you need a fishing license in winter"), ("unknown", "Licensed under the Blorbo License, Version 2.0"),
+    ]
+    fill = [("none", prose(i, 60)) for i in range(80)]
+    docs = [(f, f"{prose(100 + i, 12)}\n{t}\n{prose(200 + i, 9)}") for i, (f, t) in enumerate(texts)] + fill
+    got = license_scan.scan(spark.createDataFrame(rows([t for _, t in docs]), SCHEMA), folder).orderBy("doc_id").collect()
+    wrong = [(texts[i] if i < len(texts) else "filler", r.license) for i, ((f, _), r) in enumerate(zip(docs, got)) if r.license != f]
+    assert not wrong
+
+
+@pytest.mark.parametrize("lines", [2, 5, 9, 17])
+def test_notices_wrapped_over_any_number_of_lines(spark, folder, lines):
+    """In the middle of a paragraph of 60 lines, as comments too."""
+    notice = "it under the terms of the GNU General Public License as published by the Free Software Foundation".split()
+    cut = [" ".join(part) for part in np.array_split(np.array(notice), lines)]
+    texts = ["\n".join(sign + line for line in [*(prose(i, 7) for i in range(30)), *cut, *(prose(i, 7) for i in range(30, 60))]) for sign in ("", "# ", " * ")]
+    fill = [prose(i, 60) for i in range(60)]
+    got = license_scan.scan(spark.createDataFrame(rows(texts + fill), SCHEMA), folder).orderBy("doc_id").collect()
+    assert [r.license for r in got] == ["gpl"] * 3 + ["none"] * 60
+
+
+def test_licence_scan_of_tables_without_cues(spark, odd, none, folder):
+    assert license_scan.scan(none, f"{folder}/none").collect() == []
+    got = license_scan.scan(odd, f"{folder}/odd")
+    assert got.count() == odd.count() and {(r.license, r.probability, r.cue_lines) for r in got.collect()} == {("none", 0.0, 0)}
+
+
 def test_boosting_and_calibration():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 4))
