@@ -560,6 +560,36 @@ def test_search_stops_early_and_is_exact():
     assert read < 2 * 3000 * 8 / 3
 
 
+@pytest.mark.parametrize("sizes", [(32_768, 8_192, 2_048), (40, 3, 16)])
+def test_search_over_many_tiles_equals_brute_force(spark, monkeypatch, sizes):
+    """Blocks of candidates and of queries, and tiles within them; ties and repeated rows."""
+    monkeypatch.setattr(topk, "TILE", sizes[2])
+    rng = np.random.default_rng(6)
+    ints = rng.integers(-3, 4, (300, 6))
+    ints[100:140] = ints[0]
+    table = [(int(i), [int(x) for x in row]) for i, row in enumerate(ints)] + [(7, [int(x) for x in ints[7]])]
+    df = spark.createDataFrame(table, "vec_id long, ints array<long>")
+    got = topk.search(df, df.where("vec_id % 20 = 0"), candidates=sizes[0], asking=sizes[1])
+    wanted = []
+    for query in range(0, 300, 20):
+        scored = sorted((-int(np.dot(ints[query], row)), i) for i, row in table if i != query)[:5]
+        wanted += [(query, rank, i, -score) for rank, (score, i) in enumerate(scored, 1)]
+    assert sorted(map(tuple, got.collect())) == wanted
+
+
+def test_lists_are_read_to_a_depth_and_no_further(spark, sf_dir):
+    """The embeddings of the table: bounds hold at every depth, and some entries are never read."""
+    rows = queries.table(spark, sf_dir, "embeddings").where(topk.usable()).select("vec_id", topk.integers().alias("ints")).toPandas()
+    ids, vectors = rows["vec_id"].to_numpy(), np.array(rows["ints"].tolist(), dtype=float)
+    lists, read = topk.Lists(ids, vectors), 0
+    for place in range(0, len(ids), 50):
+        found, entries = lists.best(ids[place], vectors[place], 5)
+        read += entries
+        scores = np.where(ids == ids[place], -np.inf, vectors @ vectors[place])
+        assert set(np.lexsort((ids, -scores))[:5]) <= set(found) and (scores[found] >= np.sort(scores)[-5]).all()
+    assert 0 < read < len(range(0, len(ids), 50)) * vectors.size
+
+
 def test_pipeline_stages(spark, sf_dir, folder, monkeypatch):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("kept", F.lit(1))
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]

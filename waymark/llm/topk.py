@@ -1,13 +1,16 @@
 """Exact top-k search by inner product, as threshold aggregation without random access (Fagin et al. 2003).
 
-Vectors become integers, floor(scale * x). Candidates lie in blocks of bounded size, and a block has one list per
-dimension, sorted by value. For a query the lists are read from the end that its sign prefers, step by step and all to
-the same depth. What was read gives a lower and an upper bound of every candidate's score: unread components count as
-the list's last value or as the value at the depth reached. A query stops when the candidates that can still be among
-its k best are few; these get their final scores. The k best of all blocks are merged.
-
-Every block of queries meets every block of candidates in a task of its own, so no task holds more than two blocks.
-Bounds are exact: integers in double precision, or Python's integers where sums could pass 2**53.
+Vectors become integers, floor(scale * x). Candidates lie in tiles of bounded size, and a tile has one list per
+dimension, sorted by value. A query reads each list from the end that the sign of its component prefers, all to the same
+depth, a step of entries at a time; lists of components that are zero are not read. Counted from a list's far end, no
+entry lowers a score. So the entries read of a candidate add up to its lower bound, and with the values at the depths
+reached for the lists that have not shown it yet, to its upper bound. Reading stops when no candidate outside the k with
+the greatest lower bounds can reach the least of these; their final scores are then resolved. Candidates whose lower bound
+plus all values at the depths does not reach it need no upper bound of their own. The k best of all tiles are merged.
+
+Every block of queries meets every block of candidates in a task of its own, which cuts it into tiles. Blocks are large, so
+a candidate travels once per `QUERIES` queries. Bounds are exact: integers in double precision, or Python's integers
+where sums could pass 2**53.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without id. A query's own
 row is every row with its id. Of several rows under one query id the smallest vector asks. Shorter vectors count as
@@ -23,8 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of candidates and of queries; depths of the lists after which bounds are compared.
-CANDIDATES, QUERIES, DEPTHS = 2048, 1024, (0.3, 0.55, 0.75, 0.9)
+#: Rows of a block of candidates and of queries, rows of a tile, and the parts in which its lists are read.
+CANDIDATES, QUERIES, TILE, STEPS = 32_768, 8_192, 2_048, 16
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -44,45 +47,56 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
     return out
 
 
+class Lists:
+    """The candidates of a tile, sorted by each dimension."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        self.ids, self.vectors = ids, vectors
+        self.count, self.width = vectors.shape
+        self.order = np.argsort(vectors, axis=0, kind="stable")  # [place, dimension] -> row
+        self.values = np.take_along_axis(vectors, self.order, axis=0)
+
+    def best(self, query_id: int, query: np.ndarray, k: int, steps: int = STEPS) -> tuple[np.ndarray, int]:
+        """Rows that hold the k best candidates but for the query's own row, and how many list entries were read."""
+        count, others = self.count, self.ids != query_id
+        used = np.flatnonzero(query)
+        if others.sum() <= k or not len(used):
+            return np.flatnonzero(others), 0
+        down = query[used] > 0  # read from the greatest value
+        far = np.where(down, self.values[0, used], self.values[-1, used])
+        lower, shown = np.zeros(count), np.zeros((count, len(used)), dtype=bool)
+        flat, column = shown.reshape(-1), np.arange(len(used))
+        at, read = 0, 0
+        while at < count:
+            to = min(count, at + max(1, -(-count // steps)))
+            places = np.where(down, count - 1 - np.arange(at, to)[:, None], np.arange(at, to)[:, None])
+            rows, values = self.order[places, used], self.values[places, used]
+            lower += np.bincount(rows.ravel(), weights=(query[used] * (values - far)).ravel(), minlength=count)
+            flat[(rows * len(used) + column).ravel()] = True
+            read += rows.size
+            at = to
+            reached = query[used] * (values[-1] - far)  # no entry that is still unread is worth more
+            known = np.where(others, lower, -1.0)
+            least = np.partition(known, count - k)[count - k]
+            able = np.flatnonzero(others & (lower + reached.sum() >= least))
+            upper = lower[able] + (~shown[able]) @ reached
+            able = able[upper >= least]
+            if len(able) <= k:  # only the k with the greatest lower bounds are left
+                return able, read
+        return able, read
+
+
 def search_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, depths=DEPTHS
+    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, steps: int = STEPS
 ) -> tuple[list[tuple[int, int, int]], int]:
-    """The k best candidates of each query in this block, and how many list entries were read for them."""
-    count, width = vectors.shape
-    descending = np.argsort(-vectors, axis=0, kind="stable")
-    rank = np.empty_like(descending)
-    np.put_along_axis(rank, descending, np.arange(count)[:, None], axis=0)
-    in_order = np.take_along_axis(vectors, descending, axis=0)
-    top, bottom = in_order[0], in_order[-1]
-    rising, falling = np.maximum(queries, 0), np.minimum(queries, 0)
-    own = ids[:, None] == query_ids[None, :]
-    live, survivors, read = np.arange(len(queries)), [None] * len(queries), 0
-    for depth in (*depths, 1.0) if count > 4 * k else (1.0,):
-        rows = min(count, max(k, int(np.ceil(depth * count))))
-        read = 2 * rows * width
-        if rows == count:
-            for query in live:
-                survivors[query] = np.flatnonzero(~own[:, query])
-            break
-        high, low = rank < rows, rank >= count - rows
-        at_high, at_low = in_order[rows - 1], in_order[count - rows]
-        up, down = rising[live].T, falling[live].T
-        upper = np.where(high, vectors, at_high) @ up + np.where(low, vectors, at_low) @ down
-        lower = np.where(high, vectors, bottom) @ up + np.where(low, vectors, top) @ down
-        upper[own[:, live]] = lower[own[:, live]] = -np.inf
-        need = np.partition(lower, count - k, axis=0)[count - k]
-        able = upper >= need
-        few = (able.sum(axis=0) <= max(4 * k, count // 50)) & np.isfinite(need)
-        for column in np.flatnonzero(few):
-            survivors[live[column]] = np.flatnonzero(able[:, column])
-        live = live[~few]
-        if not len(live):
-            break
-    found = []
-    for query, rows in enumerate(survivors):
-        scores = vectors[rows] @ queries[query]
-        best = np.lexsort((ids[rows], -scores))[:k]
-        found += [(int(query_ids[query]), int(ids[rows[i]]), int(scores[i])) for i in best]
+    """The k best candidates of each query among these, and how many list entries were read for them."""
+    lists, found, read = Lists(ids, vectors), [], 0
+    for query_id, query in zip(query_ids, queries, strict=True):
+        rows, entries = lists.best(query_id, query, k, steps)
+        read += entries
+        scores = vectors[rows] @ query
+        chosen = np.lexsort((ids[rows], -scores))[:k]
+        found += [(int(query_id), int(ids[rows[i]]), int(scores[i])) for i in chosen]
     return found, read
 
 
@@ -107,21 +121,27 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, candidates: int =
         width = max(map(len, [*block["ints"], *asked["ints"]]))
         ids, query_ids = block["vec_id"].to_numpy(np.int64), asked["vec_id"].to_numpy(np.int64)
         left, right = _matrix(block["ints"], width), _matrix(asked["ints"], width)
-        if np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * width < 2**53:
-            found = search_block(ids, left, query_ids, right, k)[0] if width else [
-                (int(q), int(i), 0) for q in query_ids for i in sorted(ids[ids != q])[:k]
-            ]
+        if 2 * np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * width < 2**53:
+            found = []
+            for first in range(0, len(ids), TILE):
+                tile = slice(first, first + TILE)
+                found += search_block(ids[tile], left[tile], query_ids, right, k)[0]
         else:
             found = _exact_block(ids, block["ints"], query_ids, asked["ints"], k)
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
+        best = pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+        return best.groupby("query_id").head(k)
 
     queries = queries.groupBy("vec_id").agg(F.min("ints").alias("ints"))
-    blocks = max(1, -(-vectors.count() // candidates))
+    size, cores = vectors.count(), vectors.sparkSession.sparkContext.defaultParallelism
+    # a few blocks per core at least, so that all work, and no more rows in one than a task can hold
+    blocks = max(-(-size // candidates), min(4 * cores, -(-size // TILE)), 1)
     query_blocks = max(1, -(-queries.count() // asking))
     spread = F.pmod(F.xxhash64("vec_id", "ints"), F.lit(blocks))
     left = vectors.select("vec_id", "ints", spread.alias("block"), F.explode(_range(query_blocks)).alias("part"))
     part = F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks))
     right = queries.select("vec_id", "ints", F.explode(_range(blocks)).alias("block"), part.alias("part"))
+    # the fixed number of partitions keeps blocks in tasks of their own
+    left, right = (rows.repartition(blocks * query_blocks, "block", "part") for rows in (left, right))
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(run, FOUND)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
