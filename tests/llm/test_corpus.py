@@ -120,13 +120,27 @@ def test_token_files_come_back(spark, odd, none, folder):
 
 def test_hash_function_is_minimal_and_perfect():
     keys = np.unique(np.random.default_rng(1).integers(0, 2**63, 20_000).astype(np.uint64))
-    sizes, bits, slots, left = token_index.build_hash(keys)
+    sizes, bits, ranks, slots, left = token_index.build_hash(keys)
     assert sorted(slots) == list(range(len(keys)))
-    found = token_index.find_slots(keys, sizes, bits)
+    found = token_index.find_slots(keys, sizes, bits, ranks)
     inside = np.setdiff1d(np.arange(len(keys)), left)
     assert (found[inside] == slots[inside]).all()
 
 
+@pytest.mark.parametrize("count", [1, 3, 700, 20_000])
+def test_a_lookup_reads_one_stretch_a_level(count):
+    """With all other words and counts wiped out, a single key still finds its slot."""
+    keys = np.unique(np.random.default_rng(count).integers(0, 2**63, count).astype(np.uint64))
+    sizes, bits, ranks, slots, left = token_index.build_hash(keys)
+    for at in set(range(0, len(keys), max(1, len(keys) // 40))) - set(left.tolist()):
+        words, counts, first = np.zeros(len(bits) // 64, dtype="V64"), np.zeros(len(ranks) // 4, dtype="<u4"), 0
+        for level, size in enumerate(sizes):
+            own = first + int(token_index._mixed(keys[at : at + 1], level)[0] % np.uint64(size)) // token_index.RANKED
+            words[own], counts[own] = np.frombuffer(bits, "V64")[own], np.frombuffer(ranks, "<u4")[own]
+            first += size // token_index.RANKED
+        assert token_index.find_slots(keys[at : at + 1], sizes, words.tobytes(), counts.tobytes())[0] == slots[at]
+
+
 @pytest.mark.parametrize("count", [0, 1, 2, 3, 50, 30_000])
 def test_filters_hold_all_their_keys(count):
     rng = np.random.default_rng(count)

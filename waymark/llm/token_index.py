@@ -14,8 +14,9 @@ name of its own and renames each when it is whole, so a task that is run again r
 built per bucket of a hash of the key, of about `BUCKET` keys each, whatever the size of the corpus.
 
 The hash function is a cascade of bit arrays: a key takes the first level on which no other key has its place; its
-slot is the number of bits set before it. Keys left after the last level are listed one by one. A stored fingerprint
-of 32 bits tells absent keys from present ones.
+slot is the number of bits set before it. That number is stored for every `RANKED` bits, so a lookup reads one count and
+the words of one such stretch on each level it passes, two on average and at most `LEVELS`, whatever the number of keys.
+Keys left after the last level are listed one by one. A stored fingerprint of 32 bits tells absent keys from present ones.
 
 Cases: null text counts as empty and holds the end id alone; null doc_ids come first; long texts are encoded whole; no
 rows give an empty index; other columns are not read.
@@ -39,9 +40,11 @@ from waymark.llm.tokens import BYTES, encoder
 
 #: Keys of a bucket, bytes of a shard, levels of the hash function and bits per key on each.
 BUCKET, SHARD, LEVELS, SPARE = 1 << 16, 32 << 20, 24, 2.0
+#: Bits between two stored counts of set bits: eight words.
+RANKED = 512
 RECORDS = "doc_id long, copy long, shard long, offset long, n_tokens long"
 INDEX = (
-    "bucket long, buckets long, sizes array<long>, bits binary, left_ids array<long>, left_copies array<long>, left_slots array<long>, "
+    "bucket long, buckets long, sizes array<long>, bits binary, ranks binary, left_ids array<long>, left_copies array<long>, left_slots array<long>, "
     "fingerprints binary, shards binary, offsets binary, lengths binary"
 )
 
@@ -117,34 +120,42 @@ def fingerprints(keys: np.ndarray) -> np.ndarray:
     return (_mixed(keys, LEVELS + 1) >> np.uint64(32)).astype("<u4")
 
 
-def build_hash(keys: np.ndarray) -> tuple[list[int], bytes, np.ndarray, np.ndarray]:
-    """Level sizes and bits of the function, the slot of each key, and which keys it leaves over."""
-    slots, open_, sizes, bits, taken = np.full(len(keys), -1, np.int64), np.arange(len(keys)), [], [], 0
+def build_hash(keys: np.ndarray) -> tuple[list[int], bytes, bytes, np.ndarray, np.ndarray]:
+    """Level sizes, bits and counts of the function, the slot of each key, and which keys it leaves over."""
+    slots, open_, taken = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
+    sizes, bits, ranks = [], [], []
     for level in range(LEVELS):
         if not len(open_):
             break
-        size = max(64, int(SPARE * len(open_)) // 64 * 64)
+        size = max(1, int(SPARE * len(open_)) // RANKED) * RANKED
         place = (_mixed(keys[open_], level) % np.uint64(size)).astype(np.int64)
         alone = np.bincount(place, minlength=size) == 1
         settled = alone[place]
         slots[open_[settled]] = taken + (np.cumsum(alone) - 1)[place[settled]]
+        each = alone.reshape(-1, RANKED).sum(axis=1)
+        ranks.append((taken + np.cumsum(each) - each).astype("<u4"))
         taken += int(alone.sum())
         sizes.append(size)
-        bits.append(np.packbits(alone))
+        bits.append(np.packbits(alone, bitorder="little"))
         open_ = open_[~settled]
     slots[open_] = taken + np.arange(len(open_))
-    return sizes, b"".join(map(bytes, bits)), slots, open_
+    return sizes, b"".join(map(bytes, bits)), b"".join(map(bytes, ranks)), slots, open_
 
 
-def find_slots(keys: np.ndarray, sizes: list[int], bits: bytes) -> np.ndarray:
+def find_slots(keys: np.ndarray, sizes: list[int], bits: bytes, ranks: bytes) -> np.ndarray:
     """The slot of each key, -1 where every level is empty at its place."""
-    slots, open_, at, taken = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0, 0
+    words, counts = np.frombuffer(bits, "<u8").reshape(-1, RANKED // 64), np.frombuffer(ranks, "<u4")
+    slots, open_, first = np.full(len(keys), -1, np.int64), np.arange(len(keys)), 0
     for level, size in enumerate(sizes):
-        alone = np.unpackbits(np.frombuffer(bits, np.uint8, size // 8, at))
         place = (_mixed(keys[open_], level) % np.uint64(size)).astype(np.int64)
-        settled = alone[place] == 1
-        slots[open_[settled]] = taken + (np.cumsum(alone) - 1)[place[settled]]
-        taken, at, open_ = taken + int(alone.sum()), at + size // 8, open_[~settled]
+        stretch, word, bit = first + place // RANKED, place % RANKED // 64, (place % 64).astype(np.uint64)
+        own = words[stretch, word]
+        settled = (own >> bit) & np.uint64(1) == 1
+        stretch, word, bit, own = stretch[settled], word[settled], bit[settled], own[settled]
+        before = np.where(np.arange(words.shape[1]) < word[:, None], np.bitwise_count(words[stretch]), 0).sum(axis=1)
+        before += np.bitwise_count(own & ((np.uint64(1) << bit) - np.uint64(1)))
+        slots[open_[settled]] = counts[stretch] + before
+        first, open_ = first + size // RANKED, open_[~settled]
     return slots
 
 
@@ -157,12 +168,12 @@ def build_index(records: DataFrame, folder: str, bucket: int = BUCKET) -> DataFr
     """Write and return the index of these records."""
 
     def build(rows: pd.DataFrame) -> pd.DataFrame:
-        sizes, bits, slots, left = build_hash(rows["_hash"].to_numpy().astype(np.int64).view(np.uint64))
+        sizes, bits, ranks, slots, left = build_hash(rows["_hash"].to_numpy().astype(np.int64).view(np.uint64))
         by_slot = rows.iloc[np.argsort(slots)]
         marks = fingerprints(by_slot["_hash"].to_numpy().astype(np.int64).view(np.uint64))
         none = rows.iloc[left]
         entry = {
-            "bucket": int(rows["_bucket"].iloc[0]), "buckets": buckets, "sizes": sizes, "bits": bits, "left_slots": slots[left].tolist(),
+            "bucket": int(rows["_bucket"].iloc[0]), "buckets": buckets, "sizes": sizes, "bits": bits, "ranks": ranks, "left_slots": slots[left].tolist(),
             "left_ids": [None if pd.isna(x) else int(x) for x in none["doc_id"]], "left_copies": none["copy"].tolist(),
             "fingerprints": marks.tobytes(), "shards": by_slot["shard"].to_numpy().astype("<i8").tobytes(),
             "offsets": by_slot["offset"].to_numpy().astype("<i8").tobytes(),
@@ -183,7 +194,7 @@ def lookup(keys: DataFrame, index: DataFrame) -> DataFrame:
             return out.iloc[:0].assign(shard=0, offset=0, n_tokens=0)
         entry = found.iloc[0]
         hashes = rows["_hash"].to_numpy().astype(np.int64).view(np.uint64)
-        slots = find_slots(hashes, list(entry["sizes"]), entry["bits"])
+        slots = find_slots(hashes, list(entry["sizes"]), entry["bits"], entry["ranks"])
         ids = [None if pd.isna(x) else int(x) for x in entry["left_ids"]]
         left = dict(zip(zip(ids, entry["left_copies"], strict=True), entry["left_slots"], strict=True))
         if left:
