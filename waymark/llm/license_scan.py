@@ -24,8 +24,6 @@ text has a cue. Other columns are not read.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -235,38 +233,30 @@ def training_rows(names: DataFrame) -> DataFrame:
 
     `names` are `corpus_words`, as a stored table.
     """
-    spark = names.sparkSession
-    known = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, line string")
-    known = known.withColumn("parts", F.split("line", " "))
+    fixed = [(f, t) for f, texts in TEMPLATES.items() for t in texts] + [(NONE, form.replace("{} ", "")) for form in EVERYDAY]
+    fixed = names.sparkSession.createDataFrame(fixed, "family string, line string").withColumn("parts", F.split("line", " "))
     place = F.explode(F.sequence(F.lit(1), F.size("parts")))
-    shorter = known.where(F.size("parts") >= SHORT).withColumn("at", place).select(
+    shorter = fixed.where((F.col("family") != NONE) & (F.size("parts") >= SHORT)).withColumn("at", place).select(
         "family", F.array_join(F.filter("parts", lambda _, i: i + 1 != F.col("at")), " ").alias("line")
     )
-    eight = F.broadcast(names.orderBy("h").limit(8))
-
-    def among(rows: DataFrame) -> DataFrame:  # fixed sizes: statements times eight
-        line = F.concat_ws(" ", F.array_join(F.slice("w", 1, 2), " "), "line", F.element_at("w", 3))
-        return rows.crossJoin(eight).select("family", line.alias("line"))
-
-    def filled(forms: tuple[str, ...], family: str) -> DataFrame:
-        rows = names.withColumn("form", F.explode(F.array(*[F.lit(form) for form in forms])))
-        name = F.initcap(F.element_at("w", F.pmod(F.xxhash64("form", "h"), F.lit(3)).cast("int") + 1))
-        return rows.select(F.lit(family).alias("family"), F.regexp_replace("form", r"\{\}", name).alias("line"))
-
-    everyday = filled(EVERYDAY, NONE)
-    plain = spark.createDataFrame([(NONE, form.replace("{} ", "")) for form in EVERYDAY], "family string, line string")
-    known = known.select("family", "line")
-    made = [shorter, among(known), among(plain), plain, everyday, filled(FORMS, UNKNOWN)]
-    return reduce(DataFrame.unionByName, made, known)
+    around = fixed.crossJoin(F.broadcast(names.orderBy("h").limit(8)))  # fixed sizes: statements times eight
+    longer = around.select("family", F.concat_ws(" ", F.array_join(F.slice("w", 1, 2), " "), "line", F.element_at("w", 3)).alias("line"))
+    forms = [(UNKNOWN, form) for form in FORMS] + [(NONE, form) for form in EVERYDAY]
+    forms = F.array(*[F.struct(F.lit(family).alias("family"), F.lit(form).alias("form")) for family, form in forms])
+    name = F.initcap(F.element_at("w", F.pmod(F.xxhash64("form", "h"), F.lit(3)).cast("int") + 1))
+    filled = names.select("w", "h", F.inline(forms)).select("family", F.regexp_replace("form", r"\{\}", name).alias("line"))
+    return fixed.select("family", "line").unionByName(shorter).unionByName(longer).unionByName(filled)
 
 
 def train(rows: DataFrame) -> tuple[LogisticRegressionModel, float]:
     """The classifier and the least probability that it accepts."""
     label = (F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1).cast("double")
     held = F.pmod(F.xxhash64("line"), F.lit(4)) == 0
-    rows = grams(rows, "line").withColumn("label", label).withColumn("held", held).coalesce(4).persist()
+    rows = grams(rows, "line").withColumn("label", label).withColumn("held", held)
+    # about ten thousand short rows: one partition sends the driver one gradient an iteration
+    rows = rows.coalesce(1).persist()
     counts = rows.where("NOT held").groupBy("family").count()
-    counts = F.broadcast(counts)  # one row per family; each iteration then keeps the few partitions of the rows
+    counts = F.broadcast(counts)  # one row per family; each iteration then keeps the partition of the rows
     weighted = rows.where("NOT held").join(counts, "family").withColumn("share", 100 / F.col("count"))
     fit = LogisticRegression(maxIter=80, regParam=0.003, elasticNetParam=0.3, weightCol="share").fit(weighted)
     best = F.array_max(vector_to_array("probability"))
@@ -316,7 +306,7 @@ def scan(docs: DataFrame, folder: str) -> DataFrame:
         none = [F.lit(NONE).alias("license"), F.lit(0.0).alias("probability"), F.array().cast("array<string>").alias("families")]
         return docs.select("doc_id", *none, F.lit(0).cast("long").alias("cue_lines"))
     names = stage(corpus_words(docs), folder, "names")
-    model, least = train(training_rows(names))
+    model, least = train(stage(training_rows(names), folder, "training"))
     found = classify(lines, model, least)
     named = ~F.col("family").isin(UNKNOWN, NONE)
     known = F.when(named, F.struct((-F.col("probability")).alias("p"), "family"))
