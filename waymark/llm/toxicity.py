@@ -48,7 +48,9 @@ SECOND = frozenset(
 SIGNS = str.maketrans("013457@$!", "oieastasi")
 _WORD = re.compile(r"[^\W\d_]+")
 _MIXED = re.compile(r"[^\W\d_]+(?:[013457@$!*.\-]+[^\W\d_]+)+")
-_CAPITAL, _CAPITALS = re.compile(f"[{CAPITALS}]+"), re.compile(f"[{CAPITALS}]{{2,}}")
+#: Where a mixed word may go on after a letter; it begins with few characters, so a text is searched fast.
+_INSIDE = re.compile(r"[013457@$!*.\-]+(?=[^\W\d_])")
+_CAPITAL = re.compile(f"[{CAPITALS}]+")
 NAMES = (
     "weight_density weight_most weight_sum hits hit_density distinct near_second near_density second_density "
     "capital_rate shouted exclaimed questioned symbol_rate digit_rate punctuation_rate obfuscated obfuscated_hits "
@@ -71,31 +73,60 @@ class Lexicon(dict):
         return weight
 
 
+def mixed_words(low: str) -> list[str]:
+    """Words of letters with digits or signs between them. Only the pieces between white space that may hold one are searched."""
+    found, done = [], 0
+    for hit in _INSIDE.finditer(low):
+        start, stop = hit.span()
+        if start < done or not start or not low[start - 1].isalpha():
+            continue
+        while start > done and not low[start - 1].isspace():
+            start -= 1
+        while stop < len(low) and not low[stop].isspace():
+            stop += 1
+        found += _MIXED.findall(low, start, stop)
+        done = stop
+    return found
+
+
+def capitals(text: str, low: str) -> tuple[int, int]:
+    """How many capitals a text has, and how many runs of two or more of them."""
+    if len(text) != len(low):  # a few capitals have a longer small form
+        runs = [len(run) for run in _CAPITAL.findall(text)]
+        return sum(runs), sum(size > 1 for size in runs)
+    one, two = (np.frombuffer(x.encode("utf-32-le", "surrogatepass"), "<u4") for x in (text, low))
+    big = one != two
+    if not big.any():
+        return 0, 0
+    inner = big[1:] & big[:-1]  # a run of n has n - 1 of these, side by side
+    return int(big.sum()), int(inner[:1].sum() + (inner[1:] & ~inner[:-1]).sum())
+
+
 def features(text: str, lexicon: Lexicon) -> list[float]:
     low, size = text.lower(), max(1, len(text))
     words = _WORD.findall(low)
     count = max(1, len(words))
     weights = np.fromiter(map(lexicon.__getitem__, words), float, len(words))
     hits = np.flatnonzero(weights)
-    second = np.array([i for i, word in enumerate(words) if word in SECOND], np.int64)
+    second = np.flatnonzero(np.fromiter(map(SECOND.__contains__, words), bool, len(words)))
     near = 0
     if len(hits) and len(second):
         at = np.searchsorted(second, hits)
         after = np.abs(second[np.minimum(at, len(second) - 1)] - hits)
         before = np.abs(second[np.maximum(at - 1, 0)] - hits)
         near = int((np.minimum(after, before) <= NEAR).sum())
-    joined = [word for word in _MIXED.findall(low) if not word.replace(".", "").replace("-", "").isalpha() or word.count(".") > 1]
+    joined = [word for word in mixed_words(low) if not word.replace(".", "").replace("-", "").isalpha() or word.count(".") > 1]
     plain = [re.sub(r"[*.\-]", "", word).translate(SIGNS) for word in joined]
     hidden = sum(lexicon[word] > 0 for word in plain)
     letters = max(1, sum(map(len, words)))
-    upper = sum(map(len, _CAPITAL.findall(text)))
+    upper, shouted = capitals(text, low)
     signs = Counter({sign: text.count(sign) for sign in ".,!?#$%&*|"})
     symbols = sum(signs[sign] for sign in "#$%&*|")
     total = float(weights.sum())
     return [
         total / count, float(weights.max(initial=0)), total, len(hits), len(hits) / count,
         len({words[i] for i in hits}), near, near / count, len(second) / count,
-        upper / letters, len(_CAPITALS.findall(text)) / count, signs["!"] / count, signs["?"] / count, symbols / size,
+        upper / letters, shouted / count, signs["!"] / count, signs["?"] / count, symbols / size,
         sum(map(low.count, "0123456789")) / size, (signs["."] + signs[","]) / count, len(joined), hidden,
         len(joined) / count, np.log1p(len(words)), letters / count, np.log1p(text.count("\n")),
     ]
