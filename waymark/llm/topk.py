@@ -2,7 +2,7 @@
 
 Vectors become integers, floor(scale * x). Candidates lie in tiles of bounded size, and a tile has one list per
 dimension, sorted by value. A query reads each list from the end that the sign of its component prefers, all to the same
-depth, a step of entries at a time; lists of components that are zero are not read. Counted from a list's far end, no
+depth, some entries at a time; lists of components that are zero are not read. Counted from a list's far end, no
 entry lowers a score. So the entries read of a candidate add up to its lower bound, and with the values at the depths
 reached for the lists that have not shown it yet, to its upper bound. Reading stops when no candidate outside the k with
 the greatest lower bounds can reach the least of these; their final scores are then resolved. Candidates whose lower bound
@@ -26,8 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Rows of a block of candidates and of queries, rows of a tile, and the parts in which its lists are read.
-CANDIDATES, QUERIES, TILE, STEPS = 32_768, 8_192, 2_048, 16
+#: Rows of a block of candidates and of queries, rows of a tile; the parts of its lists after which bounds are compared.
+CANDIDATES, QUERIES, TILE = 32_768, 8_192, 4_096
+DEPTHS = (1 / 64, 1 / 16, 1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16, 1.0)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -48,51 +49,55 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 
 class Lists:
-    """The candidates of a tile, sorted by each dimension."""
+    """The candidates of a tile, sorted by each dimension, from both ends."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
         self.ids, self.vectors = ids, vectors
         self.count, self.width = vectors.shape
-        self.order = np.argsort(vectors, axis=0, kind="stable")  # [place, dimension] -> row
-        self.values = np.take_along_axis(vectors, self.order, axis=0)
-
-    def best(self, query_id: int, query: np.ndarray, k: int, steps: int = STEPS) -> tuple[np.ndarray, int]:
+        rising = np.argsort(vectors.T, axis=1, kind="stable")  # [dimension, place] -> row
+        place = np.empty_like(rising)
+        np.put_along_axis(place, rising, np.broadcast_to(np.arange(self.count), rising.shape), axis=1)
+        values = np.take_along_axis(vectors.T, rising, axis=1)
+        #: Lists 0 to width - 1 begin with the least value, the others with the greatest.
+        self.rows = np.concatenate([rising, rising[:, ::-1]])
+        self.values = np.concatenate([values, values[:, ::-1]])
+        self.places = np.concatenate([place, self.count - 1 - place])
+
+    def best(self, query_id: int, query: np.ndarray, k: int, depths: tuple = DEPTHS) -> tuple[np.ndarray, int]:
         """Rows that hold the k best candidates but for the query's own row, and how many list entries were read."""
         count, others = self.count, self.ids != query_id
         used = np.flatnonzero(query)
         if others.sum() <= k or not len(used):
             return np.flatnonzero(others), 0
-        down = query[used] > 0  # read from the greatest value
-        far = np.where(down, self.values[0, used], self.values[-1, used])
-        lower, shown = np.zeros(count), np.zeros((count, len(used)), dtype=bool)
-        flat, column = shown.reshape(-1), np.arange(len(used))
-        at, read = 0, 0
-        while at < count:
-            to = min(count, at + max(1, -(-count // steps)))
-            places = np.where(down, count - 1 - np.arange(at, to)[:, None], np.arange(at, to)[:, None])
-            rows, values = self.order[places, used], self.values[places, used]
-            lower += np.bincount(rows.ravel(), weights=(query[used] * (values - far)).ravel(), minlength=count)
-            flat[(rows * len(used) + column).ravel()] = True
-            read += rows.size
+        weight = query[used, None]
+        lists = used + np.where(query[used] > 0, self.width, 0)
+        far = self.values[lists, -1][:, None]
+        lower, at, able = np.zeros(count), 0, np.flatnonzero(others)
+        for depth in depths:
+            to = min(count, max(at + 1, int(np.ceil(depth * count))))
+            gains = (self.values[lists, at:to] - far) * weight
+            lower += np.bincount(self.rows[lists, at:to].ravel(), weights=gains.ravel(), minlength=count)
             at = to
-            reached = query[used] * (values[-1] - far)  # no entry that is still unread is worth more
-            known = np.where(others, lower, -1.0)
-            least = np.partition(known, count - k)[count - k]
+            reached = gains[:, -1]  # no entry that is still unread is worth more
+            least = np.partition(lower[others], -k)[-k]
             able = np.flatnonzero(others & (lower + reached.sum() >= least))
-            upper = lower[able] + (~shown[able]) @ reached
-            able = able[upper >= least]
-            if len(able) <= k:  # only the k with the greatest lower bounds are left
-                return able, read
-        return able, read
+            if len(able) <= count // 4:  # few enough to give each a bound of its own
+                unread = self.places[lists][:, able] >= at
+                able = able[lower[able] + reached @ unread >= least]
+                if len(able) <= k:  # only the k with the greatest lower bounds are left
+                    break
+            if at == count:
+                break
+        return able, at * len(used)
 
 
 def search_block(
-    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, steps: int = STEPS
+    ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, depths: tuple = DEPTHS
 ) -> tuple[list[tuple[int, int, int]], int]:
     """The k best candidates of each query among these, and how many list entries were read for them."""
     lists, found, read = Lists(ids, vectors), [], 0
     for query_id, query in zip(query_ids, queries, strict=True):
-        rows, entries = lists.best(query_id, query, k, steps)
+        rows, entries = lists.best(query_id, query, k, depths)
         read += entries
         scores = vectors[rows] @ query
         chosen = np.lexsort((ids[rows], -scores))[:k]
