@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from waymark.operators.components import connected_components
 from waymark.operators.quantiles import exact_quantile
 from waymark.operators.ranking import newest_rows, top_k, top_k_early, with_previous
-from waymark.operators.spatial import nearest_zone
+from waymark.operators.spatial import cell_zones, nearest_zone
 
 SLOW = settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
 
@@ -203,3 +203,30 @@ def test_nearest_zone_keeps_every_point(spark, per_row):
         far = [(round(metres(row["latitude"], row["longitude"], z[3], z[4]), 3), z[1]) for z in mine]
         assert row["nearest_cluster_id"] == min(far)[1]
         assert abs(row["min_distance"] - min(far)[0]) <= 0.06
+
+
+def test_zone_lists_do_not_grow_with_the_zones_around(spark):
+    """Thousands of zones in one 0.02 degree cell, many in one place: short lists, and the same zones as all pairs give."""
+    rng = np.random.default_rng(8)
+    lat, lng = rng.uniform(0.0, 0.02, 3000), rng.uniform(0.0, 0.02, 3000)
+    lat[:500], lng[:500] = 0.012 + rng.uniform(0.0, 1e-3, 500), 0.012 + rng.uniform(0.0, 1e-3, 500)
+    lat[2000:], lng[2000:] = 0.005, 0.005  # one place
+    ids = rng.permutation(3000)
+    at_lat = np.r_[rng.uniform(-0.01, 0.03, 800), 0.012 + rng.uniform(0.0, 1e-3, 800), 60.0]
+    at_lng = np.r_[rng.uniform(-0.01, 0.03, 800), 0.012 + rng.uniform(0.0, 1e-3, 800), 20.0]
+    zones = pd.DataFrame({"device_id": 1, "cluster_id": ids, "label": "z", "centroid_lat": lat, "centroid_lng": lng})
+    points = pd.DataFrame({"id": np.arange(len(at_lat)), "device_id": 1, "latitude": at_lat, "longitude": at_lng})
+    zones, points = spark.createDataFrame(zones), spark.createDataFrame(points)
+
+    listed = cell_zones(points, zones)
+    cells = listed[0] if isinstance(listed, tuple) else listed
+    assert cells.agg(F.max(F.size("zones"))).first()[0] <= 32
+    assert cells.groupBy([c for c in cells.columns if c != "zones"]).count().where("count > 1").isEmpty()
+
+    got = nearest_zone(points, zones).orderBy("id").toPandas()
+    a, b, c, d = (np.radians(v) for v in (at_lat[:, None], at_lng[:, None], lat[None], lng[None]))
+    metres = 2 * 6_371_000.0 * np.arcsin(np.sqrt(np.sin((c - a) / 2) ** 2 + np.cos(a) * np.cos(c) * np.sin((d - b) / 2) ** 2))
+    nearest = metres.min(axis=1)
+    assert np.abs(got["min_distance"] - nearest).max() <= 0.06
+    wanted = np.where(metres <= nearest[:, None] + 1e-6, ids[None], 10**9).min(axis=1)
+    assert (got["nearest_cluster_id"].to_numpy() == wanted).all()

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,10 @@ CELLS_PER_AXIS = 4
 CELL = ["_level", "_row", "_col"]
 #: The cell of rows without a place.
 NO_CELL = -(2**62)
+#: Levels of the cells that list zones; a cell is cut into 2**bits x 2**bits of the next level.
+ZONE_LEVELS, ZONE_BITS = 6, 3
+#: The coarsest of these levels on which a place is looked up: that of `ZONE_CELL_DEGREES`.
+PLACED = 2
 
 
 def _index(value: Column, side: float | Column) -> Column:
@@ -276,13 +281,18 @@ def _unit_vector(lat: Column, lon: Column) -> tuple[Column, Column, Column]:
 
 
 def zone_arrays(zones: DataFrame, per_row: int = S.ZONES_PER_ROW) -> DataFrame:
-    """Located zones per device in arrays of at most `per_row`, by id: (device_id, zone_block, zones)."""
-    ranked = Window.partitionBy("device_id").orderBy("cluster_id")
+    """Places of zones per device in arrays of at most `per_row`: (device_id, zone_block, zones).
+
+    Of zones in the very same place only the lowest id can be nearest, so a place is listed once.
+    """
     known = zones.where(F.col("centroid_lat").isNotNull() & F.col("centroid_lng").isNotNull())
+    lowest = known.groupBy("device_id", "centroid_lat", "centroid_lng").agg(F.min(F.struct("cluster_id", "label")).alias("_zone"))
+    distinct = lowest.select("device_id", "_zone.*", "centroid_lat", "centroid_lng")
+    ranked = Window.partitionBy("device_id").orderBy("cluster_id")
     x, y, z = _unit_vector(F.col("centroid_lat"), F.col("centroid_lng"))
     zone = F.struct("cluster_id", "label", "centroid_lat", "centroid_lng", x.alias("x"), y.alias("y"), z.alias("z"))
     return (
-        known.withColumn("zone_block", F.floor((F.row_number().over(ranked) - 1) / F.lit(per_row)))
+        distinct.withColumn("zone_block", F.floor((F.row_number().over(ranked) - 1) / F.lit(per_row)))
         .groupBy("device_id", "zone_block")
         .agg(F.array_sort(F.collect_list(zone)).alias("zones"))
     )
@@ -316,11 +326,17 @@ def with_nearest(df: DataFrame, alias: str) -> DataFrame:
     return found.withColumn(alias, F.when(known, near)).drop("_x", "_y", "_z", "_chords", "_winner", "zones")
 
 
-def _zone_cell(df: DataFrame) -> DataFrame:
+def _zone_side(level: int) -> float:
+    """Degrees. Sides differ by powers of two, so a cell's children are just those with its index in their upper bits."""
+    return S.ZONE_CELL_DEGREES * 2.0 ** (ZONE_BITS * (PLACED - level))
+
+
+def _zone_cell(df: DataFrame, level: int | Column = PLACED) -> DataFrame:
     """Add the grid cell (`_row`, `_col`) of each place; all rows without a place share one cell of their own."""
+    side = F.lit(_zone_side(level)) if isinstance(level, int) else F.get(F.array(*[F.lit(_zone_side(i)) for i in range(ZONE_LEVELS)]), level)
 
     def index(degrees: Column) -> Column:
-        return F.floor(degrees / F.lit(S.ZONE_CELL_DEGREES)).cast("bigint")
+        return F.floor(degrees / side).cast("bigint")
 
     lat, lon = F.col("latitude"), F.col("longitude")
     usable = (F.abs(lat) < 1e9) & (F.abs(lon) < 1e9)
@@ -330,46 +346,114 @@ def _zone_cell(df: DataFrame) -> DataFrame:
     )
 
 
-def cell_zones(places: DataFrame, zones: DataFrame, per_row: int = S.ZONES_PER_ROW) -> DataFrame:
-    """Per device and occupied cell, the zones that are nearest to some place in the cell: (..., zones).
+def _raised(levels: int) -> list[Column]:
+    """The cell that holds a cell, so many levels up."""
+    return [F.shiftright(name, ZONE_BITS * levels).alias(name) for name in ("_row", "_col")]
 
-    A place lies within one cell side (as an angle) of the centre of its cell. So the nearest zone of any place
-    there is at most two sides farther from the centre than the zone nearest to the centre; all others are
-    left out. Cells, not places, meet all zones of their device, in arrays of at most `per_row`.
-    """
-    cells = _zone_cell(places).select("device_id", "_row", "_col").distinct()
-    side = F.lit(S.ZONE_CELL_DEGREES)
+
+def _square(a: Column, b: Column) -> Column:
+    dx, dy, dz = a.x - b.x, a.y - b.y, a.z - b.z
+    return dx * dx + dy * dy + dz * dz
+
+
+def _measured(cells: DataFrame, level: int) -> DataFrame:
+    """Add `_measured`: the `zones` of a cell with their squared chord to its centre."""
+    side = F.lit(_zone_side(level))
     x, y, z = _unit_vector((F.col("_row") + 0.5) * side, (F.col("_col") + 0.5) * side)
+    centred = cells.withColumn("_centre", F.struct(x.alias("x"), y.alias("y"), z.alias("z")))
+    chords = F.transform("zones", lambda zone: F.struct(_square(zone, F.col("_centre")).alias("chord"), zone.alias("zone")))
+    return centred.withColumn("_measured", chords)
 
-    def angle(zone: Column) -> Column:
-        dx, dy, dz = zone.x - F.col("_x"), zone.y - F.col("_y"), zone.z - F.col("_z")
-        return 2.0 * F.asin(F.least(F.lit(1.0), F.sqrt(dx * dx + dy * dy + dz * dz) / 2.0))
-
-    # a little more than two sides, for rounding
-    margin = F.lit(2.0 * math.radians(S.ZONE_CELL_DEGREES) + 1e-7)
-    nowhere = F.col("_row") == F.lit(NO_CELL)
-    measured = F.transform("zones", lambda zone: F.struct(angle(zone).alias("angle"), zone.alias("zone")))
-    met = (
-        cells.join(zone_arrays(zones, per_row), "device_id")
-        .withColumns({"_x": x, "_y": y, "_z": z})
-        .withColumn("_measured", measured)
-        .withColumn("_least", F.array_min(F.transform("_measured", lambda m: m.angle)))
-    )
-    close = F.filter("_measured", lambda m: m.angle <= F.col("_least") + margin)
-    # without a place, only the zone of the lowest id is wanted
-    kept = F.when(nowhere, F.slice("_measured", 1, 1)).otherwise(close)
-    merged = (
-        met.select("device_id", "_row", "_col", "_least", kept.alias("_kept"))
-        .groupBy("device_id", "_row", "_col")
-        .agg(F.min("_least").alias("_least"), F.flatten(F.collect_list("_kept")).alias("_kept"))
+
+def _unbeaten(measured: str, best: str, level: int) -> Column:
+    """Of measured zones those that may be nearer to some place of the cell than its `best` zone.
+
+    A place p is less than `reach` from the centre c, and for zones w and z, |p-z|^2 - |p-w|^2 differs from its value at c
+    by at most 2 |p-c| |z-w|. So z is beaten by w in the whole cell if it is behind by more than that at the centre.
+    """
+    # half a diagonal, and a little more for rounding
+    reach = math.radians(_zone_side(level)) * 0.7072 + 5e-8
+    w = F.col(best)
+
+    def stays(m: Column) -> Column:
+        behind = m.chord - w.chord
+        beaten = (behind > 2.0 * reach * F.sqrt(_square(m.zone, w.zone)) + 1e-14) | (F.isnan(m.chord) & ~F.isnan(w.chord))
+        return ~beaten
+
+    return F.transform(F.filter(measured, stays), lambda m: m.zone)
+
+
+def _shortened(met: DataFrame, level: int, per_row: int, most: int) -> DataFrame:
+    """Cells (`_row`, `_col`) with the blocks of zones they met, cut to the unbeaten ones: (..., zone_block, _split, zones).
+
+    Lists of at most `most` zones become one block; on the last level, all do. The others are marked `_split`.
+    """
+    own = ["device_id", "_row", "_col"]
+    cell = Window.partitionBy(*own)
+    nearest = F.min(F.array_min("_measured")).over(cell)
+    kept = (
+        _measured(met, level)
+        .withColumn("_best", nearest)
+        .select(*own, "zone_block", _unbeaten("_measured", "_best", level).alias("zones"))
+        .where(F.size("zones") > 0)
     )
-    wanted = F.filter("_kept", lambda m: nowhere | (m.angle <= F.col("_least") + margin))
-    ordered = F.array_sort(F.transform(wanted, lambda m: m.zone))
-    return merged.select(
-        "device_id", "_row", "_col", F.when(nowhere, F.slice(ordered, 1, 1)).otherwise(ordered).alias("zones")
+    before = F.sum(F.size("zones")).over(cell.orderBy("zone_block")) - F.size("zones")
+    split = F.lit(False) if level == ZONE_LEVELS - 1 else F.sum(F.size("zones")).over(cell) > most
+    counted = kept.withColumns({"_before": before, "_split": split})
+    block = F.when(F.col("_split"), F.floor(F.col("_before") / F.lit(per_row))).otherwise(F.lit(0).cast("bigint"))
+    return (
+        counted.groupBy(*own, "_split", block.alias("zone_block")).agg(F.flatten(F.collect_list("zones")).alias("zones"))
     )
 
 
+def cell_zones(
+    places: DataFrame, zones: DataFrame, per_row: int = S.ZONES_PER_ROW, most: int = S.ZONES_PER_CELL
+) -> tuple[DataFrame, dict[int, DataFrame]]:
+    """Cells that cover the places of a device, with the zones that are nearest to some place in them, and the cells split.
+
+    The first table is (device_id, _level, _row, _col, zones); the others are the split cells of each level, from `PLACED`
+    on: a place is listed under the cell of the first level that is not split there. Cells go from coarse to fine, and a
+    cell meets only the zones that its parent could not rule out, in arrays of at most about `per_row`. Only cells that still
+    list more than `most` zones are cut, and only children that hold places count. So the work grows with the zones and
+    the cells, not with their product, and the list a place is compared with does not grow with the zones around it.
+    Zones within centimetres of each other share the last cell.
+    """
+    own = ["device_id", "_row", "_col"]
+    blocks = tabled(zone_arrays(zones, per_row))
+    cells = tabled(_zone_cell(places).where(F.col("_row") != F.lit(NO_CELL)).select(*own).distinct())
+    # without a place, only the zone of the lowest id is wanted
+    first = F.array(F.min(F.get("zones", F.lit(0)))).alias("zones")
+    nowhere = [F.lit(NO_CELL).cast("bigint").alias(name) for name in ("_row", "_col")]
+    listed = [blocks.groupBy("device_id").agg(first).select("device_id", F.lit(PLACED).alias("_level"), *nowhere, "zones")]
+    split, parents, up = {}, blocks, ["device_id"]
+    for level in range(ZONE_LEVELS):
+        if level <= PLACED:
+            here = cells.select("device_id", *_raised(PLACED - level)).distinct()
+        else:
+            here = _zone_cell(places, level).select(*own)
+        here = here.withColumns({f"_up{name}": column for name, column in zip(own[1:], _raised(1), strict=True)})
+        if level > PLACED:
+            here = here.join(parents.select(*up).distinct(), up, "left_semi").distinct()
+        met = here.join(parents, up).select(*own, "zone_block", "zones")
+        table = tabled(_shortened(met, level, per_row, most))
+        done = table.where(~F.col("_split")).select(*own, "zones")
+        if level < PLACED:
+            raised = cells.withColumns({f"_up{name}": c for name, c in zip(own[1:], _raised(PLACED - level), strict=True)})
+            done = done.withColumnsRenamed({"_row": "_up_row", "_col": "_up_col"})
+            fine = _measured(raised.join(done, ["device_id", "_up_row", "_up_col"]), PLACED)
+            fine = fine.withColumn("_best", F.array_min("_measured"))
+            done = fine.select(*own, _unbeaten("_measured", "_best", PLACED).alias("zones"))
+        listed.append(done.select("device_id", F.lit(max(level, PLACED)).alias("_level"), "_row", "_col", "zones"))
+        parents, up = table.where("_split").drop("_split"), ["device_id", "_up_row", "_up_col"]
+        parents = parents.withColumnsRenamed({"_row": "_up_row", "_col": "_up_col"})
+        if parents.isEmpty():
+            break
+        if level >= PLACED:
+            split[level] = table.where("_split").select(*own).distinct()
+    table = reduce(DataFrame.unionByName, listed)
+    return table.withColumn("zones", F.array_sort("zones")), split
+
+
 def nearest_zone(
     points: DataFrame, zones: DataFrame, per_row: int = S.ZONES_PER_ROW, places: DataFrame | None = None
 ) -> DataFrame:
@@ -377,10 +461,15 @@ def nearest_zone(
 
     One plan for any number of zones: a point meets the few zones that `cell_zones` lists for its cell, in one array
     row, so points are neither multiplied nor grouped and need no key. `places` may name a cheaper source of the
-    points' (device_id, latitude, longitude), where the points are the outcome of long work.
+    points' (device_id, latitude, longitude), where the points are the outcome of long work; it is read more than once.
     """
-    listed = cell_zones(points if places is None else places, zones, per_row)
-    found = with_nearest(_zone_cell(points).join(listed, ["device_id", "_row", "_col"], "left"), "_best")
+    listed, split = cell_zones(points if places is None else places, zones, per_row)
+    rows, own = points.withColumn("_level", F.lit(PLACED)), ["device_id", "_row", "_col"]
+    for level, cells in split.items():
+        known = _zone_cell(rows, level).join(cells.withColumn("_cut", F.lit(1)), own, "left")
+        rows = known.withColumn("_level", F.col("_level") + F.coalesce("_cut", F.lit(0))).drop("_row", "_col", "_cut")
+    rows = _zone_cell(rows, F.col("_level") if split else PLACED)
+    found = with_nearest(rows.join(listed, ["device_id", "_level", "_row", "_col"], "left"), "_best")
     distance = F.col("_best.distance")
     return found.select(
         *points.columns,

@@ -71,3 +71,4 @@ PLANNED_LIMIT = 1000        # greatest top-k that Spark limits before a shuffle
 TOP_K_SPREAD = 32           # first-stage groups per key in a top-k
 ZONES_PER_ROW = 512         # centroids held in one array row
 ZONE_CELL_DEGREES = 0.02    # side of the cells that list their possible nearest zones
+ZONES_PER_CELL = 32         # zones listed for a cell; one with more is cut into smaller cells

@@ -81,7 +81,8 @@ def score_stream(
     """Score points as they arrive: rows for the anomaly table at `out`, points that should raise an alert to `alerts_out`."""
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        scored = store.staged(score(valid(batch), *tables()))
+        points = store.staged(valid(batch))  # scoring reads them more than once
+        scored = store.staged(score(points, *tables()))
         _write_batch(scoring.confirmations(scored).where("should_alert"), alerts_out, batch_id)
         store.append_scores(scoring.as_anomaly_rows(scored), out, name, batch_id)
 
