@@ -230,3 +230,13 @@ def test_zone_lists_do_not_grow_with_the_zones_around(spark):
     assert np.abs(got["min_distance"] - nearest).max() <= 0.06
     wanted = np.where(metres <= nearest[:, None] + 1e-6, ids[None], 10**9).min(axis=1)
     assert (got["nearest_cluster_id"].to_numpy() == wanted).all()
+
+
+def test_points_are_not_shuffled_to_few_cells(spark):
+    """Nearly all points in one cell: the list is small and broadcast, so that cell is not one task."""
+    points = spark.range(50_000).selectExpr("id", "1L AS device_id", "id % 7 * 1e-4 AS latitude", "0.001 AS longitude")
+    zones = spark.range(2_000).selectExpr(
+        "1L AS device_id", "CAST(id AS INT) AS cluster_id", "'z' AS label", "id * 0.001 AS centroid_lat", "0.0 AS centroid_lng"
+    )
+    plan = nearest_zone(points, zones)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan

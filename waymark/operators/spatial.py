@@ -433,7 +433,7 @@ def cell_zones(
             here = _zone_cell(places, level).select(*own)
         here = here.withColumns({f"_up{name}": column for name, column in zip(own[1:], _raised(1), strict=True)})
         if level > PLACED:
-            here = here.join(parents.select(*up).distinct(), up, "left_semi").distinct()
+            here = here.join(parents.select(*up), up, "left_semi").distinct()
         met = here.join(parents, up).select(*own, "zone_block", "zones")
         table = tabled(_shortened(met, level, per_row, most))
         done = table.where(~F.col("_split")).select(*own, "zones")
@@ -449,9 +449,10 @@ def cell_zones(
         if parents.isEmpty():
             break
         if level >= PLACED:
-            split[level] = table.where("_split").select(*own).distinct()
-    table = reduce(DataFrame.unionByName, listed)
-    return table.withColumn("zones", F.array_sort("zones")), split
+            split[level] = table.where("_split AND zone_block = 0").select(*own)  # one row per cell
+    table = reduce(DataFrame.unionByName, listed).withColumn("zones", F.array_sort("zones"))
+    # Spark knows the size of a stored table: if small it is broadcast, and busy cells are not one task each
+    return tabled(table), split
 
 
 def nearest_zone(
