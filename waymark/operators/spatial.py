@@ -29,9 +29,9 @@ CELL = ["_level", "_row", "_col"]
 #: The cell of rows without a place.
 NO_CELL = -(2**62)
 #: Levels of the cells that list zones; a cell is cut into 2**bits x 2**bits of the next level.
-ZONE_LEVELS, ZONE_BITS = 6, 3
+ZONE_LEVELS, ZONE_BITS = 9, 2
 #: The coarsest of these levels on which a place is looked up: that of `ZONE_CELL_DEGREES`.
-PLACED = 2
+PLACED = 3
 
 
 def _index(value: Column, side: float | Column) -> Column:
