@@ -16,8 +16,8 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from waymark.llm import (
-    boosting, dart_minhash, exact_dedup, fuse, language, license_scan, mixing, packing, queries, surrogates, token_index, topk,
-    toxicity,
+    boosting, dart_minhash, exact_dedup, fuse, language, license_scan, mixing, packing, queries, surrogates, token_index, tokens,
+    topk, toxicity,
 )
 from waymark.llm.tokens import BYTES, WORDS, Encoder
 
@@ -62,6 +62,27 @@ def test_ids_of_chunks_are_the_ids_of_the_whole(text):
 _ENCODERS = {}
 
 
+@settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(st.text(alphabet=st.sampled_from("ab'sté  \n\n\t.,!?12x　́\x1cÀ日🙂×_-\x85\xa0я—&"), max_size=30), max_size=6), st.sampled_from([1, 20, 10**6]))
+def test_ids_of_many_texts_are_those_of_each(texts, stretch):
+    own = _ENCODERS.setdefault(BYTE, Encoder(BYTE, BYTES))
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(tokens, "STRETCH", stretch)
+        assert [ids.tobytes() for ids in own.encode_all(texts)] == list(map(own.ids, texts))
+
+
+def test_equal_pieces_of_texts_are_encoded_once(monkeypatch):
+    """Time: only the different pieces of a stretch reach the cache, and the new words among them the model in one call."""
+    own, asked, new = Encoder(BYTE, BYTES), [], []
+    pieces, words = own.pieces, own.words
+    monkeypatch.setattr(own, "pieces", lambda found: asked.append(list(found)) or pieces(found))
+    monkeypatch.setattr(own, "words", lambda found: new.append(list(found)) or words(found))
+    texts = ["one two, one été&&&\ntwo one.  Two"] * 1000
+    assert [ids.tobytes() for ids in own.encode_all(texts)] == [own.ids(texts[0])] * 1000
+    assert len(asked) == len(new) == 1 and len(set(asked[0])) == len(asked[0]) < 12
+    assert set(new[0]) == {"one", " two", " one", "two"}
+
+
 def test_packing_places_every_id_once(odd, none):
     assert packing.pack(none, WORD).count() == 0
     got = packing.pack(odd, WORD, block=3000, payload=True).toPandas()

@@ -88,15 +88,15 @@ def write_payload(
     files.create_dir(place, recursive=True)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode, out = encoder(tokenizer, cut).encode, _Shards(folder, width)
+        encode_all, out = encoder(tokenizer, cut).encode_all, _Shards(folder, width)
         last, copy = None, -1
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+            for doc_id, ids in zip(batch["doc_id"], encode_all(batch["text"]), strict=True):
                 doc_id = None if pd.isna(doc_id) else int(doc_id)
                 copy = copy + 1 if copy >= 0 and doc_id == last else 0
                 last = doc_id
-                ids = np.append(np.frombuffer(encode(text), "<u4"), np.uint32(end_id))
+                ids = np.append(ids, np.uint32(end_id))
                 if ids.max() >= 1 << (8 * width):
                     raise ValueError("an id does not fit into the width of the format")
                 rows.append((doc_id, copy, *out.add(ids.astype(kind), shard), len(ids)))
